@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe
+from pointweave.llm import bpe, pii, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": pii.op2_pii,
+        "op8_secrets": secrets.op8_secrets,
         "op10_bpe": bpe.op10_bpe,
     }
 
