@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, pii, secrets
+from pointweave.llm import bpe, pii, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": pii.op2_pii,
+        "op7_sharding": sharding.op7_sharding,
         "op8_secrets": secrets.op8_secrets,
         "op10_bpe": bpe.op10_bpe,
     }
