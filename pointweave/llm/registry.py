@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, pii, secrets, sharding
+from pointweave.llm import bpe, pii, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": pii.op2_pii,
+        "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_secrets": secrets.op8_secrets,
         "op10_bpe": bpe.op10_bpe,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.TOPK_SQL}
