@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, pii, secrets, sharding, topk
+from pointweave.llm import bpe, langid, pii, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_langid": langid.op1_langid,
         "op2_pii": pii.op2_pii,
         "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
