@@ -14,13 +14,14 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import arrow_map, documents, stored, text_buffers
+from pointweave.llm.common import arrow_map, documents, pieces, stored, text_buffers
 
 #: Kinds in order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -173,13 +174,16 @@ def term_counts(df: DataFrame, wanted: list[str], text_col: str = "text") -> Dat
     """(term, n): how often each wanted term occurs in the whole corpus."""
     held = df.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, found = held.value, {}, Counter()
-        for text in batch.column(0).to_pylist():
-            found.update(t for _, _, t in _hits(text or "", known, seen))
-        return pa.RecordBatch.from_arrays([pa.array([*found]), pa.array([*found.values()], pa.int64())], names=["term", "n"]) if found else None
-
-    return arrow_map(df.select(F.col(text_col).cast("string").alias("__text")), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for part in pieces(batch):
+                for text in part.column(0).to_pylist():
+                    found.update(t for _, _, t in _hits(text or "", known, seen))
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["term", "n"])
+
+    counted = df.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "term string, n bigint")
+    return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def blocks(df: DataFrame, column: str, size: int):
