@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, decontaminate, langid, lm_score, pii, secrets, sharding, topk
+from pointweave.llm import bpe, decontaminate, langid, lm_score, near_dedup, pii, secrets, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1_langid,
         "op2_pii": pii.op2_pii,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_lm_score": lm_score.op5_lm_score,
         "op6_topk": topk.op6_topk,
