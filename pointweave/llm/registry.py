@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, decontaminate, langid, lm_score, near_dedup, pii, secrets, sharding, topk
+from pointweave.llm import bpe, decontaminate, langid, lm_score, near_dedup, pii, secrets, sharding, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_topk": topk.op6_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_secrets": secrets.op8_secrets,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_bpe": bpe.op10_bpe,
     }
 
