@@ -303,6 +303,20 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return arrow_map(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")), run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean, bits double")
 
 
+def accepted(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that :func:`predict` doesn't reject, all columns kept."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if shared.value is None:
+            return None
+        ce, n = entropies(shared.value, batch.column(at).cast(pa.string()))
+        return batch.filter(pa.array(~decide(shared.value, ce, n)[2]))
+
+    return arrow_map(df, run, df.schema)
+
+
 def training_rows(df: DataFrame) -> DataFrame:
     """(id, text, lang) of the rows that may be learned from."""
     return df.where(fold(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("id"), "text", "lang")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pointweave.llm import bpe, decontaminate, langid, lm_score, near_dedup, pii, secrets, sharding, suffix_dedup, topk
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_bpe": bpe.op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 

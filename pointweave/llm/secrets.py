@@ -236,6 +236,34 @@ def redact(text: str | None, spans: list[tuple[int, int, int]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, fdr: float = FDR) -> DataFrame:
+    """``df`` with the spans of :func:`detect` replaced in its texts, all columns kept;
+    ``length_col``, if given, becomes the new length in code points (null for a null text)."""
+    cut = cutoffs(stored(scan(df, id_col, text_col), "secrets"), fdr)
+    at = df.columns.index(text_col)
+
+    def admitted(size: int, uniform: float, words: float) -> bool:
+        return size in cut and uniform >= REJECT and math.floor(-math.log10(words) / PER_BIN) * PER_BIN >= cut[size]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at)
+        suspects = np.flatnonzero(_suspects(texts))
+        if not len(suspects):
+            return batch
+        out = texts.to_pylist()
+        for i in suspects:
+            text = out[i] or ""
+            spans = base_spans(text)
+            spans += [(s, e, 3) for s, e, z, u, w in candidates(text, spans) if admitted(z, u, w)]
+            out[i] = redact(out[i], spans)
+        return batch.set_column(at, batch.schema.field(at), pa.array(out, texts.type))
+
+    done = arrow_map(df, run, df.schema)
+    if length_col:
+        done = done.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
+    return done.select(*df.columns)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest columns of :func:`detect` over the documents."""
     found = detect(documents(spark, sf_dir))
