@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import stored
+from pointweave.plans.storage import stored
 
 
 def components(links: DataFrame) -> DataFrame:
