@@ -3,7 +3,6 @@ and tables in the shared folder."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,32 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.plans.storage import stored
+
 #: Bytes of text that a worker holds as numpy arrays at once; one longer
 #: document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
-_MASK = (1 << 64) - 1
-
-
-# --- session ---------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); set to a
-    local one only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints/pointweave"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and
-    a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["CHUNK_BYTES", "Words", "arrow_map", "documents", "fold", "grams", "mix", "pieces", "stored", "text_buffers"]
 
 
 def fold(doc_id: Column, k: int) -> Column:

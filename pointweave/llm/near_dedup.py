@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import Words, arrow_map, documents, grams, mix, stored
-from pointweave.llm.graph import components
+from pointweave.operators.graph import components
 
 #: Words of a shingle; least similarity in percent; values of a sketch.
 SHINGLE, PERCENT, K = 5, 75, 128
