@@ -67,10 +67,14 @@ def geometric_median(rows: DataFrame, keys: list[str], vec: str, weight: str, ro
         d = F.aggregate(F.zip_with(m, e["v"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
         return e["w"] / F.greatest(F.sqrt(d), F.lit(eps))
 
-    out = got.withColumn("median", mean(lambda e: e["w"]))
-    for _ in range(rounds):  # each round is a projection over the key's own array
-        out = out.withColumn("median", mean(lambda e: away(F.col("median"), e)))
-    return out.select(*keys, "median")
+    # weights of a round first, then their sum: each distance is taken once
+    def step(m: Column, _: Column) -> Column:
+        weighed = F.transform("own", lambda e: F.struct(away(m, e).alias("w"), e["v"].alias("v")))
+        s = F.aggregate(weighed, zero, lambda a, e: F.zip_with(a, e["v"], lambda x, y: x + e["w"] * y))
+        length = F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x)
+        return F.transform(F.array(F.struct(s.alias("s"), length.alias("l"))), lambda q: F.transform(q["s"], lambda x: x / F.greatest(F.sqrt(q["l"]), F.lit(1e-8))))[0]
+
+    return got.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), mean(lambda e: e["w"]), step).alias("median"))
 
 
 def top_fraction(df: DataFrame, fraction: float, population: int, score: str, tie: str, eligible: Column) -> DataFrame:
