@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,27 +55,33 @@ def route(base: Column, cand: Column, base_margin: Column, cand_margin: Column,
     return F.when(valid & pick, cand).otherwise(base)
 
 
-def route_budget(base: DataFrame, candidates: DataFrame, fraction: float, mode: str = "gain", gid: str = "gid") -> DataFrame:
+#: Which factors join a candidate's gain, by priority mode.
+PRIORITIES = {
+    "query_gain": (),
+    "membership_gain": ("member",),
+    "query_margin_gain": ("margin",),
+    "membership_margin_gain": ("member", "margin"),
+    "reliability_gain": ("reliability",),
+    "reliability_margin_gain": ("reliability", "margin"),
+}
+
+
+def route_budget(base: DataFrame, candidates: DataFrame, fraction: float, mode: str = "query_gain", gid: str = "gid") -> DataFrame:
     """(gid, score, routed): each point's best slot by priority, the first of equals; then
     the best points overall, at most ceil(fraction x covered), take their candidate.
 
-    base: (gid, base); candidates: (gid, slot, cand, member[, margin, reliability]).
-    Priorities: gain, candidate, membership, margin, reliability, gain_membership."""
-    rows = candidates.join(base, gid)
-    gain = F.col("cand") - F.col("base")
-    priority = {"gain": gain, "candidate": F.col("cand"), "membership": F.col("member")}
-    if mode in ("margin", "reliability"):
-        p = F.col(mode)
-    elif mode == "gain_membership":
-        p = gain * F.col("member")
-    else:
-        p = priority[mode]
+    base: (gid, base); candidates: (gid, slot, cand, member[, margin, reliability]), only
+    valid ones. A priority is the gain over the base, if positive, times the mode's
+    factors: membership and reliability within [0, 1], the margin if positive."""
+    if mode not in PRIORITIES or not 0 <= fraction <= 1:
+        raise ValueError(f"no such priority or share: {mode}, {fraction}")
+    p = F.greatest(F.col("cand") - F.col("base"), F.lit(0.0))
+    for factor in PRIORITIES[mode]:
+        p = p * F.greatest(F.col(factor), F.lit(0.0)) if factor == "margin" else p * clip(factor, 0.0, 1.0)
     w = Window.partitionBy(gid).orderBy(F.col("p").desc(), "slot")
-    best = rows.withColumn("p", p).where("p is not null").withColumn("r", F.row_number().over(w)).where("r = 1")
+    best = candidates.join(base, gid).withColumn("p", p).withColumn("r", F.row_number().over(w)).where("r = 1 and p > 0")
     covered = candidates.select(gid).distinct().count()
-    eligible = best.where((F.col("cand") > F.col("base")) & (F.col("p") > 0))
-    budget = -(-int(round(fraction * covered * 1e9)) // 10**9)
-    chosen = eligible.orderBy(F.col("p").desc(), gid).limit(budget).select(gid, "cand")
+    chosen = best.orderBy(F.col("p").desc(), gid).limit(math.ceil(fraction * covered - 1e-9)).select(gid, "cand")
     return base.join(chosen, gid, "left").select(gid, F.coalesce("cand", "base").alias("score"), F.col("cand").isNotNull().alias("routed"))
 
 

@@ -142,8 +142,9 @@ def component_diagnostics(sizes: DataFrame, size: str = "size") -> DataFrame:
 
 
 def leave_one_out_support(points: DataFrame, group: str, candidate: Column) -> DataFrame:
-    """Share of candidates among the others of a point's group; 0 alone in it."""
+    """Share of candidates among the others of a candidate's group; 0 alone in it, and for
+    points that are no candidates."""
     w = Window.partitionBy(group)
     flag = candidate.cast("double")
     n, s = F.count("*").over(w), F.sum(flag).over(w)
-    return points.withColumn("support", F.when(n > 1, (s - flag) / (n - 1)).otherwise(0.0))
+    return points.withColumn("support", F.when((n > 1) & candidate, (s - flag) / (n - 1)).otherwise(0.0))
