@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pointweave.llm import bpe, decontaminate, langid, lm_score, near_dedup, pii, secrets, sharding, suffix_dedup, topk
+from pointweave.llm import bpe, decontaminate, langid, lm_score, near_dedup, oracles, pii, secrets, sharding, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.TOPK_SQL}
+    return {"op3_near_dedup": oracles.NEAR_DEDUP, "op6_topk": oracles.TOPK, "op7_sharding": oracles.SHARDING}
