@@ -198,7 +198,7 @@ def prune(point_codes: DataFrame, keep: DataFrame, gid: str = "gid") -> DataFram
 def usage(point_codes: DataFrame, group: str, score: str) -> DataFrame:
     """(group, plain, relative): summed scores; and 1 + that, over its mean."""
     s = point_codes.groupBy(group).agg(F.sum(score).alias("plain"))
-    return s.crossJoin(F.broadcast(s.agg(F.avg(F.col("plain") + 1).alias("mean")))).select(group, "plain", ((F.col("plain") + 1) / F.col("mean")).alias("relative"))
+    return s.join(F.broadcast(s.agg(F.avg(F.col("plain") + 1).alias("mean"))), F.lit(True)).select(group, "plain", ((F.col("plain") + 1) / F.col("mean")).alias("relative"))
 
 
 def dead_codes(codes: DataFrame, point_codes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.plans.ship import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: For DuckDB, which has the tables as views.
 PLAIN = {t: t for t in TABLES}
@@ -15,6 +17,7 @@ class Inputs:
     """The tables of one folder, as SQL text with ``{table}`` in place of names."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self.names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
 
