@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.plans.ship import ship
 from pointweave.plans.storage import stored
 
 #: Bytes of text that a worker holds as numpy arrays at once; one longer
 #: document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 __all__ = ["CHUNK_BYTES", "Words", "arrow_map", "documents", "fold", "grams", "mix", "pieces", "stored", "text_buffers"]
 
@@ -25,12 +26,15 @@ def fold(doc_id: Column, k: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` over chunks of bounded text size (the first string column decides)."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.llm.common import stored
+from pointweave.plans.ship import ship
 
 #: Rows of a range; queries of a block (bounds driver memory and what is broadcast); rows
 #: that seed the first thresholds.
@@ -140,4 +141,5 @@ def _answer(rows: DataFrame, block: list, seeds: list, k: int) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
