@@ -7,7 +7,7 @@ uniform sample of its set. Documents with equal sets become one node first.
    node is listed only under its rarest values, as many as that leaves (a prefix in order
    of frequency). Values that many unrelated documents share fall out of the prefix.
 2. Lists of up to ``SHORT`` nodes give their pairs. Longer ones give a star: their most
-   central nodes with every other.
+   central node with every other.
 3. Pairs whose sizes, or whose estimate from the union's sketch, rule the link out are
    dropped; the rest are confirmed by exact Jaccard on the full sets.
 4. Where a long list is not yet one component, the nodes outside the largest one are
@@ -30,8 +30,8 @@ from pointweave.operators.graph import components
 
 #: Words of a shingle; least similarity in percent; values of a sketch.
 SHINGLE, PERCENT, K = 5, 75, 128
-#: Longest list that gives all its pairs; most nodes of one side of a block; hubs of a list.
-SHORT, BLOCK, HUBS = 32, 256, 4
+#: Longest list that gives all its pairs; most nodes of one side of a block.
+SHORT, BLOCK = 32, 256
 #: Standard deviations by which an estimate may fall short.
 SLACK = 5.3
 
@@ -125,7 +125,7 @@ def candidates(lists: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & _fit("na", "nb", percent)).select("a", "b").distinct()
     long = lists.join(heads.where(F.col("m") > SHORT), "v")
     central = F.max(F.struct("weight", F.col("node").alias("hub"), F.col("n").alias("nh")))
-    hubs = long.groupBy("v", F.pmod(F.hash("node"), F.lit(HUBS)).alias("part")).agg(central.alias("c")).select("v", "c.hub", "c.nh")
+    hubs = long.groupBy("v").agg(central.alias("c")).select("v", "c.hub", "c.nh")
     stars = stored(long.join(hubs, "v").where(F.col("node") != F.col("hub")).select("node", "n", "hub", "nh").distinct(), "near-stars")
     more = stars.where(_fit("n", "nh", percent)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return pairs.unionByName(more).distinct(), stars.select("node", "hub")
@@ -263,8 +263,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stored(confirmed(pairs, sets, percent), "near-links")
     labels = components(links)
     more = leftover(stars, labels, sets_of, percent)
-    if more is not None:
-        labels = components(links.unionByName(stored(more, "near-more")))
+    more = stored(more, "near-more") if more is not None else None
+    if more is not None and not more.isEmpty():
+        labels = components(links.unionByName(more))
     least = labels.join(name, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     named = name.join(labels.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
     rows = scanned.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
