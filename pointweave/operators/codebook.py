@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.functions.vec import l2_normalize, squared_distance
-from pointweave.operators.consensus import vector_sum
+from pointweave.operators.consensus import vector_sum, vector_width
 
 #: Codes are broadcast up to this many bytes; beyond, points meet them block by block.
 BROADCAST_BYTES = 256 << 20
@@ -21,7 +21,7 @@ BROADCAST_BYTES = 256 << 20
 def reconstruct(point_codes: DataFrame, codes: DataFrame, keys: list[str], on: list[str], weight: str | None = None, normalise: bool = True) -> DataFrame:
     """(gid, feature): sum of a point's codes, weighted if asked, then unit length."""
     joined = point_codes.join(codes, on)
-    out = vector_sum(joined, keys, "vec", weight if weight else 1.0)
+    out = vector_sum(joined, keys, "vec", weight if weight else 1.0, vector_width(codes, "vec"))
     return out.select(*keys, (l2_normalize("s") if normalise else F.col("s")).alias("feature"))
 
 
@@ -73,7 +73,7 @@ def nearest_code(points: DataFrame, codes: DataFrame, metric: str = "dot", gid:
 def update_codes(points: DataFrame, assigned: DataFrame, codes: DataFrame, spherical: bool, gid: str = "gid", vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Mean (or mean direction) of each code's points; (code_id, vec, n)."""
     joined = points.join(assigned.select(gid, "code_id"), gid)
-    total = vector_sum(joined, ["code_id"], vec, weight if weight else 1.0)
+    total = vector_sum(joined, ["code_id"], vec, weight if weight else 1.0, vector_width(codes, "vec"))
     mean = l2_normalize("s") if spherical else F.transform("s", lambda x: x / F.col("total_w"))
     return total.select("code_id", mean.alias("vec"), F.col("total_w").alias("n"))
 

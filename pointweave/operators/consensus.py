@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from pointweave.functions.vec import clip, cosine, l2_normalize, sigmoid
 
 
-def vector_sum(df: DataFrame, keys: list[str], vec: str, weight: Column | str = 1.0) -> DataFrame:
-    """(keys, total_w, s): weighted sum of vectors, position by position, so that partial
-    sums are taken before the shuffle; then gathered in order."""
+def vector_width(df: DataFrame, vec: str) -> int:
+    """The length of the vectors of a table that costs nothing to look into."""
+    row = df.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return row[0] if row else 0
+
+
+def vector_sum(df: DataFrame, keys: list[str], vec: str, weight: Column | str | float = 1.0, width: int | None = None) -> DataFrame:
+    """(keys, total_w, s): weighted sum of vectors.
+
+    With a known ``width`` every position is a sum of its own in one aggregate, so a row
+    stays a row and partial sums precede the shuffle. Without it, positions become rows."""
     w = F.lit(weight) if isinstance(weight, int | float) else (F.col(weight) if isinstance(weight, str) else weight)
+    if width is not None:
+        rows = df.select(*keys, w.cast("double").alias("__w"), F.col(vec).alias("__v"))
+        sums = [F.sum(F.col("__w") * F.col("__v")[i].cast("double")) for i in range(width)]
+        return rows.groupBy(*keys).agg(F.sum("__w").alias("total_w"), (F.array(*sums) if sums else F.array().cast("array<double>")).alias("s"))
     rows = df.select(*keys, w.cast("double").alias("__w"), F.posexplode(vec).alias("pos", "x"))
     sums = rows.groupBy(*keys, "pos").agg(F.sum(F.col("__w") * F.col("x").cast("double")).alias("x"), F.sum("__w").alias("__w"))
     per = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"), F.max("__w").alias("total_w"))
@@ -28,7 +40,7 @@ def consensus(contribs: DataFrame, segments: DataFrame, keys: list[str], seg: st
     """(keys, feature, total_w, mean_norm): direction and length of the weighted mean; no
     row without weight."""
     joined = segment_weights(contribs, keys, seg, weight).join(segments.select(seg, vec), seg)
-    total = vector_sum(joined, keys, vec, "w").where("total_w > 0")
+    total = vector_sum(joined, keys, vec, "w", vector_width(segments, vec)).where("total_w > 0")
     mean = total.withColumn("mean", F.transform("s", lambda x: x / F.col("total_w")))
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
     return mean.select(*keys, l2_normalize("mean", eps).alias("feature"), "total_w", length.alias("mean_norm"))
