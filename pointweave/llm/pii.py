@@ -36,6 +36,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NEAR, SUPPORT, ALPHA, LETTERS = 8, 3, 0.9, 4
 #: Terms that one pass over the documents looks for (about 16 bytes each on a worker).
 TERMS_A_PASS = 500_000
+#: Words that a worker remembers as terms, or as none.
+REMEMBERED = 100_000
 
 Span = tuple[int, int, int]
 
@@ -161,7 +163,7 @@ def _hits(text: str, known: set[str], seen: dict[str, str | None]):
         w = m[0]
         t = seen.get(w, "")
         if t == "":
-            if len(seen) > 300_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             t = terms(w)
             t = seen[w] = t if t in known else None
