@@ -83,6 +83,7 @@ def repeated_places(texts: DataFrame) -> DataFrame:
 
     keyed = stored(texts.select("text_key", "text").mapInArrow(run, "key bigint, text_key bigint, place int"), "suffix-keys")
     often = keyed.groupBy("key").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").select("key")
+    often = stored(often, "suffix-often")  # on its own, so that the join's hot keys can be split
     return keyed.join(often, "key").groupBy("text_key").agg(F.collect_set("place").alias("places"))
 
 
@@ -249,7 +250,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     marked. Other columns are dropped.
     """
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    slim = stored(docs.select("id", "text_key", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n")), "suffix-docs")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.diff(Words(batch.column(2)).first)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64))], names=["id", "text_key", "n"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    slim = stored(arrow_map(docs.select("id", "text_key", "text"), count, f"id {kind}, text_key bigint, n bigint"), "suffix-docs")
     names = slim.groupBy("text_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"))
     places = repeated_places(docs).join(names.select("text_key", "id"), "text_key")
     suffix = stored(suffixes(docs, places), "suffix-rows")
