@@ -1,12 +1,12 @@
-"""Operator 9: repeated passages by a sparse suffix array over words.
+"""Operator 9: repeated passages by sparse suffixes over words.
 
 Of all suffixes only those at content-selected places are kept: the minimisers of runs of
 ``GRAM`` words in windows of ``WINDOW`` runs, so a passage of ``LEAST`` words holds the
 same chosen places wherever it stands. Suffixes whose next ``REACH`` words occur nowhere
-else are dropped by counting. The rest are sorted by their following words, in ranges
-over the whole cluster; each is compared with its neighbours from other texts, and the
-match is extended to the right and to the left. Matches of ``LEAST`` words or more are
-marked, and marks that touch are joined.
+else are dropped by counting. Each passage of ``LEAST`` words whose first chosen place is
+left is then looked up among those of all other texts, whatever of it lies left or right
+of the place: they are sorted by hash, in ranges over the whole cluster. Those that two
+texts hold are marked, and marks that touch are joined.
 
 Equal texts are one text here: each copy of a text that occurs twice is wholly repeated.
 """
@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import Words, arrow_map, documents, grams, mix, pieces, stored
+from pointweave.llm.common import Words, arrow_map, documents, grams, pieces, stored
 
 #: Least words of a passage; words of a run; runs of a window.
 LEAST, GRAM, WINDOW = 50, 4, 30
@@ -32,19 +31,18 @@ REACH = LEAST - WINDOW + 1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def minimisers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places (word numbers) of the least run hash in each window, the leftmost of equals;
-    windows don't cross texts. ``h``: word hashes; ``first``: each text's first word."""
+def chosen(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words of the windows, place in each of its least run hash, the leftmost of
+    equals); windows don't cross texts. ``h``: word hashes; ``first``: each text's first
+    word."""
     g = grams(h, GRAM)
-    if not len(g):
-        return np.zeros(0, np.int64)
     n = len(g)
+    if n < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # a run that crosses into the next text never wins
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     crosses = owner[:n] != owner[GRAM - 1 : n + GRAM - 1]
     g = np.where(crosses, np.uint64(0xFFFFFFFFFFFFFFFF), g)
-    if n < WINDOW:
-        return np.zeros(0, np.int64)
     best, span = g.copy(), 1  # least of [i, i + span), doubled
     while span * 2 <= WINDOW:
         best = np.minimum(best[: len(best) - span], best[span:])
@@ -58,7 +56,12 @@ def minimisers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     for i in range(WINDOW - 1, -1, -1):
         hit = g[windows + i] == least[windows]
         at[windows[hit]] = windows[hit] + i
-    return np.unique(at[windows])
+    return windows, at[windows]
+
+
+def minimisers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places (word numbers) that any window chooses."""
+    return np.unique(chosen(h, first)[1])
 
 
 def _places(part: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -87,157 +90,124 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     return keyed.join(often, "key").groupBy("text_key").agg(F.collect_set("place").alias("places"))
 
 
-_SUFFIX = "key bigint, right binary, left binary, text_key bigint, place int"
+_PASSAGE = "key bigint, text_key bigint, start int"
 
 
-def suffixes(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, right, left, text_key, place): the suffixes at the places, as the hashes of
-    the LEAST words after each and the WINDOW words before it, nearest first, four bytes
-    a word in an order that compares bytewise."""
+def candidates(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, text_key, start): the hash and first word of each passage of LEAST words whose
+    first window chooses one of the places. Equal passages choose the same place."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(batch.column(1))
-        h = (w.hashes() >> np.uint64(32)).astype(">u4")
+        h = w.hashes()
         lists = batch.column(2)
         row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        place = lists.flatten().to_numpy().astype(np.int64)
-        if not len(place):
-            return None
-        at = w.first[row] + place
-        end = np.minimum(at + LEAST, w.first[row + 1])
-        start = np.maximum(at - WINDOW, w.first[row])
-        right = _bytes(h, at, end - at)
-        left = _bytes(h[::-1], len(h) - at, at - start)
-        key = mix(_sums(h, at)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key), right, left, batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32))], names=["key", "right", "left", "text_key", "place"])
+        start, at = chosen(h, w.first)
+        wanted = np.zeros(len(h), bool)
+        wanted[w.first[row] + lists.flatten().to_numpy()] = True
+        start = start[wanted[at]]
+        row = w.doc[start]
+        inside = start + LEAST <= w.first[row + 1]
+        start, row = start[inside], row[inside]
+        key = grams(h, LEAST)[start].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32))], names=["key", "text_key", "start"])
 
     joined = texts.join(places, ["id", "text_key"]).select("text_key", "text", "places")
-    return arrow_map(joined, run, _SUFFIX)
-
-
-def _sums(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the first two words: spreads the ranges evenly, keeps equal starts together."""
-    nxt = h[np.minimum(at + 1, len(h) - 1)].astype(np.uint64)
-    return h[at].astype(np.uint64) << np.uint64(32) | nxt
-
-
-def _bytes(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
-    """h[start : start + length] of each row as a binary column."""
-    ends = np.cumsum(length)
-    at = np.arange(int(ends[-1])) + np.repeat(start - (ends - length), length)
-    data = h[at].astype(">u4").tobytes()
-    offsets = (np.concatenate([[0], ends]) * 4).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
-def _common(x: pa.Array, y: pa.Array, width: int) -> np.ndarray:
-    """Length of the common start of two binary columns, in words."""
+    return arrow_map(joined, run, _PASSAGE)
 
-    def grid(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        offs = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
-        data = np.frombuffer(a.buffers()[2], np.uint32) if a.buffers()[2] is not None and a.buffers()[2].size >= 4 else np.zeros(1, np.uint32)
-        n = np.diff(offs) // 4
-        at = np.minimum((offs[:-1] // 4)[:, None] + np.arange(width), len(data) - 1)
-        return data[at], n
 
-    (a, n), (b, m) = grid(x), grid(y)
-    same = (a == b) & (np.arange(width) < np.minimum(n, m)[:, None])
-    return np.where(same.all(1), width, same.argmin(1))
+def repeated(passage: DataFrame) -> DataFrame:
+    """(text_key, start, end): the passages whose key another text has too.
 
-
-_MARKS = "text_key bigint, start int, end int, part int, last boolean, right binary, left binary, place int"
-
-
-def neighbours(suffix: DataFrame) -> DataFrame:
-    """(text_key, start, end): word spans of suffixes that match a neighbour from another
-    text over LEAST words or more, left and right together.
-
-    The suffixes are sorted in ranges; a row's neighbours are the nearest rows of other
-    texts on either side. Each range hands its first and last row on, two rows for each
-    task, and those of adjoining ranges are compared at the end.
+    They are sorted by key and text in ranges, so that a key of many texts is no hot task.
+    A key may go on in the next ranges: of its first and last key each range hands on the
+    least and greatest text, two rows for each task, and the passages of these keys that
+    found no other text in their range wait for the comparison of all ranges.
     """
-    spark = suffix.sparkSession
+    spark = passage.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "right", "left", "text_key", "place"]
+    order = ["key", "text_key", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        tail: pa.RecordBatch | None = None
-        first = last = None
+        # rows of the last key that go on to the next batch: all while only one text has
+        # it, else the least and greatest text, marked as done
+        held: list[np.ndarray] | None = None
+        is_first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = first or batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1)
-            whole = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            text = whole.column(3).to_numpy()
-            change = np.concatenate([[True], text[1:] != text[:-1]])
-            begins = np.flatnonzero(change)
-            run_of = np.cumsum(change) - 1
-            before = begins[run_of] - 1
-            after = np.append(begins[1:], -1)[run_of]
-            for near in (before, after):
-                i = np.flatnonzero(near >= 0)
-                if len(i):
-                    for key, start, end in _marked(whole, i, near[i]):
-                        yield _mark_batch(key, start, end)
-            tail = whole.slice(max(0, int(begins[-1]) - 1))
-        for row, is_last in ((first, False), (last, True)):
-            if row is not None:
-                yield pa.RecordBatch.from_arrays([row.column(3), *[pa.nulls(1, pa.int32())] * 2, pa.array([part], pa.int32()), pa.array([is_last]), row.column(1), row.column(2), row.column(4)], names=_NAMES)
-
-    found = stored(suffix.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order).mapInArrow(run, _MARKS), "suffix-marks")
-    edges = sorted(found.where("part is not null").collect(), key=lambda r: (r["part"], r["last"]))
-    pairs = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a["part"] != b["part"] and a["text_key"] != b["text_key"]]
-    marks = found.where("part is null").select("text_key", "start", "end")
-    if pairs:
-        column = lambda c, kind: pa.array([r[c] for pair in pairs for r in pair], kind)
-        rows = pa.RecordBatch.from_arrays([column("place", pa.int32()), column("right", pa.binary()), column("left", pa.binary()), column("text_key", pa.int64()), column("place", pa.int32())], names=["key", "right", "left", "text_key", "place"])
-        x = np.arange(0, 2 * len(pairs), 2)
-        more = [(int(k), int(s), int(e)) for key, start, end in _marked(rows, x, x + 1) for k, s, e in zip(key, start, end, strict=True)]
-        marks = marks.unionByName(spark.createDataFrame(more, "text_key bigint, start int, end int"))
-    return marks
-
-
-_NAMES = ["text_key", "start", "end", "part", "last", "right", "left", "place"]
-
-
-def _mark_batch(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    n = len(key)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=_NAMES)
-
-
-def _marked(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Spans, on both sides, of the row pairs (i, j) that match over LEAST words."""
-    texts, places = rows.column(3).to_numpy(), rows.column(4).to_numpy()
-    for a in range(0, len(i), 4096):
-        x, y = i[a : a + 4096], j[a : a + 4096]
-        pick = lambda c, at: rows.column(c).take(pa.array(at))
-        right = _common(pick(1, x), pick(1, y), LEAST)
-        left = _common(pick(2, x), pick(2, y), WINDOW)
-        good = right + left >= LEAST
-        if good.any():
-            out = [(texts[at[good]], (places[at[good]] - left[good]).astype(np.int32), (places[at[good]] + right[good]).astype(np.int32)) for at in (x, y)]
-            yield tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            rows = [c.to_numpy() for c in batch.columns] + [np.zeros(batch.num_rows, bool)]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            key, text, start, done = rows
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(begins[1:], len(key))
+            many = text[begins] != text[ends - 1]
+            hit = np.repeat(many, ends - begins) & ~done
+            if hit.any():
+                yield _found(None, text[hit], start[hit])
+            if is_first and len(begins) > 1:
+                yield from _edge(*(c[: ends[0]] for c in rows))
+                is_first = False
+            at = np.array([begins[-1], ends[-1] - 1]) if many[-1] else np.arange(begins[-1], ends[-1])
+            held = [c[at] for c in rows]
+            held[3][:] = many[-1]
+        if held is not None:
+            yield from _edge(*held)
+
+    found = stored(passage.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order).mapInArrow(run, _FOUND), "suffix-marks")
+    spread: dict[int, tuple[int, int]] = {}
+    for r in found.where("high is not null").collect():
+        low, high = spread.get(r["key"], (r["text_key"], r["high"]))
+        spread[r["key"]] = min(low, r["text_key"]), max(high, r["high"])
+    keys = [k for k, (low, high) in spread.items() if low != high]
+    return found.where(F.col("high").isNull() & (F.col("key").isNull() | F.col("key").isin(keys))).select("text_key", "start", (F.col("start") + LEAST).alias("end"))
+
+
+_FOUND = "key bigint, text_key bigint, start int, high bigint"
+
+
+def _found(key: np.ndarray | None, text: np.ndarray, start: np.ndarray | None, high: np.ndarray | None = None) -> pa.RecordBatch:
+    """Passages that are repeated (no key), or wait (key), or a range's edge (key and high)."""
+    n = len(text)
+    cols = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in ((key, pa.int64()), (text, pa.int64()), (start, pa.int32()), (high, pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "text_key", "start", "high"])
+
+
+def _edge(key: np.ndarray, text: np.ndarray, start: np.ndarray, done: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a range hands on of its first or last key, from the rows in order of the text."""
+    yield _found(key[:1], text[:1], None, text[-1:])
+    if text[0] == text[-1]:
+        yield _found(key[~done], text[~done], start[~done])
 
 
 def joined_spans(marks: DataFrame) -> DataFrame:
-    """(text_key, spans array of (start, end)): marks that touch or overlap become one."""
+    """(text_key, start, end): marks that touch or overlap become one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            key, start, end = rows
+            text = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) << 32
+            far = np.maximum.accumulate(text + end)
+            begins = np.flatnonzero(np.concatenate([[True], (text + start)[1:] > far[:-1]]))
+            last = np.append(begins[1:], len(key)) - 1
+            spans = [key[begins], start[begins], (far - text)[last]]
+            held = [c[-1:] for c in spans]
+            yield _spans(*(c[:-1] for c in spans))
+        if held is not None:
+            yield _spans(*held)
+
+    return marks.repartition("text_key").sortWithinPartitions("text_key", "start", "end").select("text_key", "start", "end").mapInArrow(run, "text_key bigint, start int, end int")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for own in batch.column(1).to_pylist():
-            merged: list[dict] = []
-            for s in sorted((m["start"], m["end"]) for m in own):
-                if merged and s[0] <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], s[1])
-                else:
-                    merged.append({"start": s[0], "end": s[1]})
-            out.append(merged)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["text_key", "spans"])
 
-    per = marks.distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("m"))
-    return arrow_map(per, run, "text_key bigint, spans array<struct<start:int,end:int>>")
+def _spans(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["text_key", "start", "end"])
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +229,10 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     slim = stored(arrow_map(docs.select("id", "text_key", "text"), count, f"id {kind}, text_key bigint, n bigint"), "suffix-docs")
     names = slim.groupBy("text_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"))
     places = repeated_places(docs).join(names.select("text_key", "id"), "text_key")
-    suffix = stored(suffixes(docs, places), "suffix-rows")
+    passage = stored(candidates(docs, places), "suffix-rows")
     whole = names.where((F.col("copies") > 1) & (F.col("n") >= LEAST)).select("text_key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
-    spans = joined_spans(neighbours(suffix).unionByName(whole))
-    return slim.join(spans, "text_key").select(F.col("id").alias(id_col), F.explode("spans").alias("s")).select(id_col, F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"))
+    spans = joined_spans(repeated(passage).unionByName(whole))
+    return slim.join(spans, "text_key").select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"))
 
 
 def passages(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,3 +96,18 @@ def test_passages_and_empty_table(spark, planted):
     texts = dict(planted)
     for r in sd.passages(df, spans).collect():
         assert texts[r["doc_id"]][r["start"] : r["end"]] == r["passage"] and len(r["passage"].split()) >= 50
+
+
+def test_partners_that_agree_to_the_left_of_a_frequent_line(spark):
+    rng = random.Random(5)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    line = text(40)
+    rows = [" ".join(text(45) + line + text(45)) for _ in range(300)]
+    for _ in range(30):
+        before = text(15)
+        rows += [" ".join(text(30) + before + line + text(45)) for _ in range(2)]
+    rng.shuffle(rows)
+    rows = [*enumerate(rows)]
+    want, _ = brute(rows)
+    assert len(want) == 60
+    assert got(frame(spark, rows)) == want
