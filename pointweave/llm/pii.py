@@ -255,13 +255,11 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     """
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = stored(disclosing(df, text_col, alpha, support), "pii-disclosing")
-    parts = [*blocks(found, "term", TERMS_A_PASS)] if found.count() <= TERMS_A_PASS else None
-    if parts is not None:
-        return _marked(out, parts[0] if parts else [], True, True).withColumnRenamed("id", id_col)
-    first = True
-    for part in blocks(found, "term", TERMS_A_PASS):
-        out, first = stored(_marked(out, part, first, False), "pii-marked"), False
-    return _marked(out, [], False, True).withColumnRenamed("id", id_col)
+    parts = blocks(found, "term", TERMS_A_PASS)
+    part, first = next(parts, []), True
+    for after in parts:
+        out, part, first = stored(_marked(out, part, first, False), "pii-marked"), after, False
+    return _marked(out, part, first, True).withColumnRenamed("id", id_col)
 
 
 def sanitise(text: str | None, spans: list[Span], removed: frozenset[str] = frozenset()) -> str | None:

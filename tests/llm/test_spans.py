@@ -98,3 +98,14 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(empty).count() == 0
     assert secrets.detect(empty).count() == 0
+
+
+def test_terms_of_all_passes_are_marked(spark, monkeypatch):
+    names = ["".join(chr(97 + int(d)) * 2 for d in f"{i:03d}") for i in range(108)]
+    texts = [f"{a} {n} {b} kim{i}@example.org" for i, n in enumerate(names) for a, b in (("some", "with"), ("more", "from"), ("that", "this"))]
+    want = {r["doc_id"]: r["spans"] for r in pii.detect(frame(spark, texts)).collect()}
+    n_terms = pii.disclosing(frame(spark, texts)).count()
+    assert n_terms >= 100
+    for bound in (int(n_terms / 0.9), n_terms // 3):
+        monkeypatch.setattr(pii, "TERMS_A_PASS", bound)
+        assert {r["doc_id"]: r["spans"] for r in pii.detect(frame(spark, texts)).collect()} == want
