@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -105,12 +106,33 @@ def term_hash(t: str) -> int:
 
 def contexts(text: str, spans: list[Span]) -> list[dict]:
     """For each mention its entity and the terms within NEAR words, without the words of
-    any mention, and a hash of them."""
+    any mention, and a hash of them. Words are whole, however long; one that a mention is
+    part of is cut at the mention."""
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    begun, ended = sorted(s for s, _, _ in spans), sorted(e for _, e, _ in spans)
+    known: dict[int, str | None] = {}
+
+    def term(i: int) -> str | None:
+        if i not in known:
+            known[i] = terms(text[starts[i] : ends[i]])
+        return known[i]
+
     out = []
     for s, e, k in spans:
-        before = WORD.findall(text[max(0, s - 40 * NEAR) : s])[-NEAR:]
-        after = WORD.findall(text[e : e + 40 * NEAR])[:NEAR]
-        near = sorted({t for t in map(terms, before + after) if t})
+        i, j = bisect_left(starts, s), bisect_right(ends, e)
+        before, after = range(max(0, i - NEAR), i), range(j, min(j + NEAR, len(words)))
+        found = []
+        # a rest that holds another mention, so a digit or an at sign, is no term
+        if before and ends[i - 1] > s:
+            before = before[:-1]
+            at = bisect_right(ended, s)
+            found.append(None if at and ended[at - 1] > starts[i - 1] else terms(text[starts[i - 1] : s]))
+        if after and starts[j] < e:
+            after = after[1:]
+            at = bisect_left(begun, e)
+            found.append(None if at < len(begun) and begun[at] < ends[j] else terms(text[e : ends[j]]))
+        near = sorted({t for t in [*found, *map(term, before), *map(term, after)] if t})
         out.append({"entity": value(text, (s, e, k)), "kind": KINDS[k], "terms": near, "context": term_hash(" ".join(near))})
     return out
 

@@ -109,3 +109,14 @@ def test_terms_of_all_passes_are_marked(spark, monkeypatch):
     for bound in (int(n_terms / 0.9), n_terms // 3):
         monkeypatch.setattr(pii, "TERMS_A_PASS", bound)
         assert {r["doc_id"]: r["spans"] for r in pii.detect(frame(spark, texts)).collect()} == want
+
+
+def test_contexts_are_whole_words():
+    rng = random.Random(11)
+    parts = ["x" * 400, "word", "Zorblatt,", "一二三四五六" * 60, "kim@example.org", "10.1.2.3", "mail:kim@example.org,", "+1 555 123 4567", "a", "9"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randint(1, 30)))
+        spans = pii.base_spans(t)
+        for (s, e, _), c in zip(spans, pii.contexts(t, spans), strict=True):
+            near = pii.WORD.findall(t[:s])[-pii.NEAR :] + pii.WORD.findall(t[e:])[: pii.NEAR]
+            assert c["terms"] == sorted({x for x in map(pii.terms, near) if x})
