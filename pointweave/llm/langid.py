@@ -5,7 +5,7 @@ A text becomes a row of lower-case letters with single blanks between words. One
 models lie in shared sorted arrays of packed n-gram keys, each with one column of
 log-probabilities (or of back-off weights) per language, so one search serves all. The
 language of lowest cross-entropy per character wins; it is rejected when that is far
-above what held-back labelled rows of the language show. Every text is scored whole.
+above what most held-back labelled rows of the language show. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ ORDER = 4
 SAMPLE_ROWS = 1600
 #: Deviations above a language's usual cross-entropy at which a text is rejected, at least.
 REJECT = 6.0
+#: Share of the held-back rows that the limit may reject; held-back rows from which a
+#: language's own deviation is taken; least deviation in bits per root character.
+FALSE_REJECTION, OWN_ROWS, LEAST_DEVIATION = 0.01, 20, 0.5
 
 
 @lru_cache(maxsize=1)
@@ -92,7 +95,7 @@ class Model:
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: np.ndarray
-    usual: np.ndarray | None = None  # [lang, (mean, deviation per root character, limit)]
+    usual: np.ndarray | None = None  # [lang, (median, deviation per root character, limit)]
     heat: float = 1.0
 
     def score(self, key: np.ndarray) -> np.ndarray:
@@ -225,16 +228,24 @@ def fit(df: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
 
     counts = counted(chosen.where(~F.col("held")))
     every = counted(chosen.where("held"))
+    trained = frozenset(every) - frozenset(counts)
     counts = {**{k: v for k, v in every.items() if k not in counts}, **counts}
     if not counts:
         return None
     model = train(counts)
-    _calibrate(model, chosen.where("held").select("text", "lang"))
+    _calibrate(model, chosen.where("held").select("text", "lang"), trained)
     return model
 
 
-def _calibrate(model: Model, held: DataFrame) -> None:
-    """Usual cross-entropies and the softmax heat, from labelled rows that trained nothing."""
+def _calibrate(model: Model, held: DataFrame, trained: frozenset[str] = frozenset()) -> None:
+    """Usual cross-entropies and the softmax heat, from labelled rows that trained nothing
+    but the languages ``trained``.
+
+    Medians and median deviations, so that a few mislabelled or mixed rows move nothing;
+    equal rows count once. The limit is one upper quantile over the rows of all languages.
+    A language with few rows has the largest deviation of the others, and without any the
+    largest median; without a row of any language nothing is rejected.
+    """
     shared = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -242,20 +253,28 @@ def _calibrate(model: Model, held: DataFrame) -> None:
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array(list(ce), pa.list_(pa.float64()))], names=["lang", "n", "ce"])
 
     got = arrow_map(held, run, "lang string, n bigint, ce array<double>").where("n > 0").toPandas()
-    usual = []
     place = {x: i for i, x in enumerate(model.langs)}
     got = got[got["lang"].isin(place)]
+    usual, rest = np.full((len(place), 3), np.nan), {}
     for lang, j in place.items():
         own = got[got["lang"] == lang]
-        if len(own) < 20:
-            usual.append((0.0, 1.0, np.inf))
+        if lang in trained or not len(own):
             continue
-        ce, n = np.array([c[j] for c in own["ce"]]), own["n"].to_numpy(float)
-        mean = float(np.average(ce, weights=np.minimum(n, 2000)))
-        dev = float(np.sqrt(np.mean(((ce - mean) * np.sqrt(np.minimum(n, 2000))) ** 2)))
-        z = (ce - mean) * np.sqrt(np.minimum(n, 2000)) / max(dev, 1e-9)
-        usual.append((mean, max(dev, 1e-9), max(REJECT, 1.5 * float(z.max()))))
-    model.usual = np.array(usual)
+        ce, n = np.unique([(c[j], min(n, 2000)) for c, n in zip(own["ce"], own["n"], strict=True)], axis=0).T
+        usual[j, 0] = np.median(ce)
+        rest[j] = (ce - usual[j, 0]) * np.sqrt(n)
+        if len(ce) >= OWN_ROWS:
+            usual[j, 1] = max(LEAST_DEVIATION, 1.4826 * float(np.median(np.abs(rest[j]))))
+    if rest:
+        if np.isnan(usual[:, 1]).all():
+            usual[:, 1] = max(LEAST_DEVIATION, 1.4826 * float(np.median(np.abs(np.concatenate([*rest.values()])))))
+        for c in (0, 1):
+            usual[np.isnan(usual[:, c]), c] = np.nanmax(usual[:, c])
+        z = np.concatenate([r / usual[j, 1] for j, r in rest.items()])
+        usual[:, 2] = max(REJECT, float(np.quantile(z, 1 - FALSE_REJECTION, method="lower")))
+    else:
+        usual[:] = 0.0, 1.0, np.inf
+    model.usual = usual
     if len(got):
         ce, n = np.array(got["ce"].tolist()), got["n"].to_numpy(float)
         true = np.array([place[x] for x in got["lang"]])

@@ -85,3 +85,21 @@ def test_rejection_and_edges(spark, model):
     empty = spark.createDataFrame([], "id long, text string, lang string")
     assert langid.fit(empty) is None
     assert langid.predict(df, None).where("lang_pred <> 'und'").count() == 0
+
+
+@pytest.mark.parametrize("absent", ["es", "de"])
+def test_documents_of_a_language_not_learned_are_rejected(spark, absent):
+    """Also where single held rows are mislabelled, and languages have few of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = langid.training_rows(docs).where(f"lang <> '{absent}'")
+    model = langid.fit(learned)
+    foreign = docs.where(f"lang = '{absent}' and length(text) >= 200").select("doc_id", "text")
+    share = lambda df: np.mean([r["rejected"] for r in langid.predict(df, model).collect()])
+    assert share(foreign) >= 0.97
+
+    held = learned.where("pmod(xxhash64(text), 4) = 0").select("text", "lang")
+    few = held.where("lang <> 'fr'").unionByName(held.where("lang = 'fr'").limit(6))
+    wrong = foreign.orderBy("doc_id").limit(1).selectExpr("text", "'en' as lang")
+    langid._calibrate(model, few.unionByName(wrong))
+    assert share(foreign) >= 0.97
+    assert share(docs.where(f"lang <> '{absent}'").select("doc_id", "text")) < 0.02
