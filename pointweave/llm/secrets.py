@@ -29,7 +29,8 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED, LEAST_ACCESS, LEAST_RUN = 6, 20, 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: An equals sign ends a run, except as padding: a key behind a name is a run of its own.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: The alphabets in the order in which they are tried.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),

@@ -120,3 +120,14 @@ def test_contexts_are_whole_words():
         for (s, e, _), c in zip(spans, pii.contexts(t, spans), strict=True):
             near = pii.WORD.findall(t[:s])[-pii.NEAR :] + pii.WORD.findall(t[e:])[: pii.NEAR]
             assert c["terms"] == sorted({x for x in map(pii.terms, near) if x})
+
+
+def test_keys_joined_to_a_name(spark):
+    rng = random.Random(4)
+    al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(al) for _ in range(40)) for _ in range(20)]
+    names = ["credential=", "auth=", "https://host/path?sig=", "private_key="]
+    texts = [f"x {names[i % 4]}{k}{'=' * (i % 3)} y" for i, k in enumerate(keys)] + ["x a_long_name_of_a_setting=another_long_name_of_it y"]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.detect(frame(spark, texts)).collect()}
+    hit = [i for i in range(20) if got[i] == [(texts[i].index(keys[i]), len(texts[i]) - 2, 3)]]
+    assert len(hit) >= 18 and not got[20]
