@@ -111,3 +111,24 @@ def test_partners_that_agree_to_the_left_of_a_frequent_line(spark):
     want, _ = brute(rows)
     assert len(want) == 60
     assert got(frame(spark, rows)) == want
+
+
+def test_one_passage_over_many_ranges(spark):
+    """Ranges end between the places of one text that holds a passage twice, and between
+    these and the other text."""
+    rng = random.Random(6)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for _ in range(6):
+        p = text(50)
+        rows += [" ".join(text(3) + p + text(3) + p + text(3) + p), " ".join(text(3) + p)]
+    alone = text(50)
+    rows = [*enumerate([*rows, " ".join(alone + text(3) + alone)])]
+    want, _ = brute(rows)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert got(frame(spark, rows)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
