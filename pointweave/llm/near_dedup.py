@@ -162,7 +162,11 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int = PERCENT
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles): the whole sets of wanted nodes (id, node), read from the text of
-    one document each."""
+    one document each; those that only documents without an id have, by node."""
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node = set_nodes(*shingle_sets(batch.column(0)))
+        return pa.RecordBatch.from_arrays([pa.array(node), batch.column(0)], names=["node", "text"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, starts = shingle_sets(batch.column(1))
@@ -171,6 +175,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return out.filter(pa.array(set_nodes(value, starts) == batch.column(0).to_numpy()))
 
     texts = docs.join(wanted, "id").select("node", "text")
+    nameless = arrow_map(docs.where("id is null").select("text"), named, "node bigint, text string")
+    texts = texts.unionByName(nameless.join(wanted.where("id is null").select("node"), "node").select("node", "text"))
     return arrow_map(texts, run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 

@@ -112,7 +112,7 @@ def candidates(texts: DataFrame, places: DataFrame) -> DataFrame:
         key = grams(h, LEAST)[start].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32))], names=["key", "text_key", "start"])
 
-    joined = texts.join(places, ["id", "text_key"]).select("text_key", "text", "places")
+    joined = texts.join(places, texts["id"].eqNullSafe(places["id"]) & (texts["text_key"] == places["text_key"])).select(texts["text_key"], "text", "places")
     return arrow_map(joined, run, _PASSAGE)
 
 

@@ -88,3 +88,13 @@ def test_repeats_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (8, None)]
     assert got(frame(spark, rows)) == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 0, 8, True)]
     assert got(frame(spark, rows).limit(0)) == []
+
+
+def test_texts_under_null_ids_link(spark):
+    """Two documents are linked only through a text that has no id."""
+    w = [f"w{i}" for i in range(120)]
+    ends = [w, w[12:] + [f"x{i}" for i in range(12)], w[24:] + [f"x{i}" for i in range(24)]]
+    rows = [(1, " ".join(ends[0])), (None, " ".join(ends[1])), (2, " ".join(ends[2])), (None, "quite another text of a few words")]
+    have = {(i, n): c for i, n, c, _ in map(tuple, nd.near_duplicates(frame(spark, rows)).collect())}
+    assert have == {(1, 116): 1, (None, 116): 1, (2, 116): 1, (None, 3): None}
+    assert [r[:1] + r[2:3] for r in got(frame(spark, [rows[0], rows[2]]))] == [(1, 1), (2, 2)]

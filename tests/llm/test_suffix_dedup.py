@@ -132,3 +132,12 @@ def test_one_passage_over_many_ranges(spark):
             assert got(frame(spark, rows)) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_text_under_a_null_id(spark):
+    rng = random.Random(8)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    p = text(60)
+    rows = [(None, " ".join(text(9) + p)), (1, " ".join(p + text(9))), (None, " ".join(text(70)))]
+    want, _ = brute(rows)
+    assert len(want) == 2 and got(frame(spark, rows)) == want
