@@ -17,7 +17,7 @@ from pointweave.plans.storage import stored
 #: document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-__all__ = ["CHUNK_BYTES", "Words", "arrow_map", "documents", "fold", "grams", "mix", "pieces", "stored", "text_buffers"]
+__all__ = ["CHUNK_BYTES", "Words", "arrow_map", "documents", "fold", "grams", "hash_spans", "mix", "pieces", "stored", "text_buffers"]
 
 
 def fold(doc_id: Column, k: int) -> Column:
@@ -135,14 +135,25 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        length = self.end - self.start
-        ends = np.cumsum(length)
-        place = np.arange(ends[-1]) - np.repeat(ends - length, length)
-        at = place + np.repeat(self.start, length)
-        terms = _BYTE[self.raw[at]] * _odd_powers(_BASE, int(length.max()))[place]
-        return mix(np.add.reduceat(terms, ends - length) + length.astype(np.uint64))
+        return hash_spans(self.raw, self.start, self.end)
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each non-empty run of bytes, CHUNK_BYTES of them at a time (one
+    longer run is worked alone)."""
+    out = np.zeros(len(start), np.uint64)
+    length = end - start
+    upto = np.cumsum(length)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK_BYTES, side="right")))
+        own = length[i:j]
+        ends = np.cumsum(own)
+        place = np.arange(ends[-1]) - np.repeat(ends - own, own)
+        terms = _BYTE[raw[place + np.repeat(start[i:j], own)]] * _odd_powers(_BASE, int(own.max()))[place]
+        out[i:j] = mix(np.add.reduceat(terms, ends - own) + own.astype(np.uint64))
+        i = j
+    return out
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

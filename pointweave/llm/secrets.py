@@ -2,12 +2,14 @@
 
 Fixed patterns give the base spans. Beside them every run of 20 or more key
 characters is a candidate: its encoding (hex, base32, alphanumeric, base64, url
-base64) is inferred, three tests are computed over that alphabet (chi-squared
-uniformity, runs about the median, lag-1 serial correlation), and two p-values
-follow: how well uniform random characters explain it, and how well ordinary
-words do. A candidate counts when randomness is not rejected and the p-value
-against ordinary words survives Benjamini-Hochberg control within its length
-class over the whole table.
+base64) is inferred, and three tests are computed over that alphabet: chi-squared
+uniformity, runs, and lag-1 serial correlation. Each is read in two ways. Against
+uniform random characters, a candidate whose least p-value is below ``REJECT`` is
+not random, and its p-value is 1. Otherwise the three p-values against ordinary
+words (as uniform, as many runs, as little correlation) are combined into one by
+Fisher's rule, and a candidate counts when that survives Benjamini-Hochberg
+control within its length class, over all candidates of the table. Only -log10 of
+a p-value is ever carried, so no length underflows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +45,12 @@ ALPHABETS = (
     ("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 _PLACE = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS}
-#: Chance that two characters of ordinary words agree; case changes a character in them.
+_VALUE = {name: np.array([chars.find(chr(c)) for c in range(128)]) for name, chars in ALPHABETS}
+#: Chance that two characters of ordinary words agree; changes of character class a
+#: character in them.
 COINCIDENCE, CHANGES = 0.065, 0.04
-#: Level below which randomness is rejected; rate of false discoveries; histogram bins of -log10 p.
+#: p-value below which randomness is rejected; rate of false discoveries; histogram bins of
+#: -log10 p and their width (the last holds all beyond).
 REJECT, FDR, BINS, PER_BIN = 1e-4, 1e-3, 600, 0.1
 _KEY = np.zeros(256, bool)
 _KEY[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -55,6 +62,24 @@ def _phi(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _log_phi(z: float) -> float:
+    """Natural log of the normal distribution function, also far out."""
+    if z > -30:
+        return math.log(_phi(z))
+    return -z * z / 2 - math.log(-z * math.sqrt(2 * math.pi)) + math.log1p(-1 / (z * z))
+
+
+def _log_poisson_tail(k: int, mean: float) -> float:
+    """Natural log of P(X >= k), by its first terms relative to the first of all."""
+    if k <= mean:
+        return 0.0
+    total, term = 0.0, 1.0
+    for i in range(k, k + 100):
+        total += term
+        term *= mean / (i + 1)
+    return min(0.0, -mean + k * math.log(mean) - math.lgamma(k + 1) + math.log(total))
+
+
 def infer(token: str) -> str | None:
     """The first alphabet that holds the token without its padding; None without
     both digits and letters or both cases, which plain words and numbers lack."""
@@ -65,57 +90,55 @@ def infer(token: str) -> str | None:
     return next((name for name, _ in ALPHABETS if all(c in _PLACE[name] for c in body)), None)
 
 
-def battery(token: str, name: str) -> tuple[float, float]:
-    """(p under uniform random characters, p under ordinary words) of a token.
+def _classes(body: str) -> np.ndarray:
+    raw = np.frombuffer(body.encode("ascii"), np.uint8)
+    return (raw <= 57) * (raw >= 48) + 2 * ((raw <= 90) & (raw >= 65)) + 4 * ((raw <= 122) & (raw >= 97))
 
-    The first is the least of the three tests' p-values, corrected for their number;
-    the second combines, by Fisher's rule, how small the chi-squared statistic and how
-    large the number of changes of character class are for words of this length.
-    """
+
+def battery(token: str, name: str) -> float:
+    """-log10 of a token's p-value against ordinary words; 0 where its randomness is
+    rejected. See the head of this file."""
     body = token.rstrip("=")
-    at = np.array([_PLACE[name][c] for c in body], float)
+    at = _VALUE[name][np.frombuffer(body.encode("ascii"), np.uint8)]
     n, a = len(at), len(_PLACE[name])
-    counts = np.bincount(at.astype(int), minlength=a)
-    chi = float((counts * counts).sum() * a / n - n)
+    counts = np.bincount(at, minlength=a)
+    chi = float((counts * counts).sum()) * a / n - n
+    # uniform random characters: the statistic's z, runs about the median, correlation 0
     z_chi = (chi - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
-    high = at >= a / 2
-    n1, n2 = int(high.sum()), int(n - high.sum())
-    runs = 1 + int((high[1:] != high[:-1]).sum())
+    high = 2 * at >= a
+    n1 = int(high.sum())
+    n2 = n - n1
     if n1 and n2:
         mean = 1 + 2 * n1 * n2 / n
         var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        z_runs = (runs - mean) / math.sqrt(var)
+        z_runs = (1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(var)
     else:
         z_runs = -math.sqrt(n)
     dev = at - at.mean()
-    total = float((dev * dev).sum())
-    z_serial = float((dev[1:] * dev[:-1]).sum()) / total * math.sqrt(n) if total else math.sqrt(n)
-    uniform = min(1.0, 3 * min(1 - _phi(z_chi), 2 * _phi(-abs(z_runs)), 2 * _phi(-abs(z_serial))))
+    spread = float((dev * dev).sum())
+    serial = float((dev[1:] * dev[:-1]).sum()) / spread if spread else 1.0
+    if 3 * min(_phi(-z_chi), 2 * _phi(-abs(z_runs)), 2 * _phi(-abs(serial) * math.sqrt(n))) < REJECT:
+        return 0.0
+    # ordinary words: few characters, used often; ...
     excess = a * COINCIDENCE - 1
-    if excess > 0:  # words use few of these characters, and these often
-        mean, sd = (a - 1) + (n - 1) * excess, math.sqrt(2 * (a - 1) + 4 * n * excess)
-        p_chi = max(_phi((chi - mean) / sd), 1e-300)
-    else:  # an alphabet so small that words hardly fit into it
-        p_chi = max(0.5**n, 1e-300)
-    kind = [c.isdigit() + 2 * c.isupper() + 4 * c.islower() for c in body]
-    changes = sum(x != y for x, y in zip(kind, kind[1:], strict=False))
-    p_change = max(_poisson_tail(changes, CHANGES * n), 1e-300)
-    s = -math.log(p_chi) - math.log(p_change)
-    words = math.exp(-s) * (1 + s)  # Fisher's rule for two
-    return uniform, words
-
-
-def _poisson_tail(k: int, mean: float) -> float:
-    """P(X >= k), bounded by Chernoff far out so that it stays positive."""
-    if k <= mean:
-        return 1.0
-    if k > 60:
-        return math.exp(-mean + k - k * math.log(k / mean))
-    term, total = math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)), 0.0
-    for i in range(k, k + 60):
-        total += term
-        term *= mean / (i + 1)
-    return min(1.0, total)
+    if excess > 0:
+        l_chi = _log_phi((chi - (a - 1) - (n - 1) * excess) / math.sqrt(2 * (a - 1) + 4 * n * excess))
+    else:  # ... an alphabet so small that words hardly fit into it
+        l_chi = -n * math.log(2)
+    # ... long runs of one class of characters; ...
+    kind = _classes(body)
+    l_runs = _log_poisson_tail(int((kind[1:] != kind[:-1]).sum()), CHANGES * n)
+    # ... and so neighbours that lie in one part of the alphabet: the share of the spread
+    # that lies between the classes carries over as far as classes seldom change
+    between, random_changes = 0.0, 1.0
+    for c in np.unique(kind):
+        own = kind == c
+        between += float(dev[own].sum()) ** 2 / int(own.sum())
+        random_changes -= (int(own.sum()) / n) ** 2
+    words = between / spread * (1 - CHANGES / random_changes) if spread and random_changes > CHANGES else 0.0
+    l_serial = _log_phi((serial - words) * math.sqrt(n))
+    s = -(l_chi + l_runs + l_serial)
+    return max(0.0, (s - math.log1p(s + s * s / 2)) / math.log(10))  # Fisher's rule for three
 
 
 def base_spans(text: str) -> list[Span]:
@@ -128,16 +151,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, float, float]]:
-    """(start, end, length class, p uniform, p words) of untaken key-like runs."""
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, bin of -log10 p) of untaken key-like runs."""
     out = []
+    begun = [s for s, _, _ in base]  # in order; the furthest end of each and all before it:
+    ended = list(accumulate((e for _, e, _ in base), max))
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
+        at = bisect_left(begun, m.end())
+        if at and ended[at - 1] > m.start():
             continue
         name = infer(m[0])
         if name:
-            uniform, words = battery(m[0], name)
-            out.append((m.start(), m.end(), min(6, (m.end() - m.start()).bit_length()), uniform, words))
+            out.append((m.start(), m.end(), min(6, (m.end() - m.start()).bit_length()), min(BINS - 1, int(battery(m[0], name) / PER_BIN))))
     return out
 
 
@@ -157,11 +182,10 @@ def _suspects(batch: pa.Array) -> np.ndarray:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base array of (start, end, kind), found array of (start, end, size, uniform,
-    words)): one row for each row of ``df``; null and empty texts have empty arrays."""
+    """(id, base array of (start, end, kind), found array of (start, end, size, bin)): one row for each row of ``df``; null and empty texts have empty arrays."""
     kind = df.schema[id_col].dataType.simpleString()
     base_t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
-    found_t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("size", pa.int32()), ("uniform", pa.float64()), ("words", pa.float64())]))
+    found_t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("size", pa.int32()), ("bin", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1)
@@ -171,28 +195,26 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             text = texts[int(i)].as_py() or ""
             base = base_spans(text)
             bases[i] = [{"start": s, "end": e, "kind": k} for s, e, k in base]
-            found[i] = [{"start": s, "end": e, "size": z, "uniform": u, "words": w} for s, e, z, u, w in candidates(text, base)]
+            found[i] = [{"start": s, "end": e, "size": z, "bin": b} for s, e, z, b in candidates(text, base)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, base_t), pa.array(found, found_t)], names=[id_col, "base", "found"])
 
-    schema = f"`{id_col}` {kind}, base array<struct<start:bigint,end:bigint,kind:int>>, found array<struct<start:bigint,end:bigint,size:int,uniform:double,words:double>>"
+    schema = f"`{id_col}` {kind}, base array<struct<start:bigint,end:bigint,kind:int>>, found array<struct<start:bigint,end:bigint,size:int,bin:int>>"
     return arrow_map(df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")), run, schema)
 
 
-def cutoffs(scanned: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """For each length class the largest -log10 p bin edge that Benjamini-Hochberg still
-    admits, over all tested candidates; classes without one are absent. The histogram has
-    at most 7 x BINS rows."""
-    tested = scanned.select(F.explode("found").alias("c")).select("c.*")
-    level = F.least(F.lit(BINS - 1), F.floor(-F.log10("words") / F.lit(PER_BIN))).cast("int")
-    rows = tested.groupBy("size", level.alias("bin")).agg(F.count("*").alias("n"), F.count(F.when(F.col("uniform") >= REJECT, 1)).alias("ok")).collect()
+def cutoffs(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """For each length class the least bin of -log10 p that Benjamini-Hochberg still admits,
+    over all candidates; classes without one are absent. A p-value counts as the largest
+    of its bin. The histogram has at most 7 x BINS rows."""
+    rows = scanned.select(F.explode("found").alias("c")).groupBy("c.size", "c.bin").agg(F.count("*").alias("n")).collect()
     out = {}
     for size in {r["size"] for r in rows}:
-        own = sorted((r for r in rows if r["size"] == size), key=lambda r: -r["bin"])
-        total, seen = sum(r["n"] for r in own), 0
-        for r in own:
-            seen += r["ok"]
-            if seen and 10 ** (-r["bin"] * PER_BIN) <= fdr * seen / total:
-                out[size] = r["bin"] * PER_BIN
+        own = sorted((r["bin"], r["n"]) for r in rows if r["size"] == size)
+        total, seen = sum(n for _, n in own), 0
+        for b, n in reversed(own):
+            seen += n
+            if 10 ** (-b * PER_BIN) <= fdr * seen / total:
+                out[size] = b
     return out
 
 
@@ -207,8 +229,8 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     cut = cutoffs(scanned, fdr)
     spans = F.col("base")
     if cut:
-        at_most = F.create_map(*[x for s, e in cut.items() for x in (F.lit(s), F.lit(float(e)))])
-        good = F.filter("found", lambda c: (c["uniform"] >= REJECT) & (F.floor(-F.log10(c["words"]) / F.lit(PER_BIN)) * F.lit(PER_BIN) >= F.coalesce(at_most[c["size"]], F.lit(float("inf")))))
+        least = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+        good = F.filter("found", lambda c: c["bin"] >= F.coalesce(least[c["size"]], F.lit(BINS)))
         spans = F.array_sort(F.concat("base", F.transform(good, lambda c: F.struct(c["start"], c["end"], F.lit(3).alias("kind")))), _by_start)
     return scanned.select(id_col, spans.alias("spans"))
 
@@ -239,13 +261,11 @@ def redact(text: str | None, spans: list[tuple[int, int, int]], mark: str = "[SE
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, fdr: float = FDR) -> DataFrame:
     """``df`` with the spans of :func:`detect` replaced in its texts, all columns kept;
-    ``length_col``, if given, becomes the new length in code points (null for a null text)."""
+    ``length_col``, if given, becomes the new length in code points (null for a null text).
+    Null and empty texts stay as they are; repeated rows are each redacted."""
     cut = cutoffs(stored(scan(df, id_col, text_col), "secrets"), fdr)
     at = df.columns.index(text_col)
 
-    def admitted(size: int, uniform: float, words: float) -> bool:
-        return size in cut and uniform >= REJECT and math.floor(-math.log10(words) / PER_BIN) * PER_BIN >= cut[size]
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(at)
         suspects = np.flatnonzero(_suspects(texts))
@@ -255,7 +275,7 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         for i in suspects:
             text = out[i] or ""
             spans = base_spans(text)
-            spans += [(s, e, 3) for s, e, z, u, w in candidates(text, spans) if admitted(z, u, w)]
+            spans += [(s, e, 3) for s, e, z, b in candidates(text, spans) if b >= cut.get(z, BINS)]
             out[i] = redact(out[i], spans)
         return batch.set_column(at, batch.schema.field(at), pa.array(out, texts.type))
 

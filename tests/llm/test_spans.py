@@ -82,6 +82,42 @@ def test_randomness_battery(spark):
     assert secrets.redact(texts[hit[0]], [tuple(s) for s in got[hit[0]]]) == "x [SECRET] y"
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def test_long_keys_are_found_and_redacted(spark):
+    rng = random.Random(5)
+    lengths = [20, 40, 100, 300, 500, 600, 700, 900, 2000, 20000, 100000]
+    texts = [f"x {''.join(rng.choice(BASE64) for _ in range(n))} y" for n in lengths] + ["plain words"]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.detect(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(1, len(lengths))] == [[(2, 2 + n, 3)] for n in lengths[1:]] and not got[len(lengths)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(frame(spark, texts)).collect()}
+    assert all(clean[i] == "x [SECRET] y" for i in range(1, len(lengths))) and clean[len(lengths)] == "plain words"
+
+
+def test_random_spans_are_those_of_plain_benjamini_hochberg(spark, docs):
+    """The same p-values, sorted and cut class by class in plain code."""
+    rng = random.Random(6)
+    extra = {-i - 1: f"k {''.join(rng.choice(BASE64[: rng.choice([36, 62, 64])]) for _ in range(rng.randint(20, 70)))} and Version{i}0115ReleaseBuild{i * 37}" for i in range(400)}
+    texts = {**docs[1], **extra}
+    found = []
+    for i, t in texts.items():
+        base = brute_secrets(t or "")
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            name = secrets.infer(m[0])
+            if name and not any(s < m.end() and m.start() < e for s, e, _ in base):
+                level = secrets.battery(m[0], name)
+                found.append((i, m.start(), m.end(), min(6, (m.end() - m.start()).bit_length()), min(59.9, int(level * 10) / 10)))
+    want = set()
+    for size in {f[3] for f in found}:
+        own = sorted((f for f in found if f[3] == size), key=lambda f: -f[4])
+        good = [f[4] for k, f in enumerate(own) if 10 ** -f[4] <= secrets.FDR * (k + 1) / len(own)]
+        want |= {f[:3] for f in own if good and f[4] >= min(good)}
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": texts.keys(), "text": texts.values()}))
+    got = {(r["doc_id"], s["start"], s["end"]) for r in secrets.detect(df).collect() for s in r["spans"] if s["kind"] == 3}
+    assert got == want and len(want) > 200 and len(want) < len(found)
+
+
 def test_disclosing_terms(spark):
     filler = [f"plain words number{i} about gardens and weather today" for i in range(60)]
     leak = [f"{a} zorblatt wrote {b} to kim@example.org for {c} help" for a, b, c in zip("alpha beta gamma delta omega".split(), "letters papers essays notes cards".split(), "some more extra quick kind".split(), strict=True)]
