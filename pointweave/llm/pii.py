@@ -2,10 +2,15 @@
 
 Fixed patterns give the base spans; each distinct value is a protected entity, and so
 is each kind. Over the whole corpus, words near mentions of an entity are counted with
-it. A word discloses an entity when knowing it removes at least ``ALPHA`` of the
-entity's information content: PMI(word; entity) >= ALPHA * IC(entity), both from corpus
-counts, with enough distinct contexts behind it. Every occurrence of such a word, in any
-document, becomes a span; ``sanitise`` generalises it, or removes it at full disclosure.
+it. With N words in the corpus, p(e) is the share of them that stand near a mention of
+entity e, and p(e | t) the share of the occurrences of term t that do, so both are exact
+shares. A term discloses an entity when knowing it removes at least ``ALPHA`` of the
+entity's information content: PMI(t; e) >= ALPHA * IC(e), with enough distinct contexts
+behind it. Every occurrence of such a term, in any document, becomes a span; ``sanitise``
+generalises it, or removes it at full disclosure.
+
+A term is a word without outer punctuation, A-Z in lower case. Terms are counted and looked
+up by 64-bit hashes, whole Arrow batches at a time.
 """
 
 from __future__ import annotations
@@ -16,13 +21,14 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import arrow_map, documents, pieces, stored, text_buffers
+from pointweave.llm.common import Words, arrow_map, documents, hash_spans, pieces, stored, text_buffers
 
 #: Kinds in order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -35,10 +41,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words looked at on either side of a mention; least distinct contexts of a pair; share
 #: of an entity's information that a disclosing word removes; least letters of a word.
 NEAR, SUPPORT, ALPHA, LETTERS = 8, 3, 0.9, 4
-#: Terms that one pass over the documents looks for (about 16 bytes each on a worker).
-TERMS_A_PASS = 500_000
-#: Words that a worker remembers as terms, or as none.
-REMEMBERED = 100_000
+#: Terms that one pass over the documents looks for (8 bytes each on a worker).
+TERMS_A_PASS = 4_000_000
+_LOWER = {c: c + 32 for c in range(65, 91)}
+PUNCTUATION = """!"#$%&'()*+,-./:;<=>?[\\]^_`{|}~"""
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[ord(c) for c in PUNCTUATION]] = True
 
 Span = tuple[int, int, int]
 
@@ -93,9 +101,9 @@ def value(text: str, span: Span) -> str:
 
 
 def terms(piece: str) -> str | None:
-    """The term of a word: lower case, outer punctuation off; None if it has too few
+    """The term of a word: A-Z in lower case, outer punctuation off; None if it has too few
     letters, or any digit or at sign."""
-    t = piece.lower().strip("""!"#$%&'()*+,-./:;<=>?[\\]^_`{|}~""")
+    t = piece.strip(PUNCTUATION).translate(_LOWER)
     return t if sum(c.isalpha() for c in t) >= LETTERS and not any(c.isdigit() or c == "@" for c in t) else None
 
 
@@ -107,7 +115,8 @@ def term_hash(t: str) -> int:
 def contexts(text: str, spans: list[Span]) -> list[dict]:
     """For each mention its entity and the terms within NEAR words, without the words of
     any mention, and a hash of them. Words are whole, however long; one that a mention is
-    part of is cut at the mention."""
+    part of is cut at the mention. ``places``: of each word looked at
+    its number and its term or None; a word on both sides of the mention comes twice."""
     words = [m.span() for m in WORD.finditer(text)]
     starts, ends = [w[0] for w in words], [w[1] for w in words]
     begun, ended = sorted(s for s, _, _ in spans), sorted(e for _, e, _ in spans)
@@ -122,18 +131,38 @@ def contexts(text: str, spans: list[Span]) -> list[dict]:
     for s, e, k in spans:
         i, j = bisect_left(starts, s), bisect_right(ends, e)
         before, after = range(max(0, i - NEAR), i), range(j, min(j + NEAR, len(words)))
-        found = []
+        places = []
         # a rest that holds another mention, so a digit or an at sign, is no term
         if before and ends[i - 1] > s:
             before = before[:-1]
             at = bisect_right(ended, s)
-            found.append(None if at and ended[at - 1] > starts[i - 1] else terms(text[starts[i - 1] : s]))
+            places.append((i - 1, None if at and ended[at - 1] > starts[i - 1] else terms(text[starts[i - 1] : s])))
         if after and starts[j] < e:
             after = after[1:]
             at = bisect_left(begun, e)
-            found.append(None if at < len(begun) and begun[at] < ends[j] else terms(text[e : ends[j]]))
-        near = sorted({t for t in [*found, *map(term, before), *map(term, after)] if t})
-        out.append({"entity": value(text, (s, e, k)), "kind": KINDS[k], "terms": near, "context": term_hash(" ".join(near))})
+            places.append((j, None if at < len(begun) and begun[at] < ends[j] else terms(text[e : ends[j]])))
+        places += [(n, term(n)) for part in (before, after) for n in part]
+        near = sorted({t for _, t in places if t})
+        out.append({"entity": value(text, (s, e, k)), "kind": KINDS[k], "terms": near, "context": term_hash(" ".join(near)), "places": places})
+    return out
+
+
+def occurrences(text: str, spans: list[Span]) -> Counter:
+    """Counts by (entity, term or None for any word, context): every word near a mention
+    counts once for each entity, under the first mention that it is near, and has a 0 under
+    further contexts. Entities are values and kinds (``kind:*``). A word that is only part
+    of a word of the text (cut at a mention) is no occurrence of its term."""
+    words = [m.group() for m in WORD.finditer(text)]
+    seen: set[tuple[str, int]] = set()
+    out: Counter = Counter()
+    for c in contexts(text, spans):
+        for entity in (c["entity"], c["kind"] + ":*"):
+            for place, term in c["places"]:
+                fresh = (entity, place) not in seen
+                seen.add((entity, place))
+                out[entity, None, 0] += fresh
+                if term is not None:
+                    out[entity, term, c["context"]] += fresh and terms(words[place]) == term
     return out
 
 
@@ -148,152 +177,194 @@ def _suspects(texts: pa.Array) -> np.ndarray:
     return found
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
-_SPANS_SQL = "array<struct<start:bigint,end:bigint,kind:int>>"
-_CONTEXTS = pa.list_(pa.struct([("entity", pa.string()), ("kind", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+_SPAN_FIELDS = ("start", "end", "kind", "removed")
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("removed", pa.bool_())]))
+_SPANS_SQL = "array<struct<start:bigint,end:bigint,kind:int,removed:boolean>>"
+
+
+class Terms:
+    """The terms of all words of a text column: their place in ``Words``, byte places
+    without outer punctuation, and hashes; words of punctuation alone have none."""
+
+    def __init__(self, texts: pa.Array):
+        w = self.words = Words(texts)
+        solid = np.flatnonzero(~_PUNCT[w.raw])
+        edge = np.concatenate([solid, [len(w.raw)]])
+        start = edge[np.searchsorted(solid, w.start)]
+        self.word = np.flatnonzero(start < w.end)
+        self.start = start[self.word]
+        self.end = solid[np.searchsorted(solid, w.end[self.word]) - 1] + 1
+        self.row = w.doc[self.word]
+        self.hash = hash_spans(w.raw, self.start, self.end)
+
+    def code_points(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of chosen terms in code points of their texts."""
+        heads = np.concatenate([[0], np.cumsum((self.words.raw & 0xC0) != 0x80)])
+        first = heads[self.words.offsets[self.row[chosen]]]
+        return heads[self.start[chosen]] - first, heads[self.end[chosen]] - first
 
 
 def mentions(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(contexts): one row for each text with a mention."""
+    """(entity, term, hash, context, n): :func:`occurrences` of all texts, summed in each
+    chunk; the hash is that of :class:`Terms`, null without a term."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        near = []
+        found: Counter = Counter()
         for i in np.flatnonzero(_suspects(batch.column(0))):
             text = batch.column(0)[int(i)].as_py()
             if spans := base_spans(text):
-                near.append(contexts(text, spans))
-        return pa.RecordBatch.from_arrays([pa.array(near, _CONTEXTS)], names=["contexts"]) if near else None
-
-    return arrow_map(df.select(F.col(text_col).cast("string").alias("__text")), run, "contexts array<struct<entity:string,kind:string,context:bigint,terms:array<string>>>")
-
-
-def pairs(scanned: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, n_joint, n_entity): co-occurrence counts of pairs with ``support``
-    distinct contexts. Entities are values and kinds (``kind:*``). Copies of a context
-    count towards n_joint, not towards support; both are summed map-side first, so a
-    value with a third of all mentions is no hot task."""
-    seen = scanned.select(F.explode("contexts").alias("c")).select(F.explode(F.array("c.entity", F.concat("c.kind", F.lit(":*")))).alias("entity"), "c.context", "c.terms")
-    near = seen.groupBy("entity", "context", "terms").agg(F.count("*").alias("n"))
-    joint = near.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_joint"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
-    totals = near.groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    return joint.join(totals, "entity").select("entity", "term", "n_joint", "n_entity")
-
-
-def _hits(text: str, known: set[str], seen: dict[str, str | None]):
-    """(start, end, term) of the known terms; ``seen`` remembers words, up to a bound."""
-    for m in WORD.finditer(text):
-        w = m[0]
-        t = seen.get(w, "")
-        if t == "":
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            t = terms(w)
-            t = seen[w] = t if t in known else None
-        if t:
-            k = max(0, w.lower().find(t))
-            yield m.start() + k, m.start() + k + len(t), t
-
-
-def term_counts(df: DataFrame, wanted: list[str], text_col: str = "text") -> DataFrame:
-    """(term, n): how often each wanted term occurs in the whole corpus."""
-    held = df.sparkSession.sparkContext.broadcast(frozenset(wanted))
+                found.update(occurrences(text, spans))
+        if not found:
+            return None
+        entity, term, context = (list(c) for c in zip(*found, strict=True))
+        distinct = pa.array(term, pa.string()).dictionary_encode()
+        raw, offsets = text_buffers(distinct.dictionary)
+        codes = pa.array(hash_spans(raw, offsets[:-1], offsets[1:]).view(np.int64)).take(distinct.indices)
+        return pa.RecordBatch.from_arrays([pa.array(entity), distinct.dictionary_decode(), codes, pa.array(context, pa.int64()), pa.array([*found.values()], pa.int64())], names=["entity", "term", "hash", "context", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, found = held.value, {}, Counter()
-        for batch in batches:
-            for part in pieces(batch):
-                for text in part.column(0).to_pylist():
-                    found.update(t for _, _, t in _hits(text or "", known, seen))
-        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], names=["term", "n"])
+    return arrow_map(df.select(F.col(text_col).cast("string").alias("__text")), run, "entity string, term string, hash bigint, context bigint, n bigint")
 
-    counted = df.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "term string, n bigint")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
+def pairs(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, hash, n_joint, n_entity): occurrences of the term near a mention of the
+    entity, and of any word, for pairs with ``support`` distinct contexts. All is summed
+    map-side first, so a value with a third of all mentions is no hot task."""
+    near = found.where("term is not null").groupBy("entity", "term", "hash", "context").agg(F.sum("n").alias("n"))
+    joint = near.groupBy("entity", "term", "hash").agg(F.sum("n").alias("n_joint"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= support)
+    totals = found.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    return joint.join(totals, "entity").select("entity", "term", "hash", "n_joint", "n_entity")
 
-def blocks(df: DataFrame, column: str, size: int):
-    """Lists of at most ``size`` distinct values of a string column, by ranges of their
-    hash, so that the driver and the workers hold one list at a time."""
-    keyed = df.select(column).distinct()
-    n = max(1, math.ceil(keyed.count() / (size * 0.8)))
+
+def term_counts(df: DataFrame, wanted: np.ndarray, text_col: str = "text") -> DataFrame:
+    """(hash, n): how often each wanted term (sorted hashes) occurs in the whole corpus, and
+    under a null hash the number of all words."""
+    held = df.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words = held.value, 0
+        counts = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for part in pieces(batch):
+                t = Terms(part.column(0))
+                words += len(t.words.start)
+                at, hit = _lookup(known, t.hash)
+                counts += np.bincount(at[hit], minlength=len(known))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([*known[some].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[some].tolist(), words], pa.int64())], names=["hash", "n"])
+
+    return df.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted ``known``, whether each is there)."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return at, known[at] == wanted
+
+
+def blocks(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """The distinct rows of the columns, by ranges of the first, a hash, so that the driver
+    and the workers hold about TERMS_A_PASS at a time."""
+    keyed = df.select(*columns).distinct()
+    n = max(1, math.ceil(keyed.count() / TERMS_A_PASS))
     for b in range(n):
-        part = [r[0] for r in keyed.where(F.pmod(F.xxhash64(column), F.lit(n)) == b).toLocalIterator()]
-        if part:
-            yield part
+        yield keyed.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == b)
 
 
-def disclosing(df: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT, near: DataFrame | None = None) -> DataFrame:
-    """(term, share): words that disclose an entity; ``share`` of its information content,
-    1 if the word never occurs without it.
+def disclosing(df: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(hash, term, share): words that disclose an entity; ``share`` of its information
+    content, 1 if the word never occurs without it.
 
-    With p(e) = n_entity / N and p(e | t) = n_joint / n_term, PMI / IC is
-    1 - log p(e | t) / log p(e); N is the number of words of the corpus.
+    PMI / IC is 1 - log p(e | t) / log p(e); see the head of this file.
     """
-    found = stored(pairs(near if near is not None else mentions(df, text_col), support), "pii-pairs")
+    found = stored(pairs(mentions(df, text_col), support), "pii-pairs")
     counts = None
-    for block in blocks(found, "term", TERMS_A_PASS):
-        part = stored(term_counts(df, block, text_col), "pii-terms")
+    for block in blocks(found, "hash"):
+        wanted = np.sort(block.toArrow().column("hash").combine_chunks().to_numpy().view(np.uint64))
+        part = stored(term_counts(df, wanted, text_col), "pii-terms")
         counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return df.sparkSession.createDataFrame([], "term string, share double")
-    total = df.select(F.sum(F.coalesce(F.length(text_col), F.lit(0)))).first()[0] or 1
-    words = max(2.0, total / 6.0)  # a word and its blank take about six characters
-    p_joint = F.least(F.lit(1.0), F.col("n_joint") / F.col("n"))
-    share = 1 - F.log(p_joint) / F.log(F.least(F.lit(0.5), F.col("n_entity") / F.lit(words)))
-    return found.join(counts, "term").select("term", share.alias("share")).where(F.col("share") >= alpha).groupBy("term").agg(F.max("share").alias("share"))
-
-
-def _marked(df: DataFrame, wanted: list[str], first: bool, last: bool) -> DataFrame:
-    """One pass: base spans if ``first``, and the spans of ``wanted`` terms."""
-    held = df.sparkSession.sparkContext.broadcast(frozenset(wanted))
+    words = counts.where("hash is null").agg(F.max("n")).first()[0] or 0
+    rare = F.least(F.col("n_entity") / F.lit(float(max(words, 1))), F.lit(0.5))  # an entity near every other word carries a bit at least
+    share = 1 - F.log(F.col("n_joint") / F.col("n")) / F.log(rare)
+    return found.where("n_joint > 0").join(counts, "hash").select("hash", "term", share.alias("share")).where(F.col("share") >= alpha).groupBy("hash").agg(F.first("term").alias("term"), F.max("share").alias("share"))
+
+
+def _marked(df: DataFrame, codes: np.ndarray, full: np.ndarray, first: bool, last: bool) -> DataFrame:
+    """One pass over (id, text, text again or earlier spans): base spans if ``first``, and
+    the spans of terms with the sorted hashes ``codes``; ``full`` of them are removed, not
+    generalised. The last one gives (id, spans, sanitised)."""
+    held = df.sparkSession.sparkContext.broadcast((codes, full))
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, seen = held.value, {}
+        known, removed = held.value
         texts = batch.column(1)
-        spans: list[list] = [[] for _ in range(batch.num_rows)] if first else batch.column(2).to_pylist()
+        spans: list[list] = [[] for _ in range(batch.num_rows)] if first else [[tuple(s.values()) for s in own] for own in batch.column(2).to_pylist()]
         if first:
             for i in np.flatnonzero(_suspects(texts)):
-                spans[i] = [{"start": s, "end": e, "kind": k} for s, e, k in base_spans(texts[int(i)].as_py())]
-        if known:
-            for i, text in enumerate(texts.to_pylist()):
-                taken = [(s["start"], s["end"]) for s in spans[i] if s["kind"] < 4]
-                spans[i] += [{"start": s, "end": e, "kind": 4} for s, e, _ in _hits(text or "", known, seen) if not any(a < e and s < b for a, b in taken)]
+                spans[i] = [(s, e, k, False) for s, e, k in base_spans(texts[int(i)].as_py())]
+        if len(known):
+            t = Terms(texts)
+            at, hit = _lookup(known, t.hash)
+            chosen = np.flatnonzero(hit)
+            taken = {i: sorted(s[:2] for s in spans[i] if s[2] < 4) for i in np.unique(t.row[chosen]).tolist()}
+            reach = {i: [*accumulate((e for _, e in own), max)] for i, own in taken.items()}
+            for i, s, e, gone in zip(t.row[chosen].tolist(), *(c.tolist() for c in t.code_points(chosen)), removed[at[chosen]].tolist(), strict=True):
+                before = bisect_left(taken[i], (e,))
+                if not (before and reach[i][before - 1] > s):
+                    spans[i].append((s, e, 4, gone))
+        cols = [batch.column(0)]
         if last:
+            clean = texts
+            some = [i for i, own in enumerate(spans) if own]
+            if some:
+                out = texts.to_pylist()
+                for i in some:
+                    out[i] = sanitise(out[i], spans[i])
+                clean = pa.array(out, texts.type)
             for own in spans:
-                own.sort(key=lambda s: (s["kind"], s["start"]))
-        cols = [batch.column(0)] + ([] if last else [texts]) + [pa.array(spans, _SPANS)]
-        return pa.RecordBatch.from_arrays(cols, names=["id", *([] if last else ["text"]), "spans"])
+                own.sort(key=lambda s: (s[2], s[0]))
+        else:
+            cols.append(texts)
+        cols.append(pa.array([[dict(zip(_SPAN_FIELDS, s, strict=True)) for s in own] for own in spans], _SPANS))
+        return pa.RecordBatch.from_arrays([*cols, clean] if last else cols, names=["id", "spans", "sanitised"] if last else ["id", "text", "spans"])
 
-    return arrow_map(df, run, f"id {kind}, " + ("" if last else "text string, ") + f"spans {_SPANS_SQL}")
+    return arrow_map(df, run, f"id {kind}, spans {_SPANS_SQL}, sanitised string" if last else f"id {kind}, text string, spans {_SPANS_SQL}")
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(id, spans array of (start, end, kind)), one row for each row of ``df``; code points,
-    end exclusive, by kind as in KINDS, then start. Base spans always stay; term spans
-    don't overlap them.
+    """(id, spans array of (start, end, kind, removed), sanitised), one row for each row of
+    ``df``; code points, end exclusive, by kind as in KINDS, then start; ``sanitised`` is
+    the text after :func:`sanitise`. Base spans always stay; term spans don't overlap them.
 
-    Null and empty texts have no spans; repeated rows are each marked, and count as often
-    as they come; an empty table gives an empty one; other columns are dropped.
+    Null and empty texts have no spans and stay as they are; repeated rows are each marked,
+    and count as often as they come, as do terms of equal share; an empty table gives an
+    empty one; other columns are dropped.
     """
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = stored(disclosing(df, text_col, alpha, support), "pii-disclosing")
-    parts = blocks(found, "term", TERMS_A_PASS)
-    part, first = next(parts, []), True
-    for after in parts:
-        out, part, first = stored(_marked(out, part, first, False), "pii-marked"), after, False
-    return _marked(out, part, first, True).withColumnRenamed("id", id_col)
-
-
-def sanitise(text: str | None, spans: list[Span], removed: frozenset[str] = frozenset()) -> str | None:
-    """Base spans become their kind in brackets; disclosing terms become [TERM], or go
-    where they are in ``removed`` (full disclosure)."""
+    found = stored(disclosing(out, "text", alpha, support), "pii-disclosing")
+    parts = [*blocks(found, "hash", "share")]
+    for i, part in enumerate(parts):
+        got = part.toArrow()
+        codes = got.column("hash").combine_chunks().to_numpy().view(np.uint64)
+        order = np.argsort(codes)
+        marked = _marked(out, codes[order], got.column("share").combine_chunks().to_numpy()[order] >= 1, i == 0, i == len(parts) - 1)
+        out = stored(marked, "pii-marked") if i < len(parts) - 1 else marked
+    return out.withColumnRenamed("id", id_col)
+
+
+def sanitise(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | None:
+    """Base spans become their kind in brackets; disclosing terms become [TERM], or go where
+    they are marked as removed (full disclosure). Overlapping spans are one, of the first."""
     if not text or not spans:
         return text
     out, at = [], 0
-    for start, end, kind in sorted(spans):
+    for start, end, kind, removed in sorted(spans):
         if start >= at:
             out.append(text[at:start])
-            if not (kind == 4 and text[start:end].lower() in removed):
+            if not removed:
                 out.append(f"[{KINDS[kind].upper()}]")
         at = max(at, end)
     return "".join([*out, text[at:]])
@@ -310,4 +381,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest columns of :func:`detect` over the documents."""
     found = detect(documents(spark, sf_dir))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(as_text(F.col("spans"), True), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), n(4).alias("n_term"))
+    return found.select("doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(as_text(F.col("spans"), True), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), n(4).alias("n_term"), F.sha2(F.coalesce("sanitised", F.lit("")), 256).alias("sanitised_sha256"))

@@ -1,6 +1,7 @@
 """Base spans against plain regular expressions, and what the methods add."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -147,6 +148,68 @@ def test_terms_of_all_passes_are_marked(spark, monkeypatch):
         assert {r["doc_id"]: r["spans"] for r in pii.detect(frame(spark, texts)).collect()} == want
 
 
+def brute_terms(texts):
+    """(term spans by text, removed terms): the definitions, word by word, in plain code."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    near_of, near_any, contexts, total, positions = {}, {}, {}, {}, 0
+    for i, t in texts.items():
+        words = [m.span() for m in word.finditer(t or "")]
+        positions += len(words)
+        whole = [pii.terms(t[a:b]) for a, b in words]
+        for term in whole:
+            if term:
+                total[term] = total.get(term, 0) + 1
+        spans = brute_pii(t or "")
+        for s, e, k in spans:
+            near = []
+            cut = [(a, min(b, s)) for a, b in words if a < s][-pii.NEAR :] + [(max(a, e), b) for a, b in words if b > e][: pii.NEAR]
+            for a, b in cut:
+                n = next(n for n, (x, y) in enumerate(words) if x <= a and b <= y)
+                near.append((n, pii.terms(t[a:b])))
+            key = ",".join(sorted({x for _, x in near if x}))
+            for entity in (pii.value(t, (s, e, k)), f"{pii.KINDS[k]}:*"):
+                near_any.setdefault(entity, set()).update((i, n) for n, _ in near)
+                for n, x in near:
+                    if x:
+                        contexts.setdefault((entity, x), set()).add(key)
+                        if whole[n] == x:
+                            near_of.setdefault((entity, x), set()).add((i, n))
+    share = {}
+    for (entity, x), places in near_of.items():
+        if len(contexts[entity, x]) >= pii.SUPPORT:
+            rare = min(0.5, len(near_any[entity]) / positions)
+            value = 1 - math.log(len(places) / total[x]) / math.log(rare)
+            if value >= pii.ALPHA:
+                share[x] = max(value, share.get(x, 0))
+    out = {}
+    for i, t in texts.items():
+        spans = brute_pii(t or "")
+        for m in word.finditer(t or ""):
+            core = m[0].strip(pii.PUNCTUATION)
+            if core and pii.terms(m[0]) in share:
+                a = m.start() + m[0].index(core)
+                if not any(s < a + len(core) and a < e for s, e, _ in spans):
+                    out.setdefault(i, set()).add((a, a + len(core), 4))
+    return out, {x for x, v in share.items() if v >= 1}
+
+
+def test_term_spans_are_those_of_plain_counts(spark, docs):
+    extra = ["İstanbul (İİİİstanbul) next", "Zoë's Ünïcode—word kim@example.org Ünïcode", "x"]
+    extra += [f"{w} zorblatt İzmir kim{i % 3}@example.org {w}{w} Wörter, (zorblatt)" for i, w in enumerate(["some", "more", "that", "this", "some"] * 2)] + ["İzmir, zorblatt"]
+    texts = {**docs[1], **{-i - 1: t for i, t in enumerate(extra)}}
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": texts.keys(), "text": texts.values()}))
+    got = {r["doc_id"]: r for r in pii.detect(df).collect()}
+    want, removed = brute_terms(texts)
+    assert {i: {(s["start"], s["end"], 4) for s in r["spans"] if s["kind"] == 4} for i, r in got.items() if any(s["kind"] == 4 for s in r["spans"])} == want
+    assert len(want) > 10
+    for i, r in got.items():
+        t = texts[i]
+        for s in r["spans"]:
+            assert s["removed"] == (s["kind"] == 4 and pii.terms(t[s["start"] : s["end"]]) in removed)
+        assert r["sanitised"] == pii.sanitise(t, [tuple(s) for s in r["spans"]])
+        assert not brute_pii(r["sanitised"] or "") or "[" in r["sanitised"]
+
+
 def test_contexts_are_whole_words():
     rng = random.Random(11)
     parts = ["x" * 400, "word", "Zorblatt,", "一二三四五六" * 60, "kim@example.org", "10.1.2.3", "mail:kim@example.org,", "+1 555 123 4567", "a", "9"]
@@ -158,6 +221,13 @@ def test_contexts_are_whole_words():
             assert c["terms"] == sorted({x for x in map(pii.terms, near) if x})
 
 
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "ask kim@example.org now", 1, "a"), (1, "ask kim@example.org now", 2, "b"), (None, "ask kim@example.org now", 3, "c"), (2, None, 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash int, term string")
+    got = pii.detect(df).collect()
+    assert sorted((r["doc_id"] or 0, len(r["spans"])) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0)]
+
+
 def test_keys_joined_to_a_name(spark):
     rng = random.Random(4)
     al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
