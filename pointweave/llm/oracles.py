@@ -40,16 +40,16 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
 
 TOPK = """
 WITH sound AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.place AS query, c.place AS place, q.vec_id AS query_id, c.vec_id,
          list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM sound q JOIN sound c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  FROM sound q JOIN sound c ON c.place <> q.place AND len(c.v) = len(q.v)
   WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, place) AS rank FROM scored)
 WHERE rank <= 5
 """
