@@ -1,10 +1,9 @@
 """Operator 1: language identification with interpolated Kneser-Ney character models.
 
 A text becomes a row of lower-case letters with single blanks between words. One model of
-``ORDER`` characters per language is trained on a bounded sample of labelled rows. All
-models lie in shared sorted arrays of packed n-gram keys, each with one column of
-log-probabilities (or of back-off weights) per language, so one search serves all. The
-language of lowest cross-entropy per character wins; it is rejected when that is far
+``ORDER`` characters per language is trained on a bounded sample of labelled rows, and lies
+in sorted arrays of its own packed n-gram keys with their log-probabilities and back-off
+weights; distinct n-grams of a batch of texts are looked up once. The language of lowest cross-entropy per character wins; it is rejected when that is far
 above what most held-back labelled rows of the language show. Every text is scored whole.
 """
 
@@ -24,8 +23,15 @@ from pointweave.llm.common import arrow_map, documents, fold, stored
 #: Characters of an n-gram: four of 16 bits fill a key.
 ORDER = 4
 #: Expected rows of each language in the sample that fits its model; one in four of them
-#: only calibrates. This bounds the model and what the driver sees.
-SAMPLE_ROWS = 1600
+#: only calibrates. Languages that are learned, the commonest labels. Both bound the model
+#: and what the driver sees.
+SAMPLE_ROWS, LANGUAGES = 1600, 256
+#: Symbols of a text that count as evidence, whatever its length. The symbols of a text
+#: aren't independent: its cross-entropy stops closing in on the language's own when
+#: its topic and author are settled, so that beyond about this many symbols neither the
+#: odds between languages nor the deviation from the usual may go on growing as if they were.
+#: The cross-entropy itself is always that of the whole text.
+EVIDENCE = 2000
 #: Deviations above a language's usual cross-entropy at which a text is rejected, at least.
 REJECT = 6.0
 #: Share of the held-back rows that the limit may reject; held-back rows from which a
@@ -40,9 +46,14 @@ def _letters() -> np.ndarray:
     return np.array([c if unicodedata.category(chr(c))[0] in "LM" else 0 for c in range(1 << 16)], np.uint64)
 
 
+def lettered(texts: pa.Array) -> np.ndarray:
+    """Which texts hold a letter; marks alone are none."""
+    return np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+
+
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all texts, starts): every text opens with ORDER - 1 blanks; runs of
-    anything but letters are one blank."""
+    anything but letters and marks are one blank."""
     parts = [(t or "").lower() for t in texts.to_pylist()]
     joined = "\n".join(["", *parts, ""])
     cp = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
@@ -84,46 +95,56 @@ def keys(sym: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Model:
-    """langs; per order n = 1..ORDER the sorted n-grams and [n-gram, lang] log2
-    probabilities; per context length the sorted contexts and log2 back-off weights;
-    ``floor``: log2 probability of an unseen symbol; calibration per language."""
+class Language:
+    """Per order n = 1..ORDER the sorted n-grams and their log2 probabilities, and the sorted
+    contexts and their log2 back-off weights; ``floor``: log2 probability of an unseen
+    symbol."""
 
-    langs: list[str]
     grams: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    floor: np.ndarray
-    usual: np.ndarray | None = None  # [lang, (median, deviation per root character, limit)]
-    heat: float = 1.0
+    floor: float
 
     def score(self, key: np.ndarray) -> np.ndarray:
-        """[key, lang] log2 probabilities of the last symbols of packed ORDER-grams."""
-        out = np.zeros((len(key), len(self.langs)), np.float32)
+        """log2 probabilities of the last symbols of packed ORDER-grams."""
+        out = np.zeros(len(key), np.float32)
         left = np.arange(len(key))
         for n in range(ORDER, 0, -1):
             part = key[left] & np.uint64((1 << 16 * n) - 1) if n < ORDER else key
-            at = np.searchsorted(self.grams[n - 1], part)
-            at[at == len(self.grams[n - 1])] = 0
-            hit = self.grams[n - 1][at] == part
-            if n == ORDER:
-                out[hit] = self.logp[n - 1][at[hit]]
-            else:
-                out[left[hit]] += self.logp[n - 1][at[hit]]
+            at, hit = _lookup(self.grams[n - 1], part)
+            out[left[hit]] += self.logp[n - 1][at[hit]]
             left, part = left[~hit], part[~hit]
             if not len(left):
                 return out
             if n > 1:
-                ctx = part >> np.uint64(16)
-                at = np.searchsorted(self.contexts[n - 1], ctx)
-                at[at == len(self.contexts[n - 1])] = 0
-                seen = self.contexts[n - 1][at] == ctx
-                out[left[seen]] += self.backoff[n - 1][at[seen]]
-        out[left] += self.floor
+                at, seen = _lookup(self.contexts[n - 1], part >> np.uint64(16))
+                out[left[seen]] += self.backoff[n - 1][at[seen]]  # an unseen context hands all on
+        out[left] += np.float32(self.floor)
         return out
 
 
+def _lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return at, known[at] == wanted
+
+
+@dataclass
+class Model:
+    """langs, the model of each, and their calibration."""
+
+    langs: list[str]
+    own: list[Language]
+    usual: np.ndarray | None = None  # [lang, (median, deviation per root character, limit)]
+    heat: float = 1.0
+
+    def score(self, key: np.ndarray) -> np.ndarray:
+        """[key, lang] log2 probabilities of the last symbols of packed ORDER-grams."""
+        distinct, which = np.unique(key, return_inverse=True)
+        return np.stack([x.score(distinct) for x in self.own], axis=1)[which]
+
+
 def _per_language(key: np.ndarray, count: np.ndarray, alphabet: int) -> list[tuple]:
     """Interpolated Kneser-Ney of one language: for n = 1..ORDER (n-grams, probabilities,
     contexts, back-off weights). Lower orders count distinct left extensions."""
@@ -153,28 +174,12 @@ def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """A model from (sorted packed ORDER-grams, counts) of each language."""
     langs = sorted(counts)
     alphabet = len(np.unique(np.concatenate([counts[x][0] & np.uint64(0xFFFF) for x in langs]))) + 1
-    own = [_per_language(*counts[x], alphabet) for x in langs]
-    floor = np.array([np.log2(o[0][3][0] / alphabet) for o in own], np.float32)
-    grams, logp, contexts, backoff = [], [], [], []
-    for n in range(1, ORDER + 1):
-        ctx = np.unique(np.concatenate([o[n - 1][2] for o in own]))
-        gamma = np.zeros((len(ctx), len(langs)), np.float32)  # an unseen context hands all on
-        for j, o in enumerate(own):
-            gamma[np.searchsorted(ctx, o[n - 1][2]), j] = np.log2(o[n - 1][3])
-        g = np.unique(np.concatenate([o[n - 1][0] for o in own]))
-        lp = np.empty((len(g), len(langs)), np.float32)
-        low = np.broadcast_to(floor, lp.shape)
-        if n > 1:  # every shorter end of a known n-gram is known, in some language
-            low = logp[-1][np.searchsorted(grams[-1], g & np.uint64((1 << 16 * (n - 1)) - 1))]
-            low = low + gamma[np.searchsorted(ctx, g >> np.uint64(16))]
-        lp[:] = low
-        for j, o in enumerate(own):
-            lp[np.searchsorted(g, o[n - 1][0]), j] = np.log2(o[n - 1][1])
-        grams.append(g)
-        logp.append(lp)
-        contexts.append(ctx)
-        backoff.append(gamma)
-    return Model(langs, grams, logp, contexts, backoff, floor)
+    own = []
+    for lang in langs:
+        tables = _per_language(*counts[lang], alphabet)
+        logs = lambda x: np.log2(x).astype(np.float32)
+        own.append(Language([t[0] for t in tables], [logs(t[1]) for t in tables], [t[2] for t in tables], [logs(t[3]) for t in tables], float(np.log2(tables[0][3][0] / alphabet))))
+    return Model(langs, own)
 
 
 def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,18 +193,18 @@ def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         has = np.flatnonzero(n > 0)
         heads = np.concatenate([[0], np.cumsum(n[has])[:-1]])
         total[has] = np.add.reduceat(model.score(key), heads, axis=0, dtype=np.float64)
-    return -total / np.maximum(n, 1)[:, None], n
+    return -total / np.maximum(n, 1)[:, None], np.where(lettered(texts), n, 0)
 
 
 def sample(df: DataFrame, rows: int) -> DataFrame:
-    """(id, text, lang) of a share of each language's rows so that about ``rows`` of it are
-    expected; chosen by a hash of id and text."""
+    """(id, text, lang) of a share of the rows of each of the LANGUAGES commonest labels, so
+    that about ``rows`` of it are expected; chosen by a hash of id and text."""
     labelled = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
     if not counts:
         return labelled.limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, int((1 << 30) * rows / n) + 1))])
-    return labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, int((1 << 30) * rows / r["n"]) + 1))])
+    return labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0)))
 
 
 def fit(df: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -260,7 +265,7 @@ def _calibrate(model: Model, held: DataFrame, trained: frozenset[str] = frozense
         own = got[got["lang"] == lang]
         if lang in trained or not len(own):
             continue
-        ce, n = np.unique([(c[j], min(n, 2000)) for c, n in zip(own["ce"], own["n"], strict=True)], axis=0).T
+        ce, n = np.unique([(c[j], min(n, EVIDENCE)) for c, n in zip(own["ce"], own["n"], strict=True)], axis=0).T
         usual[j, 0] = np.median(ce)
         rest[j] = (ce - usual[j, 0]) * np.sqrt(n)
         if len(ce) >= OWN_ROWS:
@@ -280,7 +285,7 @@ def _calibrate(model: Model, held: DataFrame, trained: frozenset[str] = frozense
         true = np.array([place[x] for x in got["lang"]])
         best = None
         for heat in 2.0 ** np.arange(-8, 1):
-            z = -ce * np.minimum(n, 2000)[:, None] * np.log(2) * heat
+            z = -ce * np.minimum(n, EVIDENCE)[:, None] * np.log(2) * heat
             z -= z.max(1, keepdims=True)
             like = float(np.mean(z[np.arange(len(true)), true] - np.log(np.exp(z).sum(1))))
             if best is None or like > best[0]:
@@ -291,11 +296,11 @@ def _calibrate(model: Model, held: DataFrame, trained: frozenset[str] = frozense
 def decide(model: Model, ce: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, probability, rejected) of each text; ``und``, 0 and True without letters."""
     best = ce.argmin(1)
-    z = -ce * np.minimum(n, 2000)[:, None] * np.log(2) * model.heat
+    z = -ce * np.minimum(n, EVIDENCE)[:, None] * np.log(2) * model.heat
     z -= z.max(1, keepdims=True)
     score = 1 / np.exp(z).sum(1)
     mean, dev, limit = model.usual[best].T
-    far = (ce[np.arange(len(best)), best] - mean) * np.sqrt(np.minimum(n, 2000)) / dev > limit
+    far = (ce[np.arange(len(best)), best] - mean) * np.sqrt(np.minimum(n, EVIDENCE)) / dev > limit
     return [model.langs[b] if k > 0 else "und" for b, k in zip(best, n, strict=True)], np.where(n > 0, score, 0.0), (n <= 0) | far
 
 
@@ -323,7 +328,8 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def accepted(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`predict` doesn't reject, all columns kept."""
+    """The rows of ``df`` that :func:`predict` doesn't reject, all columns kept. Null and
+    empty texts, and those without a letter, go; repeated rows stay or go together."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 

@@ -87,6 +87,26 @@ def test_rejection_and_edges(spark, model):
     assert langid.predict(df, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_marks_alone_are_no_letters(spark, model):
+    df = spark.createDataFrame([(1, "\u0301\u0301"), (2, "1\u0301 2"), (3, "e\u0301te\u0301"), (3, "e\u0301te\u0301")], "doc_id long, text string")
+    got = sorted(langid.predict(df, model).collect(), key=lambda r: r["doc_id"])
+    assert [(r["lang_pred"], r["score"], r["rejected"]) for r in got[:2]] == [("und", 0.0, True)] * 2
+    assert got[2] == got[3] and got[2]["lang_pred"] != "und" and got[2]["score"] > 0
+
+
+def test_equal_models_tie_to_the_first(spark):
+    rows = [(i, f"word number {i % 7} of some text", lang) for i in range(200) for lang in ("b", "a")]
+    model = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(1, "some word")], "doc_id long, text string"), model).first()
+    assert got["lang_pred"] == "a" and abs(got["score"] - 0.5) < 1e-6
+
+
+def test_only_the_commonest_labels_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, f"word {i} text", lang) for lang, n in (("a", 40), ("b", 30), ("c", 2)) for i in range(n)]
+    assert langid.fit(spark.createDataFrame(rows, "id long, text string, lang string")).langs == ["a", "b"]
+
+
 @pytest.mark.parametrize("absent", ["es", "de"])
 def test_documents_of_a_language_not_learned_are_rejected(spark, absent):
     """Also where single held rows are mislabelled, and languages have few of them."""
