@@ -31,7 +31,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` over chunks of bounded text size (the first string column decides)."""
+    """``mapInArrow`` over chunks of bounded text size (the largest string column decides)."""
 
     ship(df.sparkSession)
 
@@ -47,13 +47,13 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most CHUNK_BYTES of text each, or one row."""
-    at = next((i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_large_string(f.type)), None)
     if batch.num_rows == 0:
         return
-    if at is None:
+    texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+    if not texts:
         yield batch
         return
-    offsets = text_buffers(batch.column(at))[1]
+    offsets = max((text_buffers(c)[1] for c in texts), key=lambda o: o[-1])
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, side="right")) - 1

@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pointweave.llm.common import arrow_map, documents
 
 #: Edits allowed per character of an item; least characters of a piece (a longer piece
-#: lowers the budget) and of an item (a shorter one identifies nothing and is left out).
+#: lowers the budget) and of an item (a shorter one counts only as whole words, unchanged).
 RATE, LEAST_PIECE, LEAST_ITEM = 0.06, 12, 24
 #: Characters of items in one pass over the documents, which bounds a worker's automaton.
 ITEM_CHARS = 1_000_000
@@ -77,7 +78,7 @@ class Pattern:
 class Items:
     """A block of normalised items with the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[tuple, str]], rate: float):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.budgets = [budget(len(t), rate) for t in self.texts]
@@ -112,8 +113,9 @@ class Items:
     def _best(self, n: int, text: str, starts: list[int]) -> tuple[int, int, int] | None:
         item, e = self.texts[n], self.budgets[n]
         m = len(item)
+        whole = lambda s: m >= LEAST_ITEM or (text[s - 1 : s] in ("", " ") and text[s + m : s + m + 1] in ("", " "))
         for s in starts:  # an exact copy can't be beaten
-            if s >= 0 and text.startswith(item, s):
+            if s >= 0 and text.startswith(item, s) and whole(s):
                 return s, s + m, 0
         if not e:
             return None
@@ -151,54 +153,59 @@ def _outward(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=2)
-def _prepared(items: tuple[tuple[int, str], ...], rate: float) -> Items:
+def _prepared(items: tuple[tuple[tuple, str], ...], rate: float) -> Items:
     return Items([*items], rate)
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[tuple[int, str], ...]]:
-    """The distinct normalised items, ITEM_CHARS at a time; the driver holds one block."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[tuple[tuple, str], ...]]:
+    """(ids, text): the distinct normalised items with all their ids, ITEM_CHARS at a time;
+    the driver holds one block. Items whose texts differ only in case and blanks are one."""
     held, size = [], 0
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).orderBy(id_col, "text")
+    text = F.trim(F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"(?U)\s+", " "))
+    rows = benchmark.where(F.col(text_col).isNotNull()).groupBy(text.alias("key")).agg(F.array_sort(F.collect_set(F.struct(F.col(id_col).alias("id")))).alias("ids"), F.min(text_col).alias("text")).orderBy("key")
     for r in rows.toLocalIterator():
         t = normal(r["text"])
-        if len(t) < LEAST_ITEM:
+        if not t:
             continue
         if held and size + len(t) > ITEM_CHARS:
             yield tuple(held)
             held, size = [], 0
-        held.append((r[id_col], t))
+        held.append((tuple(x["id"] for x in r["ids"]), t))
         size += len(t)
     if held:
         yield tuple(held)
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, item_col: str = "item_id") -> DataFrame:
     """(id, item_id, start, end, distance, budget): each item's best match in each row of
-    ``df`` that holds it within its budget; code points of the text, end exclusive.
+    ``df`` that holds it within its budget; code points of the text, end exclusive. An item
+    that a row holds in several places gives one row, for the nearest, then leftmost.
 
-    Rows without a match, null and empty texts give nothing; repeated rows and items
-    repeat; null items and those under LEAST_ITEM normalised characters match nothing; of
-    equally near places the leftmost counts. Other columns are dropped.
+    Rows without a match, null and empty texts give nothing; repeated rows repeat; items of
+    one normalised text are each found, under their own ids, once for each id; null and
+    blank items match nothing; those under LEAST_ITEM normalised characters match
+    unchanged, as whole words. Ids may be of any type. Other columns are dropped.
     """
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id bigint, start bigint, end bigint, distance int, budget int"
+    kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, item_id {item_kind}, start bigint, end bigint, distance int, budget int"
     slim = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     out = None
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, item_col):
         held = spark.sparkContext.broadcast((block, rate))
+        id_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
-        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch | None:
+        def run(batch: pa.RecordBatch, held=held, id_type=id_type) -> pa.RecordBatch | None:
             items = _prepared(*held.value)
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = items.search(normal(text))
                 for (n, _, _, d), (s, e) in zip(found, _outward(text, [(s, e) for _, s, e, _ in found]) if found else [], strict=True):
-                    rows.append((i, items.ids[n], s, e, d, items.budgets[n]))
+                    rows += [(i, item, s, e, d, items.budgets[n]) for item in items.ids[n]]
             if not rows:
                 return None
             at, *columns = zip(*rows, strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            kinds = (id_type, pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, columns, kinds)], names=[id_col, "item_id", "start", "end", "distance", "budget"])
 
         part = arrow_map(slim, run, schema)
@@ -207,7 +214,9 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``df`` without a match of any item, all columns kept."""
+    """The rows of ``df`` without a match of any item, all columns kept. Null and empty texts
+    stay; repeated rows stay or go together; an empty benchmark drops nothing; items match as
+    in :func:`matches`."""
     spark = df.sparkSession
     at = df.columns.index(text_col)
     for block in blocks(benchmark):

@@ -74,19 +74,21 @@ def set_nodes(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def scan(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, node, sketch): set size, the set's name, and its k least hashes in order."""
+    """(id, text_key, n, node, sketch): a hash of the text, set size, the set's name, and its
+    k least hashes in order."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        value, starts = shingle_sets(batch.column(1))
+        value, starts = shingle_sets(batch.column(2))
         n = np.diff(starts)
         took = np.minimum(n, k)
         ends = np.cumsum(took)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[:-1] - (ends - took), took)
         sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(value[at].view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(set_nodes(value, starts)), sketch], names=["id", "n", "node", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(set_nodes(value, starts)), sketch], names=["id", "text_key", "n", "node", "sketch"])
 
-    return arrow_map(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text")), run, f"id {kind}, n bigint, node bigint, sketch array<bigint>")
+    text = F.col(text_col).cast("string")
+    return arrow_map(df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("__text")), run, f"id {kind}, text_key bigint, n bigint, node bigint, sketch array<bigint>")
 
 
 def need(n: int, k: int, percent: int = PERCENT) -> int:
@@ -246,15 +248,8 @@ def leftover(stars: DataFrame, labels: DataFrame, sets_of, percent: int = PERCEN
     return left.unionByName(right).groupBy("g", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row for each row of ``df``.
-
-    component_id: the least id that links reach; kept: whether it is the row's own. Null,
-    empty and blank texts have no shingles and stand alone. Rows that repeat an id with
-    one text are one document: all are kept, or none. Null ids never name a component
-    unless all of its ids are null. An empty table gives no rows; other columns are dropped.
-    """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, text_key, n, component_id) of each row of (id, text)."""
     scanned = stored(scan(docs, k, "id", "text"), "near-scan")
     nodes = stored(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")
     lists = stored(index(nodes, k, percent), "near-lists")
@@ -274,10 +269,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = components(links.unionByName(more))
     least = labels.join(name, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     named = name.join(labels.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    rows = scanned.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    joined = rows.where("n > 0").join(named, "node").select("id", "n", "component_id").unionByName(alone)
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rows = scanned.select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    alone = rows.where("n = 0").select("id", "text_key", "n", F.col("id").alias("component_id"))
+    return rows.where("n > 0").join(named, "node").select("id", "text_key", "n", "component_id").unionByName(alone)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row for each row of ``df``.
+
+    component_id: the least id that links reach; kept: whether it is the row's own. Null,
+    empty and blank texts have no shingles and stand alone. Rows that repeat an id with
+    one text are one document: all are kept, or none. Null ids never name a component
+    unless all of its ids are null. An empty table gives no rows; other columns are dropped.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = _grouped(docs, k, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` that :func:`near_duplicates` keeps, all columns; rows are told apart
+    by id and text, so of two texts under one id either may go. Null and empty texts stay.
+    Rows that repeat an id with one text stay or go together, and so do copies of a text
+    that all lack an id."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    gone = _grouped(docs, k, percent).where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key"))
+    return df.join(gone, same, "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

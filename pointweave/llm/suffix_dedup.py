@@ -219,6 +219,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are copies like any others. A passage that only repeats within its own text is not
     marked. Other columns are dropped.
     """
+    return keyed_repeats(df, id_col, text_col).drop("text_key")
+
+
+def keyed_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`repeats` with ``text_key``, which tells apart texts that share an id."""
     docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,12 +237,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     passage = stored(candidates(docs, places), "suffix-rows")
     whole = names.where((F.col("copies") > 1) & (F.col("n") >= LEAST)).select("text_key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
     spans = joined_spans(repeated(passage).unionByName(whole))
-    return slim.join(spans, "text_key").select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    return slim.join(spans, "text_key").select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "text_key")
 
 
 def passages(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, passage): the spans of :func:`repeats` as code points of the texts,
-    with their words."""
+    """(id, start, end, passage): the spans of :func:`keyed_repeats`, or of :func:`repeats`
+    where no id has two texts, as code points of the texts, with their words, one row for
+    each. Ids may be null or repeat."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -247,7 +253,12 @@ def passages(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
         cols = [*zip(*out, strict=True)] or [[], [], []]
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, (pa.int64(), pa.int64(), pa.string()))], names=["id", "start", "end", "passage"])
 
-    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(spans.withColumnRenamed(id_col, "id"), "id").select("id", "text", "start_word", "end_word")
+    # a text that an id holds twice has its spans twice already
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).distinct()
+    same = F.col("id").eqNullSafe(F.col("own"))
+    if "text_key" in spans.columns:
+        same &= F.xxhash64("text") == F.col("text_key")
+    joined = texts.join(spans.withColumnRenamed(id_col, "own"), same).select("id", "text", "start_word", "end_word")
     return arrow_map(joined, run, f"id {df.schema[id_col].dataType.simpleString()}, start bigint, end bigint, passage string").withColumnRenamed("id", id_col)
 
 

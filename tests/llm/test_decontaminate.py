@@ -69,6 +69,16 @@ def test_documents_and_edges(spark):
     assert dc.matches(df, bench.limit(0)).count() == 0 and dc.matches(df.limit(0), bench).count() == 0
 
 
+def test_short_items_and_ids_of_any_type(spark):
+    docs = [("a", "So the Answer is\n forty two, or: answer is forty two !"), ("b", "answer is forty twofold"), ("c", "nothing"), ("d", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    bench = spark.createDataFrame([("q1", "answer is forty two"), ("q2", "Answer  is forty two"), ("q2", "answer is forty two"), (None, "ANSWER is forty two"), ("q3", " "), ("q4", None)], "item_id string, text string")
+    got = dc.matches(df, bench).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == [("a", "q1"), ("a", "q2"), ("a", None)]
+    assert all(docs[0][1][r["start"] : r["end"]] == "answer is forty two" and r["distance"] == 0 == r["budget"] for r in got)
+    assert sorted(r["doc_id"] for r in dc.clean(df, bench).collect()) == ["b", "c", "d"]
+
+
 def test_query_finds_verbatim_items(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r["doc_id"], r["item_id"]) for r in dc.op4_decontamination(spark, sf).collect()}

@@ -98,3 +98,17 @@ def test_texts_under_null_ids_link(spark):
     have = {(i, n): c for i, n, c, _ in map(tuple, nd.near_duplicates(frame(spark, rows)).collect())}
     assert have == {(1, 116): 1, (None, 116): 1, (2, 116): 1, (None, 3): None}
     assert [r[:1] + r[2:3] for r in got(frame(spark, [rows[0], rows[2]]))] == [(1, 1), (2, 2)]
+
+
+def test_rows_are_kept_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (7, None), (8, "")]
+    kept = nd.deduplicated(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "n", "node"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (5, b), (None, c), (7, None), (8, "")], key=str)
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("x", "a b c d e f"), ("w", "a b c d e f"), (None, "a b c d e f")], "doc_id string, text string")
+    assert {r["component_id"] for r in nd.near_duplicates(df).collect()} == {"w"}
+    assert [r["doc_id"] for r in nd.deduplicated(df).collect()] == ["w"]

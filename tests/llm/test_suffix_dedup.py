@@ -141,3 +141,11 @@ def test_text_under_a_null_id(spark):
     rows = [(None, " ".join(text(9) + p)), (1, " ".join(p + text(9))), (None, " ".join(text(70)))]
     want, _ = brute(rows)
     assert len(want) == 2 and got(frame(spark, rows)) == want
+
+
+def test_passages_of_ids_that_repeat(spark):
+    shared = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, "tiny"), (1, f"one two {shared}"), (2, f"{shared} three"), (None, f"x {shared}"), (2, f"{shared} three")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int")
+    got = [(r["doc_id"], r["passage"]) for r in sd.passages(df, sd.keyed_repeats(df)).collect()]
+    assert sorted(got, key=str) == sorted([(1, shared), (2, f"{shared} three"), (2, f"{shared} three"), (None, shared)], key=str)
