@@ -7,7 +7,6 @@ columns of ``documents``. Every stage works on all that its predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pointweave.llm import bpe, decontaminate, langid, near_dedup, secrets
 from pointweave.llm.common import documents, stored
@@ -18,24 +17,26 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go: those far from every language, and
-    those without a letter."""
+    those without a letter, null and empty texts among them."""
     return langid.accepted(docs, langid.fit(langid.training_rows(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays. Documents without
-    an id can't be told apart, and stay."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the document of least id stays. Documents are told
+    apart by id and text, so an id may keep one text and lose another; one without an id
+    stays only where no document of its group has one."""
+    return near_dedup.deduplicated(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Without items none do; repeated rows stay or
+    go together."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them are replaced, and n_chars follows."""
+    """All documents stay; secrets in them are replaced, and n_chars follows (null for a
+    null text)."""
     return secrets.redacted(docs, length_col="n_chars")
 
 
