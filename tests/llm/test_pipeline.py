@@ -50,3 +50,32 @@ def test_run_and_empty(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert cp.run(spark, f"file://{tmp_path}").count() == 0
     assert np.all([len(s) == 2 for s in cp.STAGES])
+
+
+def test_repeated_and_null_ids_extra_columns_and_no_benchmark(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    text = {r["doc_id"]: r["text"] for r in docs}
+    ids = sorted(text)
+    own = lambda r, **new: tuple((r.asDict() | new).values())
+    rows = [own(r) for r in docs]
+    by = {r["doc_id"]: r for r in docs}
+    last = by[ids[-1]]
+    rows += [own(last, text=by[ids[0]]["text"]), own(last, doc_id=None), own(last, text=None), own(last, text="")]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    clash = ["node", "spans", "item_id"]
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "1 as node", "2 as spans", "3 as item_id")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").limit(0).write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    at = f"file://{tmp_path}"
+    now = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, now, at)
+        assert after.columns == now.columns and set(clash) <= set(after.columns)
+        if name == "near_dedup":
+            left = [(r["doc_id"], r["text"]) for r in after.collect()]
+            # the copy of the first text goes from the last id, whose own text stays
+            assert (ids[-1], text[ids[0]]) not in left and None not in [i for i, _ in left]
+            assert (ids[-1], text[ids[-1]]) in left or any(i < ids[-1] for i, _ in left)
+        now = spark.createDataFrame(after.collect(), now.schema)
+    out = cp.STAGES[-1][1](spark, now, at)
+    assert out.count() == now.count() == cp.run(spark, at).count()
