@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     known = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if app in _SENT or str(root.parent) in known or not root.is_dir():
         return
-    target = Path(tempfile.mkdtemp(prefix="pointweave-")) / "pointweave.zip"
+    folder = tempfile.mkdtemp(prefix="pointweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "pointweave.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
