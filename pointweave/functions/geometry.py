@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SH0 = 0.28209479177387814
 SH1 = 0.4886025119029199
 SH2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
+SH4 = (2.5033429417967046, -1.7701307697799304, 0.9461746957575601, -0.6690465435572892, 0.10578554691520431, -0.6690465435572892, 0.47308734787878004, -1.7701307697799304, 0.6258357354491761)
 SH3 = (-0.5900435899266435, 2.890611442640554, -0.4570457994644658, 0.3731763325901154, -0.4570457994644658, 1.445305721320277, -0.5900435899266435)
 
 
@@ -94,6 +95,13 @@ def sh(degree: int, c: Column, d: list[Column]) -> Column:
     if degree > 2:
         basis = [y * (3 * x * x - y * y), x * y * z, y * (4 * z * z - x * x - y * y), z * (2 * z * z - 3 * x * x - 3 * y * y), x * (4 * z * z - x * x - y * y), z * (x * x - y * y), x * (x * x - 3 * y * y)]
         out = out + sum((k * b * c[9 + i] for i, (k, b) in enumerate(zip(SH3, basis, strict=True))), F.lit(0.0))
+    if degree > 3:  # directions are of unit length here
+        p, q = 7 * z * z - 1, 7 * z * z - 3
+        even = x * x - y * y
+        basis = [x * y * even, y * z * (3 * x * x - y * y), x * y * p, y * z * q, 35 * z * z * z * z - 30 * z * z + 3, x * z * q, even * p, x * z * (x * x - 3 * y * y), x * x * (x * x - 3 * y * y) - y * y * (3 * x * x - y * y)]
+        out = out + sum((k * b * c[16 + i] for i, (k, b) in enumerate(zip(SH4, basis, strict=True))), F.lit(0.0))
+    if not 0 <= degree <= 4:
+        raise ValueError(f"no spherical harmonics of degree {degree}")
     return out
 
 

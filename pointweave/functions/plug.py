@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointweave.operators.consensus import vector_sum
+
 
 def encode_with(model: Callable[[list[str]], np.ndarray]):
     """A vectorised text encoder from a function of a list of texts."""
@@ -39,14 +42,20 @@ class LinearCodec:
 
     @classmethod
     def fit(cls, points: DataFrame, width: int, vec: str = "vec") -> LinearCodec:
-        """Leading directions of the uncentred second moments; their sums are native, and
-        the driver holds one matrix of the vectors' width."""
-        pairs = points.select(F.posexplode(vec).alias("i", "x"), F.col(vec).alias("v")).select("i", "x", F.posexplode("v").alias("j", "y")).where("j >= i")
-        rows = pairs.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("s")).collect()
-        n = 1 + max(r["j"] for r in rows)
-        gram = np.zeros((n, n))
-        for r in rows:
-            gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["s"]
+        """Leading directions of the uncentred second moments; a task makes
+        one matrix of the vectors' width, and so does the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gram = None
+            for batch in batches:
+                if batch.num_rows:
+                    a = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                    gram = a.T @ a if gram is None else gram + a.T @ a
+            if gram is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(gram), dtype=np.int32)), pa.array(list(gram), pa.list_(pa.float64()))], names=["i", "row"])
+
+        rows = vector_sum(points.where(F.col(vec).isNotNull()).select(vec).mapInArrow(run, "i int, row array<double>"), ["i"], "row")
+        gram = np.array([r["s"] for r in rows.orderBy("i").collect()])
         _, vectors = np.linalg.eigh(gram)
         return cls(vectors[:, ::-1][:, :width])
 

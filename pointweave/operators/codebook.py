@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.functions.vec import l2_normalize, squared_distance
-from pointweave.operators.consensus import vector_sum, vector_width
+from pointweave.operators.consensus import vector_sum
 
 #: Codes are broadcast up to this many bytes; beyond, points meet them block by block.
 BROADCAST_BYTES = 256 << 20
+#: Scores (points x codes) that a worker makes at once.
+SCORES = 1 << 22
 
 
 def reconstruct(point_codes: DataFrame, codes: DataFrame, keys: list[str], on: list[str], weight: str | None = None, normalise: bool = True) -> DataFrame:
     """(gid, feature): sum of a point's codes, weighted if asked, then unit length."""
     joined = point_codes.join(codes, on)
-    out = vector_sum(joined, keys, "vec", weight if weight else 1.0, vector_width(codes, "vec"))
+    out = vector_sum(joined, keys, "vec", weight if weight else 1.0)
     return out.select(*keys, (l2_normalize("s") if normalise else F.col("s")).alias("feature"))
 
 
@@ -50,14 +52,15 @@ def nearest_code(points: DataFrame, codes: DataFrame, metric: str = "dot", gid:
                 if not n:
                     continue
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-                for i in range(0, n, 4096):
-                    s = v[i : i + 4096] @ c.T
+                step = max(1, SCORES // len(ids))
+                for i in range(0, n, step):
+                    s = v[i : i + step] @ c.T
                     if metric == "l2":
                         s = s - half
                     at = s.argmax(1)
                     best = s[np.arange(len(at)), at]
                     if metric == "l2":
-                        best = (v[i : i + 4096] ** 2).sum(1) - 2 * best
+                        best = (v[i : i + step] ** 2).sum(1) - 2 * best
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(at)), pa.array(ids[at].astype(np.int64)), pa.array(best)], names=[gid, "code_id", "score"])
 
         parts.append(points.select(gid, vec).mapInArrow(run, f"`{gid}` {kind}, code_id bigint, score double"))
@@ -73,7 +76,7 @@ def nearest_code(points: DataFrame, codes: DataFrame, metric: str = "dot", gid:
 def update_codes(points: DataFrame, assigned: DataFrame, codes: DataFrame, spherical: bool, gid: str = "gid", vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Mean (or mean direction) of each code's points; (code_id, vec, n)."""
     joined = points.join(assigned.select(gid, "code_id"), gid)
-    total = vector_sum(joined, ["code_id"], vec, weight if weight else 1.0, vector_width(codes, "vec"))
+    total = vector_sum(joined, ["code_id"], vec, weight if weight else 1.0)
     mean = l2_normalize("s") if spherical else F.transform("s", lambda x: x / F.col("total_w"))
     return total.select("code_id", mean.alias("vec"), F.col("total_w").alias("n"))
 
@@ -144,10 +147,9 @@ def sparse_code(points: DataFrame, codes: DataFrame, slots: int, gain: float, ta
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, c = held.value
-        for batch in batches:
+        step = max(1, SCORES // len(ids))
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             n = batch.num_rows
-            if not n:
-                continue
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
             must = batch.column(2).to_numpy(zero_copy_only=False)
             approx, similarity = np.zeros_like(v), np.full(n, -np.inf)

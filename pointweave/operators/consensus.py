@@ -2,32 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.functions.vec import clip, cosine, l2_normalize, sigmoid
+from pointweave.functions.vec import clip, cosine, l2_normalize, norm, sigmoid
+from pointweave.operators.order import first_n
+
+
+#: Vectors that a join may send to every worker.
+BROADCAST_BYTES = 64 << 20
+
+
+def _codes(keys: list[pa.Array]) -> list[np.ndarray]:
+    return [k.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _sums(keys: list[pa.Array], w: np.ndarray, v: np.ndarray) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Sums of (already weighted) vectors over equal neighbouring keys."""
+    begins = np.zeros(len(w), bool)
+    begins[:1] = True
+    for c in _codes(keys):
+        begins[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(begins)
+    return [k.take(pa.array(at)) for k in keys], np.add.reduceat(w, at), np.add.reduceat(v, at)
+
 
+def _batch(keys: list[pa.Array], w: np.ndarray, v: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    offsets = np.arange(len(w) + 1, dtype=np.int32) * v.shape[1]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(w), pa.ListArray.from_arrays(pa.array(offsets), pa.array(v.ravel()))], names=names)
 
-def vector_width(df: DataFrame, vec: str) -> int:
-    """The length of the vectors of a table that costs nothing to look into."""
-    row = df.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
-    return row[0] if row else 0
 
+def _sum_sorted(rows: DataFrame, keys: list[str], vectors: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(keys, total_w, s) from (keys, w, x) rows whose partitions hold equal keys together;
+    ``vectors`` gives (weights, weighted vectors) of a column x and its weights. A batch's
+    last key waits for more."""
+    names = [*keys, "total_w", "s"]
+    n = len(keys)
 
-def vector_sum(df: DataFrame, keys: list[str], vec: str, weight: Column | str | float = 1.0, width: int | None = None) -> DataFrame:
-    """(keys, total_w, s): weighted sum of vectors.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, w, v = _sums(batch.columns[:n], *vectors(batch.column(n + 1), batch.column(n).to_numpy(zero_copy_only=False)))
+            if held:
+                own, w, v = _sums([pa.concat_arrays(x) for x in zip(held[0], own, strict=True)], np.concatenate([held[1], w]), np.concatenate([held[2], v]))
+            held = [x.slice(len(w) - 1) for x in own], w[-1:], v[-1:]
+            if len(w) > 1:
+                yield _batch([x.slice(0, len(w) - 1) for x in own], w[:-1], v[:-1], names)
+        if held:
+            yield _batch(*held, names)
 
-    With a known ``width`` every position is a sum of its own in one aggregate, so a row
-    stays a row and partial sums precede the shuffle. Without it, positions become rows."""
-    w = F.lit(weight) if isinstance(weight, int | float) else (F.col(weight) if isinstance(weight, str) else weight)
-    if width is not None:
-        rows = df.select(*keys, w.cast("double").alias("__w"), F.col(vec).alias("__v"))
-        sums = [F.sum(F.col("__w") * F.col("__v")[i].cast("double")) for i in range(width)]
-        return rows.groupBy(*keys).agg(F.sum("__w").alias("total_w"), (F.array(*sums) if sums else F.array().cast("array<double>")).alias("s"))
-    rows = df.select(*keys, w.cast("double").alias("__w"), F.posexplode(vec).alias("pos", "x"))
-    sums = rows.groupBy(*keys, "pos").agg(F.sum(F.col("__w") * F.col("x").cast("double")).alias("x"), F.sum("__w").alias("__w"))
-    per = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"), F.max("__w").alias("total_w"))
-    return per.select(*keys, "total_w", F.transform("s", lambda e: e["x"]).alias("s"))
+    return rows.mapInArrow(run, _schema(rows, keys))
+
+
+def _schema(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "total_w double, s array<double>"])
+
+
+def vector_sum(df: DataFrame, keys: list[str], vec: str, weight: Column | str | float = 1.0) -> DataFrame:
+    """(keys, total_w, s): weighted sum of vectors of one width, over Arrow batches. Each
+    batch sums its own keys before the shuffle, so a hot key is one row a batch."""
+    w = F.lit(float(weight)) if isinstance(weight, int | float) else (F.col(weight) if isinstance(weight, str) else weight)
+    rows = df.where(F.col(vec).isNotNull()).select(*keys, w.cast("double").alias("__w"), F.col(vec).alias("__v"))
+    n, names = len(keys), [*keys, "total_w", "s"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = np.lexsort(_codes(batch.columns[:n])[::-1])
+                own = [c.take(pa.array(order)) for c in batch.columns[:n]]
+                w = batch.column(n).to_numpy(zero_copy_only=False)[order]
+                yield _batch(*_sums(own, w, _matrix(batch.column(n + 1))[order] * w[:, None]), names)
+
+    part = rows.mapInArrow(partial, _schema(rows, keys))
+    return _sum_sorted(part.repartition(*keys).sortWithinPartitions(*keys), keys, lambda x, w: (w, _matrix(x)))
 
 
 def segment_weights(contribs: DataFrame, keys: list[str], seg: str, weight: str = "weight") -> DataFrame:
@@ -36,14 +93,31 @@ def segment_weights(contribs: DataFrame, keys: list[str], seg: str, weight: str
     return contribs.groupBy(*keys, seg).agg(F.sum(weight).alias("w"))
 
 
+def weighted_sums(contribs: DataFrame, segments: DataFrame, keys: list[str], seg: str = "seg_id", vec: str = "vec", weight: str = "weight") -> DataFrame:
+    """(keys, total_w, s): sums over each key's segments. Only (keys, segment, weight) rows
+    are shuffled while the segments' vectors fit a broadcast; beyond, they are joined."""
+    weights = segment_weights(contribs, keys, seg, weight)
+    vectors = segments.where(F.col(vec).isNotNull()).select(seg, vec)
+    size = vectors.agg((F.count("*") * F.max(F.size(vec)) * 8).alias("bytes")).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return vector_sum(weights.join(vectors, seg), keys, vec, "w")
+    got = vectors.orderBy(seg).toArrow()
+    held = contribs.sparkSession.sparkContext.broadcast((got.column(seg).to_numpy(), _matrix(got.column(vec).combine_chunks()) if got.num_rows else np.zeros((1, 0))))
+
+    def looked_up(x: pa.Array, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = held.value
+        at = np.minimum(np.searchsorted(ids, x.to_numpy(zero_copy_only=False)), max(len(ids) - 1, 0))
+        w = w * (ids[at] == x.to_numpy(zero_copy_only=False)) if len(ids) else w * 0  # others have no vector, so no weight
+        return w, v[at] * w[:, None]
+
+    return _sum_sorted(weights.repartition(*keys).sortWithinPartitions(*keys).select(*keys, F.col("w").cast("double").alias("w"), seg), keys, looked_up).where("total_w > 0")
+
+
 def consensus(contribs: DataFrame, segments: DataFrame, keys: list[str], seg: str = "seg_id", vec: str = "vec", weight: str = "weight", eps: float = 1e-8) -> DataFrame:
     """(keys, feature, total_w, mean_norm): direction and length of the weighted mean; no
     row without weight."""
-    joined = segment_weights(contribs, keys, seg, weight).join(segments.select(seg, vec), seg)
-    total = vector_sum(joined, keys, vec, "w", vector_width(segments, vec)).where("total_w > 0")
-    mean = total.withColumn("mean", F.transform("s", lambda x: x / F.col("total_w")))
-    length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
-    return mean.select(*keys, l2_normalize("mean", eps).alias("feature"), "total_w", length.alias("mean_norm"))
+    total = weighted_sums(contribs, segments, keys, seg, vec, weight).where("total_w > 0")
+    return total.select(*keys, l2_normalize(F.transform("s", lambda x: x / F.col("total_w")), eps).alias("feature"), "total_w", (norm("s") / F.col("total_w")).alias("mean_norm"))
 
 
 def split_reliability(v: Column, w: Column, a: Column, b: Column, floor: float) -> Column:
@@ -63,7 +137,7 @@ def leave_one_out(total: Column, total_w: Column, own: Column, own_w: Column) ->
     return F.when(total_w - own_w > 1e-6, (total - own) / (total_w - own_w))
 
 
-def geometric_median(rows: DataFrame, keys: list[str], vec: str, weight: str, rounds: int = 8, eps: float = 1e-6) -> DataFrame:
+def geometric_median(rows: DataFrame, keys: list[str], vec: str, weight: str, rounds: int = 8, eps: float = 1e-4) -> DataFrame:
     """(keys, median): Weiszfeld's iteration from the weighted mean over the few rows of a
     key, each round renormalised; in the JVM, over one array a key."""
     from pointweave.functions.vec import as_double
@@ -91,5 +165,4 @@ def geometric_median(rows: DataFrame, keys: list[str], vec: str, weight: str, ro
 
 def top_fraction(df: DataFrame, fraction: float, population: int, score: str, tie: str, eligible: Column) -> DataFrame:
     """The best eligible rows, max(1, half-even round of ``fraction`` of the population)."""
-    n = max(1, round(fraction * population))
-    return df.where(eligible).orderBy(F.col(score).desc(), tie).limit(n)
+    return first_n(df.where(eligible), max(1, round(fraction * population)), [F.col(score).desc(), F.col(tie)])

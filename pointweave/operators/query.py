@@ -3,24 +3,51 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointweave.functions.vec import clip, dot, sigmoid
+from pointweave.functions.vec import clip, sigmoid
+from pointweave.operators.order import first_n
+
+#: Bytes of phrases that a worker holds; scores that it makes at once.
+PHRASE_BYTES, SCORES = 64 << 20, 1 << 20
 
 
 def phrase_scores(points: DataFrame, phrases: DataFrame, gid: str = "gid", vec: str = "vec", temperature: float = 10.0) -> DataFrame:
     """(gid, query_id, score): relevancy of every point to every positive phrase against
-    all negatives. ``phrases``: (query_id, polarity, vec), few; they travel with the plan."""
-    rows = phrases.select("query_id", "polarity", "vec").orderBy("query_id").collect()
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    negative = [dot(vec, lit(r["vec"])) for r in rows if r["polarity"] < 0]
-    worst = F.greatest(*negative) if len(negative) > 1 else negative[0]
-    own = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), dot(vec, lit(r["vec"])).alias("s")) for r in rows if r["polarity"] > 0])
-    out = points.select(gid, worst.alias("n"), F.explode(own).alias("q"))
-    return out.select(gid, "q.query_id", sigmoid(temperature * (F.col("q.s") - F.col("n"))).alias("score"))
+    all negatives. ``phrases``: (query_id, polarity, vec), which go to every worker, in
+    blocks of PHRASE_BYTES; Arrow batches of points meet them as matrix products."""
+    own = phrases.where("polarity > 0").select("query_id", "vec")
+    against = phrases.where("polarity < 0").select("vec").toArrow().column("vec")
+    negative = np.array(against.to_pylist(), float)
+    width = negative.shape[1]
+    blocks = max(1, -(-own.count() * width * 8 // PHRASE_BYTES))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (points.schema[gid], phrases.schema["query_id"]))
+    out = None
+    for b in range(blocks):
+        got = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        held = points.sparkSession.sparkContext.broadcast((got.column("query_id").combine_chunks(), np.array(got.column("vec").to_pylist(), float).reshape(-1, width), negative))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, positive, negative = held.value
+            step = max(1, SCORES // max(len(ids), 1))
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                    s = temperature * (v @ positive.T - (v @ negative.T).max(1)[:, None])
+                    score = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
+                    at = np.repeat(np.arange(part.num_rows), len(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), ids.take(pa.array(np.tile(np.arange(len(ids)), part.num_rows))), pa.array(score.ravel())], names=[gid, "query_id", "score"])
+
+        part = points.where(F.col(vec).isNotNull()).select(gid, vec).mapInArrow(run, f"{kinds}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def semantic_argmax(scores: DataFrame, gid: str = "gid", least: float = 0.5) -> DataFrame:
@@ -81,7 +108,7 @@ def route_budget(base: DataFrame, candidates: DataFrame, fraction: float, mode:
     w = Window.partitionBy(gid).orderBy(F.col("p").desc(), "slot")
     best = candidates.join(base, gid).withColumn("p", p).withColumn("r", F.row_number().over(w)).where("r = 1 and p > 0")
     covered = candidates.select(gid).distinct().count()
-    chosen = best.orderBy(F.col("p").desc(), gid).limit(math.ceil(fraction * covered - 1e-9)).select(gid, "cand")
+    chosen = first_n(best, math.ceil(fraction * covered - 1e-9), [F.col("p").desc(), F.col(gid)]).select(gid, "cand")
     return base.join(chosen, gid, "left").select(gid, F.coalesce("cand", "base").alias("score"), F.col("cand").isNotNull().alias("routed"))
 
 
@@ -96,7 +123,11 @@ def group_activation(memberships: DataFrame, group_scores: DataFrame, how: str,
     m, s = F.col("member"), F.col("s")
     top = F.max("s")
     mean = F.sum(m * s) / F.greatest(F.sum("member"), F.lit(1e-8))
-    soft = F.sum(m * F.exp(heat * s) * s) / F.greatest(F.sum(m * F.exp(heat * s)), F.lit(1e-300))
+    # less the row's largest score, so that no heat overflows
+    tilt = F.exp(heat * (s - F.col("top")))
+    soft = F.sum(m * tilt * s) / F.greatest(F.sum(m * tilt), F.lit(1e-300))
+    if how.startswith("query_softmax"):
+        rows = rows.withColumn("top", F.max("s").over(Window.partitionBy(gid, "query_id")))
     forms = {
         "max": top,
         "score_max": F.max(m * s),
@@ -148,12 +179,16 @@ def hybrid_gate(rows: DataFrame, by: list[str], quantile: float, slope: float, m
 
 
 def query_kl(p: Column, q: Column, gid: str, rows: DataFrame, heat: float) -> DataFrame:
-    """(gid, kl, top1, margin_error): softmax distributions over a bank of two score sets."""
+    """(gid, kl, top1, margin_error): softmax distributions over a bank of two score sets,
+    and how far the gap between the two phrases that lead ``p`` differs in ``q``."""
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(gid).orderBy(p.desc(), "query_id")))
+    gap = lambda c: heat * (F.max(F.when(F.col("__r") == 1, c)) - F.max(F.when(F.col("__r") == 2, c)))
+    margin = ranked.groupBy(gid).agg(F.abs(gap(p) - gap(q)).alias("margin_error"))
     w = Window.partitionBy(gid)
     r = rows.withColumn("p", F.exp(heat * (p - F.max(p).over(w)))).withColumn("q", F.exp(heat * (q - F.max(q).over(w))))
     r = r.withColumn("p", F.col("p") / F.sum("p").over(w)).withColumn("q", F.col("q") / F.sum("q").over(w))
     best = lambda c: F.max(F.struct(c, (-F.col("query_id")).alias("i")))
-    return r.groupBy(gid).agg(F.sum(F.col("p") * F.log(F.col("p") / F.greatest("q", F.lit(1e-12)))).alias("kl"), (best("p")["i"] == best("q")["i"]).alias("top1"))
+    return r.groupBy(gid).agg(F.sum(F.col("p") * F.log(F.col("p") / F.greatest("q", F.lit(1e-12)))).alias("kl"), (best("p")["i"] == best("q")["i"]).alias("top1")).join(margin, gid)
 
 
 def novelty(recon_cos: Column, noise: Column, ratio: float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.functions.vec import clip
+from pointweave.operators.order import first_n, numbered
 
 
 def shard(df: DataFrame, index: str, n: int, which: int) -> DataFrame:
@@ -21,7 +22,7 @@ def stratified(df: DataFrame, group: str, key: str, quota: int, total: int, seed
     """An equal quota a group, refilled from the rest up to ``total`` rows."""
     order = F.xxhash64(F.lit(seed), key)
     rows = df.withColumn("__h", order).withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("__h", key)))
-    return rows.orderBy((F.col("__r") > quota).cast("int"), "__h", key).limit(total).drop("__h", "__r")
+    return first_n(rows, total, [(F.col("__r") > quota).cast("int"), F.col("__h"), F.col(key)]).drop("__h", "__r")
 
 
 def balanced(df: DataFrame, source: str, key: str, per_source: int, seed: int = 0) -> DataFrame:
@@ -32,8 +33,7 @@ def balanced(df: DataFrame, source: str, key: str, per_source: int, seed: int =
 
 def every_nth(df: DataFrame, name: str, n: int = 8) -> DataFrame:
     """Adds ``test``: whether the row is every n-th by name."""
-    place = F.row_number().over(Window.orderBy(name)) - 1
-    return df.withColumn("test", place % n == 0)
+    return numbered(df, [F.col(name)], "__place").withColumn("test", F.col("__place") % n == 0).drop("__place")
 
 
 def view_importance(rows: DataFrame, limit_ratio: float, heat: float, ema: float) -> DataFrame:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.functions.vec import cosine, inverse_distance_weight, squared_distance
-from pointweave.plans.storage import stored
+from pointweave.operators.order import first_n
+from pointweave.plans.storage import Parts, stored
 
-#: Doublings of the cell before the points that are left meet the whole source.
-WIDENINGS = 24
+#: Widenings of the cell before the points that are left meet the whole source, block by
+#: block; the least share of left points that another widening must answer.
+WIDENINGS, WORTH = 12, 0.05
+#: Points of a block that meets the whole source, and rows of the source scored at once.
+BLOCK, SLICE = 20_000, 4096
 
 
 def _cells(df: DataFrame, pos: str, dims: int, side: float, around: bool) -> DataFrame:
@@ -31,32 +39,69 @@ def knn(queries: DataFrame, source: DataFrame, k: int, dims: int, side: float, g
 
     Queries meet the source in 3^dims cells of width ``side``. A query is answered when its
     k-th distance is at most ``side``: anything outside its cells is farther. The rest go
-    on with cells twice as wide; what remains in the end needs at most as many cells as
-    cover the source's extent.
+    on with wider cells while that answers enough of them; what remains lies far from the
+    source, or the source is sparse there, and meets all of it in blocks of BLOCK points.
     """
-    src = source.select(F.col(gid).alias("neighbour"), F.col(pos).alias("npos"))
-    total = source.count() - (1 if drop_self else 0)
+    src = stored(source.select(F.col(gid).alias("neighbour"), F.col(pos).alias("npos")), "knn-source")
+    total = src.count() - (1 if drop_self else 0)
+    schema = f"`{gid}` {queries.schema[gid].dataType.simpleString()}, rank int, neighbour {source.schema[gid].dataType.simpleString()}, d2 double"
+    out = Parts(queries.sparkSession, "knn", schema)
     if total <= 0 or not k:
-        return queries.sparkSession.createDataFrame([], f"`{gid}` {queries.schema[gid].dataType.simpleString()}, rank int, neighbour bigint, d2 double")
+        return out.read()
     want = min(k, total)
-    left, out = queries.select(gid, pos), None
+    left = stored(queries.select(gid, pos), "knn-left")
+    waiting = left.count()
     on = [f"c{i}" for i in range(dims)]
+    d2 = squared_distance(pos, "npos")
+    w = Window.partitionBy(gid).orderBy("d2", "neighbour")
     for _ in range(WIDENINGS):
         pairs = _cells(left, pos, dims, side, True).join(_cells(src, "npos", dims, side, False), on)
         if drop_self:
             pairs = pairs.where(F.col(gid) != F.col("neighbour"))
-        d2 = squared_distance(pos, "npos")
-        w = Window.partitionBy(gid).orderBy("d2", "neighbour")
         ranked = pairs.select(gid, "neighbour", d2.alias("d2")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
-        done = ranked.groupBy(gid).agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == want) & (F.col("far") <= side * side)).select(gid)
-        done = stored(done, "knn-done")
-        part = stored(ranked.join(done, gid, "left_semi"), "knn")
-        out = part if out is None else out.unionByName(part)
-        left = stored(left.join(done, gid, "left_anti"), "knn-left")
-        if left.isEmpty():
+        whole = Window.partitionBy(gid)
+        done = ranked.withColumn("n", F.count("*").over(whole)).withColumn("far", F.max("d2").over(whole)).where((F.col("n") == want) & (F.col("far") <= side * side))
+        part = stored(done.select(gid, F.col("rank").cast("int").alias("rank"), "neighbour", "d2"), "knn-part")
+        out.add(part)
+        left = stored(left.join(part.select(gid).distinct(), gid, "left_anti"), "knn-left")
+        before, waiting = waiting, left.count()
+        if not waiting or before - waiting < WORTH * before:
             break
         side *= 2
-    return out.select(gid, F.col("rank").cast("int").alias("rank"), "neighbour", "d2")
+    blocks = -(-waiting // BLOCK)
+    for b in range(blocks):
+        out.add(_against_all(left.where(F.pmod(F.xxhash64(gid), F.lit(blocks)) == b), src, want, drop_self, gid, pos, schema))
+    return out.read()
+
+
+def _against_all(block: DataFrame, src: DataFrame, k: int, drop_self: bool, gid: str, pos: str, schema: str) -> DataFrame:
+    """The k nearest of the whole source for a block of points: each task keeps its best."""
+    got = block.toArrow()
+    ids, at = got.column(gid).to_numpy(), np.array(got.column(pos).to_pylist(), float).reshape(got.num_rows, -1)
+    held = src.sparkSession.sparkContext.broadcast((ids, at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, x = held.value
+        best_d, best_i = np.full((len(own), k), np.inf), np.zeros((len(own), k), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                n, y = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), float)
+                for i in range(0, len(own), 512):
+                    d = ((x[i : i + 512, None, :] - y[None]) ** 2).sum(2)
+                    if drop_self:
+                        d[own[i : i + 512, None] == n[None]] = np.inf
+                    d = np.concatenate([best_d[i : i + 512], d], axis=1)
+                    who = np.concatenate([best_i[i : i + 512], np.broadcast_to(n, (len(d), len(n)))], axis=1)
+                    order = np.lexsort((who, d), axis=1)[:, :k]
+                    best_d[i : i + 512], best_i[i : i + 512] = np.take_along_axis(d, order, 1), np.take_along_axis(who, order, 1)
+        q, j = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(best_i[q, j]), pa.array(best_d[q, j])], names=[gid, "neighbour", "d2"])
+
+    kinds = schema.split(", ")
+    local = src.select("neighbour", "npos").mapInArrow(run, ", ".join((kinds[0], kinds[2], kinds[3])))
+    rank = F.row_number().over(Window.partitionBy(gid).orderBy("d2", "neighbour"))
+    return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(gid, "rank", "neighbour", "d2")
 
 
 def mean_nearest(points: DataFrame, dims: int, side: float, k: int = 3, gid: str = "gid", pos: str = "pos") -> DataFrame:
@@ -67,7 +112,7 @@ def mean_nearest(points: DataFrame, dims: int, side: float, k: int = 3, gid: str
 def nearest_fill(missing: DataFrame, valid: DataFrame, needed: int, dims: int, side: float, gid: str = "gid", pos: str = "pos") -> DataFrame:
     """(gid, neighbour, d2): of the missing points the ``needed`` nearest to a valid one."""
     near = knn(missing, valid, 1, dims, side, gid, pos, drop_self=False)
-    return near.orderBy("d2", gid).limit(needed).select(gid, "neighbour", "d2")
+    return first_n(near, needed, [F.col("d2"), F.col(gid)]).select(gid, "neighbour", "d2")
 
 
 def two_source_fill(missing: DataFrame, valid: DataFrame, dims: int, side: float, least_cos: float = 0.8, most_ratio: float = 1.5, gid: str = "gid", pos: str = "pos", vec: str = "vec") -> DataFrame:

@@ -15,7 +15,7 @@ from pointweave.plans.registry import CONTRIBS, POINTS, Inputs, query
 
 _ORDER = ["depth", "gid", "seg_id", "line", "weight", "tax"]
 _O = "depth, gid, seg_id, line, weight, tax"
-_SEGVEC = "SELECT vec_id + 1 AS seg_id, embedding AS vec FROM {embeddings} WHERE vec_id < 100"
+_SEGVEC = "SELECT vec_id + 1 AS seg_id, embedding AS vec FROM {embeddings}"
 _SPLATS = "SELECT p_partkey AS gid, CAST(p_partkey % 97 AS DOUBLE) AS x, CAST(p_partkey % 61 AS DOUBLE) AS y, p_size AS r FROM {part}"
 
 

@@ -14,7 +14,7 @@ from pointweave.operators import track as trk
 from pointweave.plans.registry import CONTRIBS, POINTS, Inputs, query
 
 _D = "::DOUBLE[]"
-_POS = "SELECT p_partkey AS gid, CAST(p_partkey * 37 % 101 AS DOUBLE) / 10 AS x, CAST(p_partkey * 53 % 97 AS DOUBLE) / 10 AS y, CAST(p_partkey * 71 % 89 AS DOUBLE) / 10 AS z, p_size FROM {part} WHERE p_partkey <= 600"
+_POS = "SELECT p_partkey AS gid, CAST(p_partkey * 37 % 101 AS DOUBLE) / 10 AS x, CAST(p_partkey * 53 % 97 AS DOUBLE) / 10 AS y, CAST(p_partkey * 71 % 89 AS DOUBLE) / 10 AS z, p_size FROM {part}"
 _DIST2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
 
@@ -102,10 +102,10 @@ def track_statistics(t: Inputs) -> DataFrame:
     return s.select("track", F.round("support", 4).alias("support"), "views", F.round("eff_views", 6).alias("eff_views"), F.round("view_share", 7).alias("view_share"))
 
 
-@query(f"WITH c AS (SELECT * FROM ({CONTRIBS}) q WHERE gid <= 600), p AS ({_POS}), m AS (SELECT seg_id, gid, sum(weight) AS w FROM c GROUP BY ALL), s AS (SELECT seg_id, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz, sum(w * (x * x + y * y + z * z)) / sum(w) AS m2 FROM m JOIN p USING (gid) GROUP BY 1) SELECT seg_id, round(cx, 5) AS cx, round(cz, 5) AS cz, round(sqrt(greatest(m2 - cx * cx - cy * cy - cz * cz, 0)), 5) AS radius FROM s")
+@query(f"WITH c AS ({CONTRIBS}), p AS ({_POS}), m AS (SELECT seg_id, gid, sum(weight) AS w FROM c GROUP BY ALL), s AS (SELECT seg_id, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz, sum(w * (x * x + y * y + z * z)) / sum(w) AS m2 FROM m JOIN p USING (gid) GROUP BY 1) SELECT seg_id, round(cx, 5) AS cx, round(cz, 5) AS cz, round(sqrt(greatest(m2 - cx * cx - cy * cy - cz * cz, 0)), 5) AS radius FROM s")
 def segment_centroid_radius(t: Inputs) -> DataFrame:
     """A12"""
-    s = trk.spatial_statistics(t(CONTRIBS).where("gid <= 600"), _pos(t), ["seg_id"])
+    s = trk.spatial_statistics(t(CONTRIBS), _pos(t), ["seg_id"])
     return s.select("seg_id", F.round("cx", 5).alias("cx"), F.round("cz", 5).alias("cz"), F.round("radius", 5).alias("radius"))
 
 

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pointweave.operators.sample import every_nth
 
 #: Camera models by number, with their parameter counts.
 CAMERA_MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8), 6: ("FULL_OPENCV", 12), 7: ("FOV", 5), 8: ("SIMPLE_RADIAL_FISHEYE", 4), 9: ("RADIAL_FISHEYE", 5), 10: ("THIN_PRISM_FISHEYE", 12)}
@@ -227,7 +228,7 @@ def scannet_poses(spark: SparkSession, path: str) -> DataFrame:
     missing values are skipped; every eighth is for testing."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"(\d+)\.[^./]*$", 1).cast("int").alias("frame"), F.transform(F.filter(F.split("value", r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double")).alias("c2w"))
     good = rows.where((F.size("c2w") == 16) & F.forall("c2w", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))))
-    return good.withColumn("test", (F.row_number().over(Window.orderBy("frame")) - 1) % 8 == 0)
+    return every_nth(good, "frame")
 
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:
