@@ -29,7 +29,7 @@ def norm(v: ColumnLike) -> Column:
 
 
 def scale(v: ColumnLike, s: ColumnLike) -> Column:
-    return F.transform(col(v), lambda x: x.cast("double") * col(s))
+    return once(F.struct(col(v).alias("v"), col(s).alias("s")), lambda p: F.transform(p["v"], lambda x: x.cast("double") * p["s"]))
 
 
 def add(v: ColumnLike, w: ColumnLike) -> Column:
@@ -40,10 +40,16 @@ def subtract(v: ColumnLike, w: ColumnLike) -> Column:
     return F.zip_with(col(v), col(w), lambda x, y: x.cast("double") - y.cast("double"))
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with ``x`` worked out once a row: within a lambda it would be once an element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def l2_normalize(v: ColumnLike, eps: float = 1e-8) -> Column:
     """v / max(norm, eps): a zero vector stays zero. ``eps`` differs by caller."""
-    length = F.greatest(norm(v), F.lit(eps))
-    return F.transform(col(v), lambda x: x.cast("double") / length)
+    paired = once(col(v), lambda x: F.struct(x.alias("v"), F.greatest(norm(x), F.lit(eps)).alias("length")))
+    unit = once(paired, lambda p: F.transform(p["v"], lambda x: x.cast("double") / p["length"]))
+    return F.when(col(v).isNotNull(), unit)
 
 
 def cosine(v: ColumnLike, w: ColumnLike, eps: float = 1e-8) -> Column:

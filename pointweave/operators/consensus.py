@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pointweave.functions.vec import clip, cosine, l2_normalize, norm, sigmoid
 from pointweave.operators.order import first_n
@@ -166,3 +167,22 @@ def geometric_median(rows: DataFrame, keys: list[str], vec: str, weight: str, ro
 def top_fraction(df: DataFrame, fraction: float, population: int, score: str, tie: str, eligible: Column) -> DataFrame:
     """The best eligible rows, max(1, half-even round of ``fraction`` of the population)."""
     return first_n(df.where(eligible), max(1, round(fraction * population)), [F.col(score).desc(), F.col(tie)])
+
+
+def others(sums: DataFrame, gid: str) -> DataFrame:
+    """Adds to (gid, .., total_w, s) the direction of what all other rows of the point sum to;
+    rows whose others have no weight are left out."""
+    whole = vector_sum(sums, [gid], "s").select(gid, F.col("s").alias("__s")).join(sums.groupBy(gid).agg(F.sum("total_w").alias("__w")), gid)
+    rows = sums.join(whole, gid).where(F.col("__w") - F.col("total_w") > 1e-6)
+    return rows.withColumn("feature", l2_normalize(F.zip_with("__s", "s", lambda x, y: x - y))).drop("__s", "__w")
+
+
+def weighted_cosine_loss(rows: DataFrame, by: list[str], a: str, b: str, weight: str) -> DataFrame:
+    """(by, loss): weighted mean of 1 - cosine."""
+    return rows.groupBy(*by).agg((F.sum(F.col(weight) * (1 - cosine(a, b))) / F.greatest(F.sum(weight), F.lit(1e-8))).alias("loss"))
+
+
+def contrastive_loss(scores: DataFrame, by: list[str], score: str, own: str, heat: float) -> DataFrame:
+    """(by, loss): cross-entropy of the own candidate among all, by softmax of score / heat."""
+    rows = scores.withColumn("__z", F.col(score) / heat).withColumn("__m", F.max(F.col(score) / heat).over(Window.partitionBy(*by)))
+    return rows.groupBy(*by).agg((F.log(F.sum(F.exp(F.col("__z") - F.col("__m")))) + F.max("__m") - F.max(F.when(F.col(own), F.col("__z")))).alias("loss"))

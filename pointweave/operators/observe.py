@@ -116,3 +116,13 @@ def interior_confidence(pixels: DataFrame, reach: int, floor: float, image: list
     least = spread.select(*image, (F.col(x) + F.col("dx")).alias(x), (F.col(y) + F.col("dy")).alias(y), F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double")).alias("d")).groupBy(*image, x, y).agg(F.min("d").alias("d"))
     away = F.least(F.coalesce("d", F.lit(float(reach))) / float(reach), F.lit(1.0))
     return here.join(least, [*image, x, y], "left").select(*image, x, y, seg, (floor + (1 - floor) * away).alias("confidence"))
+
+
+def contribution_masks(contribs: DataFrame, thresholds: list[float], quantiles: list[float], gid: str = "gid", weight: str = "weight") -> DataFrame:
+    """(threshold, kept, points, q..): points whose largest contribution over all views reaches
+    each threshold, with quantiles of the largest contributions in percent."""
+    most = contribs.groupBy(gid).agg(F.max(weight).alias("m"))
+    q = most.agg(*(F.percentile("m", x).alias(f"q{round(100 * x)}") for x in quantiles))
+    grid = most.select("m", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    kept = grid.groupBy("threshold").agg(F.count(F.when(F.col("m") >= F.col("threshold"), 1)).alias("kept"), F.count("*").alias("points"))
+    return kept.join(F.broadcast(q), F.lit(True))
