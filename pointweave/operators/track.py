@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointweave.functions.vec import binary_entropy, clip, dot
+from pointweave.functions.vec import binary_entropy, clip, cosine, dot, l2_normalize, once
+from pointweave.operators.codebook import reconstruct
 from pointweave.operators.consensus import vector_sum
+from pointweave.operators.graph import components
+from pointweave.operators.order import numbered
+from pointweave.plans.storage import stored
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
@@ -130,68 +134,288 @@ def geometry_semantic_union(rows: DataFrame, key: list[str], most: int, fraction
     return out.where((F.col("rw") <= F.col("keep")) | by_meaning).withColumn("rescued", F.col("rw") > F.col("keep")).drop("keep", "rs", "rw")
 
 
-def trace_link(nodes: DataFrame, scene: str, least_overlap: float, decay: float, keep: int) -> DataFrame:
-    """(scene, node, track): nodes (scene, view, node, ids, ws) matched, view after view,
-    with a running memory of each track: reciprocal best overlap joins a node to a track,
-    whose signature then moves by ``decay`` and is cut to ``keep`` ids. Sequential by
-    nature, so a scene is one task."""
+def windowed_links(signatures: DataFrame, vectors: DataFrame, window: int, least_overlap: float, least_cos: float) -> DataFrame:
+    """(a, b, score): nodes of a view matched with those of the ``window`` views before it, all
+    together: reciprocal best pairs of one view's nodes and the pooled earlier ones, by
+    overlap times similarity. signatures: (view, node, gid, w); vectors: (node, vec). Only
+    nodes that share a point meet; ties go to the lower node."""
+    x = signatures.select(F.col("view").alias("va"), F.col("node").alias("a"), "gid", F.col("w").alias("wa"))
+    y = signatures.select(F.col("view").alias("vb"), F.col("node").alias("b"), "gid", F.col("w").alias("wb"))
+    near = (F.col("vb") < F.col("va")) & (F.col("vb") >= F.col("va") - window)
+    over = x.join(y, "gid").where(near).groupBy("va", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("overlap")).where(F.col("overlap") >= least_overlap)
+    pairs = over.join(vectors.select(F.col("node").alias("a"), F.col("vec").alias("xa")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vec").alias("xb")), "b")
+    cos = dot("xa", "xb")
+    scored = pairs.select("va", "a", "b", cos.alias("cos"), "overlap").where(F.col("cos") >= least_cos)
+    scored = scored.withColumn("score", F.col("overlap") * clip((F.col("cos") - least_cos) / max(1e-8, 1 - least_cos), 0.0, 1.0)).where("score > 0")
+    best_a = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
+    best_b = Window.partitionBy("va", "b").orderBy(F.col("score").desc(), "a")
+    return scored.withColumn("ra", F.row_number().over(best_a)).withColumn("rb", F.row_number().over(best_b)).where("ra = 1 and rb = 1").select("a", "b", "score")
+
+
+def node_importance(nodes: DataFrame, mode: str = "information_kl", heat: float = 1.0, most_kl: float = 0.1, ratio: float = 5.0, agree_power: float = 1.0, information: float = 1.0) -> DataFrame:
+    """(track, node, importance): shares of a track's nodes that sum to 1.
+
+    nodes: (track, node, vec of unit length, support). ``uniform``, ``support``, or
+    ``information_kl``: support shares tilted by how much information a node adds (the mean
+    log ratio over positions of the track's summed support x vec^2 with and without it, over
+    the track's largest) and by agreement with the track's direction; the tilt stays within
+    ``most_kl`` of the support shares, and no share grows by more than ``ratio``. All sums
+    are aggregates over the nodes, so a large track is no single task."""
+    w = Window.partitionBy("track")
+    if mode == "uniform":
+        return nodes.select("track", "node", (F.lit(1.0) / F.count("*").over(w)).alias("importance"))
+    mass = F.sum(F.greatest("support", F.lit(0.0))).over(w)
+    rows = nodes.withColumn("base", F.when(mass > 0, F.greatest("support", F.lit(0.0)) / mass).otherwise(F.lit(1.0) / F.count("*").over(w)))
+    if mode == "support":
+        return rows.select("track", "node", F.col("base").alias("importance"))
+    if mode != "information_kl":
+        raise ValueError(f"no such weighting: {mode}")
+    rows = stored(rows, "importance-base")
+    square = F.transform("vec", lambda x: x.cast("double") * x.cast("double"))
+    centre = vector_sum(rows, ["track"], "vec", "base").select("track", l2_normalize("s").alias("centre"))
+    known = vector_sum(rows.withColumn("square", square), ["track"], "square", "support").select("track", F.transform("s", lambda x: x + 1e-4).alias("known"))
+    rows = rows.join(centre, "track").join(known, "track")
+    terms = F.zip_with("known", square, lambda k, s: F.struct(k.alias("k"), s.alias("s")))
+    logs = once(F.struct(terms.alias("t"), F.col("support").alias("u")), lambda p: F.transform(p["t"], lambda e: F.log(e["k"] / F.greatest(e["k"] - p["u"] * e["s"], F.lit(1e-4)))))
+    rows = rows.withColumn("gain", F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size("vec"))
+    rows = rows.withColumn("gain", F.col("gain") / F.greatest(F.max("gain").over(w), F.lit(1e-8)))
+    agree = F.pow(clip(dot("vec", "centre"), 0.0, 1.0), F.lit(agree_power))
+    rows = rows.withColumn("logit", clip((information * F.col("gain") + F.log(F.greatest(agree, F.lit(1e-4)))) / heat, -30.0, 30.0))
+    rows = rows.withColumn("tilt", F.col("base") * F.exp(F.col("logit") - F.max("logit").over(w)))
+    rows = stored(rows.select("track", "node", "base", share("tilt", w).alias("target")), "importance-target")
+    rows = within_kl(rows, "track", "base", "target", most_kl)
+    held = F.col("base") * F.least(F.col("mixed") / F.greatest("base", F.lit(1e-20)), F.lit(ratio))
+    return rows.withColumn("held", held).select("track", "node", share("held", w).alias("importance"))
+
+
+def share(c: str, w) -> Column:
+    """A share of the window's sum; even shares if that is 0."""
+    total = F.sum(c).over(w)
+    return F.when(total > 0, F.col(c) / total).otherwise(F.lit(1.0) / F.count("*").over(w))
+
+
+def within_kl(rows: DataFrame, key: str, base: str, target: str, limit: float, steps: int = 4) -> DataFrame:
+    """Adds ``mixed``: base + t (target - base) with the largest t on a grid of 256^steps for
+    which KL(mixed, base) stays within the limit, for each key; the target if that is within.
+    Each round sums 255 candidates a key over all rows (what 8 bisections would do)."""
+    count = 255
+    b, t = F.col(base), F.col(target)
+
+    def terms(low: Column, span: float, points: Column) -> Column:
+        return F.transform(points, lambda i: once(b + (low + i * span) * (t - b), lambda m: F.when((m > 0) & (b > 0), m * F.log(m / b)).otherwise(F.lit(0.0))))
+
+    low = vector_sum(rows.select(key, terms(F.lit(0.0), 1.0, F.array(F.lit(1.0))).alias("v")), [key], "v").select(key, F.when(F.col("s")[0] <= limit, F.lit(1.0)).otherwise(0.0).alias("t"))
+    low = stored(low, "kl-low")
+    span = 1.0
+    for _ in range(steps):
+        span /= count + 1
+        grid = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: i.cast("double"))
+        sums = vector_sum(rows.join(low.where("t < 1"), key).select(key, terms(F.col("t"), span, grid).alias("v")), [key], "v")
+        fits = sums.select(key, F.size(F.filter("s", lambda x: x <= limit)).alias("k"))
+        low = stored(low.join(fits, key, "left").select(key, (F.col("t") + F.coalesce("k", F.lit(0)) * span).alias("t")), "kl-low")
+    return rows.join(low, key).withColumn("mixed", b + F.col("t") * (t - b)).drop("t")
+
+
+def build_tracks(nodes: DataFrame, links: DataFrame, tau: float = 1.0, mode: str = "support", least_support: float = 0.0, least_views: int = 1, **importance) -> tuple[DataFrame, DataFrame]:
+    """(tracks (track, root, feature, support, views, eff_views, concentration, reliability),
+    node_tracks (node, track or null)).
+
+    nodes: (node, view, vec of unit length, support); links: (a, b). Linked nodes are one
+    track; nodes unlike the others of theirs lose their support and their place; a track
+    needs support and views. Tracks are numbered in order of their lowest node."""
+    label = components(links).select("node", F.col("label").alias("root"))
+    rows = stored(nodes.join(label, "node", "left").withColumn("track", F.coalesce("root", "node")).drop("root"), "track-nodes")
+    kept = stored(rofa_filter(rows, "track", "node", "vec", tau).drop("loo"), "track-kept")
+    kept = kept.withColumn("support", F.when(F.col("keep"), F.col("support")).otherwise(0.0))
+    weighed = stored(kept.join(node_importance(kept.select("track", "node", "vec", "support"), mode, **importance).select("node", "importance"), "node"), "track-importance")
+    feature = vector_sum(weighed, ["track"], "vec", "importance").select("track", l2_normalize("s").alias("feature"))
+    per_view = weighed.where("importance > 0").groupBy("track", "view").agg(F.sum("importance").alias("v")).groupBy("track").agg(F.count("*").alias("views"), (F.pow(F.sum("v"), F.lit(2)) / F.greatest(F.sum(F.col("v") * F.col("v")), F.lit(1e-12))).alias("eff_views"))
+    near = weighed.join(feature, "track").groupBy("track").agg(F.sum("support").alias("support"), (F.sum(F.col("importance") * dot("vec", "feature")) / F.greatest(F.sum("importance"), F.lit(1e-12))).alias("concentration"))
+    out = near.join(per_view, "track").join(feature, "track").where((F.col("support") >= least_support) & (F.col("views") >= least_views))
+    out = out.withColumn("reliability", clip("concentration", 0.0, 1.0) * F.col("eff_views") / (F.col("eff_views") + 1))
+    tracks = numbered(out.withColumnRenamed("track", "root"), [F.col("root")], "track")
+    mapped = kept.select("node", "keep", F.col("track").alias("root")).join(tracks.select("root", "track"), "root", "left")
+    return tracks, mapped.select("node", F.when(F.col("keep"), F.col("track")).alias("track"))
+
+
+def aggregate_point_tracks(observed: DataFrame, most: int) -> DataFrame:
+    """(gid, slot, track, score): summed scores of (gid, track, score), the ``most`` best of a
+    point, scores as shares of those kept."""
+    sums = observed.groupBy("gid", "track").agg(F.sum("score").alias("score"))
+    top = pack_memberships(sums, most, 0.0)
+    return top.withColumn("score", F.col("score") / F.greatest(F.sum("score").over(Window.partitionBy("gid")), F.lit(1e-8)))
+
+
+def best_view_tracks(dominant: DataFrame) -> DataFrame:
+    """(gid, track, support): the track of a point's view of most support, the earliest of
+    equals; from (view, gid, track, support), tracks null where the segment has none."""
+    rows = dominant.where(F.col("track").isNotNull() & (F.col("support") > 0))
+    return first_rows(rows, ["gid"], [F.col("support").desc(), F.col("view")]).select("gid", "track", "support")
+
+
+def _unit(s: dict[int, float], keep: int) -> dict[int, float]:
+    top = sorted(s.items(), key=lambda e: (-e[1], e[0]))[:keep]
+    length = max(float(np.sqrt(sum(w * w for _, w in top))), 1e-8)
+    return {i: w / length for i, w in top}
+
+
+def trace_memory(nodes: DataFrame, scene: str, least_overlap: float, least_cos: float, keep: int) -> DataFrame:
+    """(scene, node, track): nodes (scene, view, node, ids, ws, vec, mass) matched, view after
+    view, with a memory of every track so far: reciprocal best pairs by signature overlap
+    times similarity above ``least_cos`` join. A joined track's signature becomes its mean
+    over the nodes, cut to ``keep`` ids, of unit length; its vector is the mass-weighted sum.
+    Each view depends on all before it, so a scene is one task; an inverted index keeps a
+    view's work to the tracks that share an id with it."""
     kind = nodes.schema[scene].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         memory: list[dict[int, float]] = []
+        sums: list[np.ndarray] = []
+        counts: list[int] = []
+        index: dict[int, set[int]] = {}
         out = []
+
+        def put(m: int, s: dict[int, float]) -> None:
+            memory[m] = s
+            for i in s:
+                index.setdefault(i, set()).add(m)
+
         for _, now in pdf.sort_values(["view", "node"]).groupby("view", sort=True):
-            sigs = [dict(zip(map(int, i), map(float, w), strict=True)) for i, w in zip(now["ids"], now["ws"], strict=True)]
-            score = np.array([[sum(v * m.get(i, 0.0) for i, v in s.items()) for m in memory] for s in sigs]).reshape(len(sigs), len(memory))
-            taken = {}
-            if memory:
-                best = score.argmax(1)
-                for a, b in enumerate(best):
-                    if score[a, b] >= least_overlap and score[:, b].argmax() == a:
-                        taken[a] = int(b)
-            for a, (node, s) in enumerate(zip(now["node"], sigs, strict=True)):
-                if a in taken:
-                    m = memory[taken[a]]
-                    new = {i: decay * m.get(i, 0.0) + (1 - decay) * s.get(i, 0.0) for i in {*m, *s}}
-                    memory[taken[a]] = dict(sorted(new.items(), key=lambda e: (-e[1], e[0]))[:keep])
-                    out.append((node, taken[a]))
+            sigs = [_unit(dict(zip(map(int, i), map(float, w), strict=True)), len(i)) for i, w in zip(now["ids"], now["ws"], strict=True)]
+            vecs = np.array(now["vec"].tolist(), float)
+            vecs /= np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-8)
+            best_of: dict[int, tuple[float, int]] = {}
+            best_for: dict[int, tuple[float, int]] = {}
+            for a, s in enumerate(sigs):
+                over: dict[int, float] = {}
+                for i, v in s.items():
+                    for m in index.get(i, ()):
+                        if i in memory[m]:
+                            over[m] = over.get(m, 0.0) + v * memory[m][i]
+                for m in sorted(over):
+                    cos = float(vecs[a] @ sums[m]) / max(float(np.linalg.norm(sums[m])), 1e-8)
+                    if over[m] < least_overlap or cos < least_cos:
+                        continue
+                    score = over[m] * min(max((cos - least_cos) / max(1e-8, 1 - least_cos), 0.0), 1.0)
+                    if score > best_of.get(a, (0.0, -1))[0]:
+                        best_of[a] = score, m
+                    if score > best_for.get(m, (0.0, -1))[0]:
+                        best_for[m] = score, a
+            for a, (node, mass) in enumerate(zip(now["node"], now["mass"], strict=True)):
+                m = best_of.get(a, (0.0, -1))[1]
+                if m >= 0 and best_for[m][1] == a:
+                    merged = {i: w * counts[m] for i, w in memory[m].items()}
+                    for i, w in sigs[a].items():
+                        merged[i] = merged.get(i, 0.0) + w
+                    put(m, _unit(merged, keep))
+                    sums[m] = sums[m] + vecs[a] * max(float(mass), 1e-6)
+                    counts[m] += 1
                 else:
-                    memory.append(s)
-                    out.append((node, len(memory) - 1))
+                    m = len(memory)
+                    memory.append({})
+                    put(m, _unit(sigs[a], keep))
+                    sums.append(vecs[a] * max(float(mass), 1e-6))
+                    counts.append(1)
+                out.append((node, m))
         return pd.DataFrame({scene: pdf[scene].iloc[0], "node": [n for n, _ in out], "track": [t for _, t in out]})
 
     return nodes.groupBy(scene).applyInPandas(run, f"`{scene}` {kind}, node bigint, track bigint")
 
 
-def greedy_groups(masks: DataFrame, scene: str, least: float) -> DataFrame:
-    """(scene, mask, group_id): masks (scene, mask, mass, ids, ws) in order of mass, each
-    merged into the group of highest weighted Jaccard of at least ``least``, found through
-    an inverted index. Depends on the order, so a scene is one task."""
+def _sparse(s: dict[int, float], keep: int) -> dict[int, float]:
+    """The ``keep`` heaviest entries as shares of their sum."""
+    top = sorted(s.items(), key=lambda e: (-e[1], e[0]))[: keep or len(s)]
+    total = sum(w for _, w in top)
+    return {i: w / total if total > 1e-9 else w for i, w in top}
+
+
+def lift_groups(masks: DataFrame, scene: str, least_iou: float, least_cos: float, iou_share: float, merge: float, keep: int = 0, seeds: int = 64, indexed: int = 64) -> DataFrame:
+    """(scene, mask, group_id, count, mass, size, feature, ids, ws): masks (scene, place, mask,
+    ids, ws, vec, mass) in order of place, each merged into the group of highest score.
+
+    Groups are found by the mask's ``seeds`` heaviest points in an inverted index of each
+    group's ``indexed`` heaviest; the score is iou_share x weighted Jaccard + the rest x
+    cosine, both at least their bounds, and has to reach ``merge``. A merged group adds
+    weights by mass, keeps its ``keep`` heaviest points (0: all), and its feature is the
+    mass-weighted direction. The result depends on the order, so a scene is one task. Group
+    columns are the group's final state, repeated for each of its masks."""
     kind = masks.schema[scene].dataType.simpleString()
 
+    def heaviest(s: dict[int, float], n: int) -> list[int]:
+        return [i for i, _ in sorted(s.items(), key=lambda e: (-e[1], e[0]))[:n]]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict[int, float]] = []
+        groups: list[dict] = []
         index: dict[int, set[int]] = {}
-        out = []
-        for r in pdf.sort_values(["mass", "mask"], ascending=[False, True]).itertuples(index=False):
-            s = dict(zip(map(int, r.ids), map(float, r.ws), strict=True))
-            near = sorted({g for i in s for g in index.get(i, ())})
-            best, at = 0.0, -1
-            for g in near:
-                low = sum(min(w, groups[g].get(i, 0.0)) for i, w in s.items())
-                j = low / max(sum(s.values()) + sum(groups[g].values()) - low, 1e-8)
-                if j > best:
-                    best, at = j, g
-            if best < least:
-                at = len(groups)
-                groups.append({})
-            for i, w in s.items():
-                groups[at][i] = max(groups[at].get(i, 0.0), w)
-                index.setdefault(i, set()).add(at)
-            out.append((r.mask, at))
-        return pd.DataFrame({scene: pdf[scene].iloc[0], "mask": [m for m, _ in out], "group_id": [g for _, g in out]})
-
-    return masks.groupBy(scene).applyInPandas(run, f"`{scene}` {kind}, mask bigint, group_id bigint")
+        at = []
+        for r in pdf.sort_values(["place", "mask"]).itertuples(index=False):
+            s = _sparse(dict(zip(map(int, r.ids), map(float, r.ws), strict=True)), keep)
+            v = np.array(r.vec, float)
+            found, best = -1, -1.0
+            for g in sorted({g for i in heaviest(s, seeds) for g in index.get(i, ())}):
+                own = groups[g]
+                low = sum(min(w, own["s"][i]) for i, w in s.items() if i in own["s"])
+                union = sum(s.values()) + sum(own["s"].values()) - low
+                iou = low / union if low and union > 1e-9 else 0.0
+                cos = float(v @ own["f"])
+                if iou < least_iou or cos < least_cos:
+                    continue
+                score = iou_share * iou + (1 - iou_share) * cos
+                if score > best:
+                    found, best = g, score
+            if found >= 0 and best >= merge:
+                g = groups[found]
+                merged = {i: w * g["mass"] for i, w in g["s"].items()}
+                for i, w in s.items():
+                    merged[i] = merged.get(i, 0.0) + w * r.mass
+                g["s"] = _sparse(merged, keep)
+                g["mass"] += r.mass
+                g["count"] += 1
+                g["sum"] = g["sum"] + v * r.mass
+            else:
+                found = len(groups)
+                groups.append({"s": s, "mass": float(r.mass), "count": 1, "sum": v * r.mass})
+                g = groups[found]
+            length = float(np.linalg.norm(g["sum"]))
+            g["f"] = g["sum"] / length if length >= 1e-9 else g["sum"]
+            for i in heaviest(g["s"], indexed):
+                index.setdefault(i, set()).add(found)
+            at.append((r.mask, found))
+        of = [groups[g] for _, g in at]
+        return pd.DataFrame({
+            scene: pdf[scene].iloc[0], "mask": [m for m, _ in at], "group_id": [g for _, g in at], "count": [g["count"] for g in of], "mass": [g["mass"] for g in of],
+            "size": [len(g["s"]) for g in of], "feature": [g["f"].tolist() for g in of], "ids": [[*sorted(g["s"])] for g in of], "ws": [[g["s"][i] for i in sorted(g["s"])] for g in of],
+        })
+
+    return masks.groupBy(scene).applyInPandas(run, f"`{scene}` {kind}, mask bigint, group_id bigint, count bigint, mass double, size bigint, feature array<double>, ids array<bigint>, ws array<double>")
+
+
+def assign_groups(groups: DataFrame, members: DataFrame, mode: str = "hard", least_count: int = 1, power: float = 1.0, least_score: float = 0.0, least_margin: float = 0.0) -> DataFrame:
+    """(gid, group_id, best, second, feature): points' groups by weight x root of the group's
+    count; the lower group of equals. groups: (group_id, feature, count), members: (group_id,
+    gid, w). ``hard`` takes the best group's feature, ``soft`` the mean of all by score^power;
+    points under the least score or lead are left out."""
+    usable = groups.where(F.col("count") >= least_count)
+    rows = members.join(usable, "group_id").withColumn("score", F.col("w") * F.sqrt(F.col("count").cast("double"))).where("score > 0")
+    r = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("score").desc(), "group_id"))
+    ranked = rows.withColumn("r", r)
+    top = ranked.where("r <= 2").groupBy("gid").agg(F.max(F.when(F.col("r") == 1, F.col("group_id"))).alias("group_id"), F.max(F.when(F.col("r") == 1, F.col("score"))).alias("best"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
+    top = top.where((F.col("best") >= least_score) & (F.col("best") - F.col("second") >= least_margin))
+    if mode == "hard":
+        return top.join(usable.select("group_id", "feature"), "group_id").select("gid", "group_id", "best", "second", "feature")
+    if mode != "soft":
+        raise ValueError(f"no such assignment: {mode}")
+    mean = vector_sum(rows.withColumn("__w", F.pow("score", F.lit(power))), ["gid"], "feature", "__w").select("gid", l2_normalize("s", 1e-9).alias("feature"))
+    return top.join(mean, "gid").select("gid", "group_id", "best", "second", "feature")
+
+
+def semantic_scores(candidates: DataFrame, point_codes: DataFrame, codes: DataFrame, segments: DataFrame, levels: int) -> DataFrame:
+    """(gid, seg_id, score): cosine of what a point's codes stand for with a segment's vector,
+    for candidate pairs (gid, seg_id); minus infinity for points that lack a level."""
+    whole = point_codes.groupBy("gid").agg(F.count_distinct("level").alias("n")).where(F.col("n") == levels).select("gid")
+    points = reconstruct(point_codes.join(whole, "gid", "left_semi"), codes, ["gid"], ["level", "code_id"])
+    rows = candidates.join(points, "gid", "left").join(segments.select("seg_id", "vec"), "seg_id")
+    return rows.select("gid", "seg_id", F.when(F.col("feature").isNull(), F.lit(float("-inf"))).otherwise(cosine("feature", "vec")).alias("score"))
 
 
 def box_nms(boxes: DataFrame, image: str, limit: float) -> DataFrame:

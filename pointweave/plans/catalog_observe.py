@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.functions import geometry as geo
-from pointweave.functions.vec import clip, dot, l2_normalize, sigmoid
+from pointweave.functions.vec import dot, l2_normalize
 from pointweave.operators import consensus as con
 from pointweave.operators import observe as obs
 from pointweave.operators import track as trk
@@ -156,7 +156,7 @@ def split_reliability(t: Inputs) -> DataFrame:
 
 @query(_SPLIT + " SELECT gid, round(1 / (1 + exp(-((cos - 0.5) / 0.1))), 6) AS gate FROM p")
 def fusion_gate(t: Inputs) -> DataFrame:
-    """A24"""
+    """The gate of A24 alone; ``fuse_consensus`` is the operator"""
     return _splits(t).select("gid", F.round(con.fusion_gate(F.lit(0.5), dot("va", "vb"), 0.1), 6).alias("gate"))
 
 
@@ -179,7 +179,7 @@ def centre_votes(t: Inputs) -> DataFrame:
 @query(f"""WITH c AS ({CONTRIBS}), m AS (SELECT gid, count(*) AS votes, sum(weight) AS mass FROM c GROUP BY 1), d AS (SELECT quantile_disc(votes, 0.5) AS md, quantile_cont(mass, 0.9) AS q FROM m)
 SELECT gid, votes > md AS above, mass >= q AS heavy FROM m, d""")
 def median_and_quantile(t: Inputs) -> DataFrame:
-    """Lower median, linear quantile"""
+    """Lower median, linear quantile"""
     m = t(CONTRIBS).groupBy("gid").agg(F.count("*").alias("votes"), F.sum("weight").alias("mass"))
     d = m.agg(F.expr("percentile_disc(0.5) within group (order by votes)").alias("md"), F.percentile("mass", 0.9).alias("q"))
     return m.join(F.broadcast(d), F.lit(True)).select("gid", (F.col("votes") > F.col("md")).alias("above"), (F.col("mass") >= F.col("q")).alias("heavy"))
@@ -195,7 +195,7 @@ def fine_selection(t: Inputs) -> DataFrame:
 
 @query()
 def geometric_median(t: Inputs) -> DataFrame:
-    """Held against plain code in the tests."""
+    """Held against plain code in the tests."""
     rows = t(POINTS).select(F.pmod("gid", F.lit(50)).alias("k"), "vec", (F.col("label") + 1).cast("double").alias("w"))
     m = con.geometric_median(rows, ["k"], "vec", "w")
     return m.select("k", F.round(F.col("median")[0], 6).alias("first"), F.round(dot("median", "median"), 6).alias("length"))
@@ -203,7 +203,7 @@ def geometric_median(t: Inputs) -> DataFrame:
 
 @query(f"""WITH p AS ({POINTS}) SELECT a.label, round(avg(list_dot_product(a.vec::DOUBLE[], b.vec::DOUBLE[])), 6) AS agreement, count(*) AS n FROM p a JOIN p b ON b.gid = a.label GROUP BY 1""")
 def group_agreement(t: Inputs) -> DataFrame:
-    """A20"""
+    """Agreement of points with a centre, averaged"""
     p = t(POINTS)
     c = p.select(F.col("gid").alias("label"), F.col("vec").alias("centre"))
     return p.join(F.broadcast(c.where("label < 10")), "label").groupBy("label").agg(F.round(F.avg(dot("vec", "centre")), 6).alias("agreement"), F.count("*").alias("n"))
@@ -212,14 +212,14 @@ def group_agreement(t: Inputs) -> DataFrame:
 @query(f"""WITH p AS ({POINTS}), x AS (SELECT label, pos, sum(val * w) AS s FROM (SELECT label, (gid % 7 + 1) / 8.0 * ((gid % 7 + 1) / 8.0) AS w, generate_subscripts(vec, 1) AS pos, unnest(vec::DOUBLE[]) AS val FROM p) u GROUP BY ALL),
 n AS (SELECT label, sqrt(sum(s * s)) AS len FROM x GROUP BY 1) SELECT label, round(s / len, 6) AS second FROM x JOIN n USING (label) WHERE pos = 2""")
 def teacher_groups(t: Inputs) -> DataFrame:
-    """A17, A18"""
+    """A1: weighted by a power of a score"""
     rows = t(POINTS).withColumn("w", F.pow((F.pmod("gid", F.lit(7)) + 1) / 8.0, F.lit(2)))
     return con.vector_sum(rows, ["label"], "vec", "w").select("label", F.round(l2_normalize("s")[1], 6).alias("second"))
 
 
 @query(f"""WITH c AS ({CONTRIBS}) SELECT view_id, gid, seg_id AS segment FROM (SELECT *, row_number() OVER (PARTITION BY view_id, gid ORDER BY m DESC, seg_id) AS r FROM (SELECT view_id, gid, seg_id, sum(weight) AS m FROM c WHERE line = 1 GROUP BY ALL)) WHERE r = 1""")
 def dominant_segment(t: Inputs) -> DataFrame:
-    """A33, G9"""
+    """A33"""
     m = t(CONTRIBS).where("line = 1").groupBy("view_id", "gid", "seg_id").agg(F.sum("weight").alias("m"))
     return trk.first_rows(m, ["view_id", "gid"], [F.col("m").desc(), F.col("seg_id")]).select("view_id", "gid", F.col("seg_id").alias("segment"))
 
@@ -237,15 +237,8 @@ def scene_normalisation(t: Inputs) -> DataFrame:
 @query(f"""WITH c AS ({CONTRIBS}), m AS (SELECT gid, seg_id, sum(weight) AS m FROM c GROUP BY ALL), e AS (SELECT *, exp((m - max(m) OVER (PARTITION BY gid)) / 10) AS e FROM m)
 SELECT gid, seg_id, round(e / sum(e) OVER (PARTITION BY gid), 8) AS p FROM e QUALIFY row_number() OVER (PARTITION BY gid ORDER BY m DESC, seg_id) = 1""")
 def row_softmax(t: Inputs) -> DataFrame:
-    """A30, X5"""
+    """A30"""
     m = t(CONTRIBS).groupBy("gid", "seg_id").agg(F.sum("weight").alias("m"))
     w = Window.partitionBy("gid")
     e = m.withColumn("e", F.exp((F.col("m") - F.max("m").over(w)) / 10)).withColumn("p", F.col("e") / F.sum("e").over(w))
     return trk.first_rows(e, ["gid"], [F.col("m").desc(), F.col("seg_id")]).select("gid", "seg_id", F.round("p", 8).alias("p"))
-
-
-@query(f"""WITH c AS ({CONTRIBS}), m AS (SELECT gid, sum(weight) AS w, avg(tax) AS t FROM c GROUP BY 1) SELECT gid, round(least(greatest(t * 10, 0), 1) / (1 + exp(-(w - 700) / 100)), 8) AS reliability FROM m""")
-def mode_reliability(t: Inputs) -> DataFrame:
-    """A25, R18"""
-    m = t(CONTRIBS).groupBy("gid").agg(F.sum("weight").alias("w"), F.avg("tax").alias("t"))
-    return m.select("gid", F.round(clip(F.col("t") * 10, 0.0, 1.0) * sigmoid((F.col("w") - 700) / 100), 8).alias("reliability"))

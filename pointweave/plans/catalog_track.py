@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointweave.functions.vec import dot
+from pointweave.functions.vec import as_double, dot
 from pointweave.operators import evaluate as ev
 from pointweave.operators import graph, sample
 from pointweave.operators import spatial as sp
 from pointweave.operators import track as trk
 from pointweave.plans.registry import CONTRIBS, POINTS, Inputs, query
+from pointweave.plans.sqltext import unit, vsum
 
 _D = "::DOUBLE[]"
 _POS = "SELECT p_partkey AS gid, CAST(p_partkey * 37 % 101 AS DOUBLE) / 10 AS x, CAST(p_partkey * 53 % 97 AS DOUBLE) / 10 AS y, CAST(p_partkey * 71 % 89 AS DOUBLE) / 10 AS z, p_size FROM {part}"
@@ -67,7 +68,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS ra, row
 
 @query(f"WITH {_MUT} SELECT a, b, round(s, 6) AS score FROM m WHERE ra = 1 AND rb = 1")
 def mutual_best_match(t: Inputs) -> DataFrame:
-    """J11, G5"""
+    """J11"""
     v = t("SELECT vec_id AS node, embedding AS vec FROM {embeddings}")
     return trk.mutual_best(t(_SIG % 0), t(_SIG % 1), v, v, 0.5, -0.5).select("a", "b", F.round("score", 6).alias("score"))
 
@@ -97,7 +98,7 @@ def rofa_filter(t: Inputs) -> DataFrame:
 
 @query(f"WITH c AS ({CONTRIBS}), v AS (SELECT seg_id AS track, view_id, sum(weight) AS v FROM c GROUP BY ALL), o AS (SELECT track, sum(v) AS support, count(*) AS views, sum(v) * sum(v) / greatest(sum(v * v), 1e-8) AS eff FROM v GROUP BY 1) SELECT track, round(support, 4) AS support, views, round(eff, 6) AS eff_views, round(eff / (eff + 1), 7) AS view_share FROM o")
 def track_statistics(t: Inputs) -> DataFrame:
-    """A31, W7 (support prior)"""
+    """A31"""
     s = trk.track_statistics(t(CONTRIBS).select(F.col("seg_id").alias("track"), "view_id", F.col("weight").alias("w")))
     return s.select("track", F.round("support", 4).alias("support"), "views", F.round("eff_views", 6).alias("eff_views"), F.round("view_share", 7).alias("view_share"))
 
@@ -111,7 +112,7 @@ def segment_centroid_radius(t: Inputs) -> DataFrame:
 
 @query(f"WITH c AS ({CONTRIBS}), m AS (SELECT view_id, gid, seg_id, sum(weight) AS m FROM c GROUP BY ALL), d AS (SELECT view_id, gid, seg_id FROM m QUALIFY row_number() OVER (PARTITION BY view_id, gid ORDER BY m DESC, seg_id) = 1), l AS (SELECT lag(view_id * 1000 + seg_id) OVER (PARTITION BY gid ORDER BY view_id) AS a, view_id * 1000 + seg_id AS b FROM d) SELECT a, b, count(*) AS n FROM l WHERE a IS NOT NULL GROUP BY ALL")
 def last_node_links(t: Inputs) -> DataFrame:
-    """G4, G8"""
+    """G4"""
     m = t(CONTRIBS).groupBy("view_id", "gid", "seg_id").agg(F.sum("weight").alias("m"))
     d = trk.first_rows(m, ["view_id", "gid"], [F.col("m").desc(), F.col("seg_id")]).withColumn("node", F.col("view_id") * 1000 + F.col("seg_id"))
     return trk.last_node_links(d).select("a", "b", "n")
@@ -163,7 +164,7 @@ def knn_exact(t: Inputs) -> DataFrame:
 
 @query(f"WITH {_KNN} SELECT gid, round(avg(d2), 6) AS mean_d2 FROM k WHERE rank <= 3 GROUP BY 1")
 def knn_mean3(t: Inputs) -> DataFrame:
-    """J13, N1"""
+    """J13"""
     return sp.mean_nearest(_pos(t), 3, 1.5).select("gid", F.round("mean_d2", 6).alias("mean_d2"))
 
 
@@ -195,31 +196,141 @@ _EDGES = "SELECT DISTINCT l_partkey AS a, (l_partkey + l_suppkey * 13) % 2000 +
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node) SELECT node, min(seen) AS label FROM r GROUP BY 1")
 def connected_components(t: Inputs) -> DataFrame:
-    """G1, G7"""
+    """G1"""
     return graph.components(t(_EDGES))
 
 
 @query()
 def bounded_union_find(t: Inputs) -> DataFrame:
     """No component over the bound"""
-    e = t(_EDGES).withColumn("scene", F.lit(0))
-    return sp.bounded_components(e, "scene", ["a", "b"], 8).select("node", "component", "size")
+    e = t(_EDGES).withColumn("scene", F.col("a") % _SCENE)
+    return sp.bounded_components(e, "scene", ["a", "b"], 8).select("scene", "node", "component", "size")
+
+
+#: Segments of views as nodes, in scenes by point; a node's vector is its segment's.
+_SCENE = 16
+
+
+def _nodes(t: Inputs) -> DataFrame:
+    """(scene, view, seg, node, ids, ws, mass, vec): what a scene's segments hold."""
+    m = t(CONTRIBS).groupBy((F.col("gid") % _SCENE).alias("scene"), F.col("view_id").alias("view"), F.col("seg_id").alias("seg"), "gid").agg(F.sum("weight").alias("w"))
+    m = m.groupBy("scene", "view", "seg").agg(F.sort_array(F.collect_list(F.struct("gid", "w"))).alias("o"), F.sum("w").alias("mass"))
+    v = t("SELECT vec_id + 1 AS seg, embedding AS vec FROM {embeddings}").withColumn("vec", as_double("vec"))
+    return m.join(v, "seg").select("scene", "view", "seg", (F.col("view") * 1000 + F.col("seg")).alias("node"), F.transform("o", lambda x: x["gid"]).alias("ids"), F.transform("o", lambda x: x["w"]).alias("ws"), "mass", "vec")
 
 
 @query()
 def trace_memory_tracks(t: Inputs) -> DataFrame:
-    """G6"""
-    n = t(CONTRIBS).where("gid < 200").groupBy("view_id", "seg_id", "gid").agg(F.sum("weight").alias("w")).groupBy("view_id", "seg_id").agg(F.sort_array(F.collect_list(F.struct("gid", "w"))).alias("o"))
-    n = n.select(F.lit(0).alias("scene"), F.col("view_id").alias("view"), (F.col("view_id") * 1000 + F.col("seg_id")).alias("node"), F.transform("o", lambda x: x["gid"]).alias("ids"), F.transform("o", lambda x: x["w"] / 50.0).alias("ws"))
-    return trk.trace_link(n, "scene", 0.5, 0.7, 50).select("node", "track")
+    """Held against plain code in the tests"""
+    return trk.trace_memory(_nodes(t), "scene", 0.2, 0.1, 50).select("scene", "node", "track")
 
 
 @query()
 def incremental_groups(t: Inputs) -> DataFrame:
-    """G10, G11"""
-    m = t(CONTRIBS).where("gid < 100").groupBy("view_id", "seg_id", "gid").agg(F.sum("weight").alias("w")).groupBy("view_id", "seg_id").agg(F.sort_array(F.collect_list(F.struct("gid", "w"))).alias("o"), F.sum("w").alias("mass"))
-    m = m.select(F.lit(0).alias("scene"), (F.col("view_id") * 1000 + F.col("seg_id")).alias("mask"), "mass", F.transform("o", lambda x: x["gid"]).alias("ids"), F.transform("o", lambda x: x["w"]).alias("ws"))
-    return trk.greedy_groups(m, "scene", 0.1).select("mask", "group_id")
+    """Held against plain code in the tests"""
+    m = _nodes(t).withColumnRenamed("node", "mask").withColumnRenamed("view", "place")
+    return trk.lift_groups(m, "scene", 0.02, 0.1, 0.5, 0.3, 200).select("scene", "mask", "group_id", "count", "size", F.round("mass", 4).alias("mass"))
+
+
+_NODES = f"""c AS ({CONTRIBS}), m AS (SELECT view_id, seg_id, gid, sum(weight) AS m FROM c GROUP BY ALL), n AS (SELECT view_id, view_id * 1000 + seg_id AS node, gid, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY view_id, seg_id)), 1e-8) AS w FROM m),
+nv AS (SELECT view_id, node, support, vec::DOUBLE[] AS vec FROM (SELECT view_id, seg_id, view_id * 1000 + seg_id AS node, sum(m) AS support FROM m GROUP BY ALL) JOIN (SELECT vec_id + 1 AS seg_id, embedding AS vec FROM {{embeddings}}) USING (seg_id)),
+ov AS (SELECT a.view_id AS va, a.node AS a, b.node AS b, sum(a.w * b.w) AS o FROM n a JOIN n b ON a.gid = b.gid AND b.view_id < a.view_id AND b.view_id >= a.view_id - 2 GROUP BY ALL HAVING sum(a.w * b.w) >= 0.03),
+sl AS (SELECT va, a, b, o * least(greatest((list_dot_product(x.vec, y.vec) - 0.05) / 0.95, 0), 1) AS score FROM ov JOIN nv x ON x.node = a JOIN nv y ON y.node = b WHERE list_dot_product(x.vec, y.vec) >= 0.05),
+lk AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY va, b ORDER BY score DESC, a) AS rb FROM sl WHERE score > 0) WHERE ra = 1 AND rb = 1)"""
+
+
+def _links(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    c = t(CONTRIBS)
+    sig = trk.signatures(c, ["view_id", "seg_id"]).select(F.col("view_id").alias("view"), (F.col("view_id") * 1000 + F.col("seg_id")).alias("node"), "gid", "w")
+    v = t("SELECT vec_id + 1 AS seg_id, embedding AS vec FROM {embeddings}").withColumn("vec", as_double("vec"))
+    nodes = c.groupBy("view_id", "seg_id").agg(F.sum("weight").alias("support")).join(v, "seg_id").select((F.col("view_id") * 1000 + F.col("seg_id")).alias("node"), F.col("view_id").alias("view"), "vec", "support")
+    return nodes, trk.windowed_links(sig, nodes, 2, 0.03, 0.05)
+
+
+@query(f"WITH {_NODES} SELECT a, b, round(score, 6) AS score FROM lk")
+def windowed_links(t: Inputs) -> DataFrame:
+    """Each view's nodes against the pooled two views before"""
+    return _links(t)[1].select("a", "b", F.round("score", 6).alias("score"))
+
+
+_TRACKS = f"""WITH RECURSIVE {_NODES}, ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), rc(node, seen) AS (SELECT a, a FROM ed UNION SELECT ed.b, rc.seen FROM rc JOIN ed ON ed.a = rc.node),
+lb AS (SELECT node, min(seen) AS root FROM rc GROUP BY 1), tn AS (SELECT nv.*, coalesce(root, nv.node) AS root FROM nv LEFT JOIN lb ON lb.node = nv.node), sm AS ({vsum("tn", "root")}),
+lo AS (SELECT tn.*, sm.w AS n, CASE WHEN sm.w > 1 THEN (list_dot_product(vec, s) - list_dot_product(vec, vec)) / (sm.w - 1) ELSE 1 END AS loo FROM tn JOIN sm USING (root)),
+kp AS (SELECT *, n = 1 OR loo >= avg(loo) OVER w - stddev_pop(loo) OVER w - 1e-12 OR row_number() OVER (PARTITION BY root ORDER BY loo DESC, node) = 1 AS keep FROM lo WINDOW w AS (PARTITION BY root)),
+su AS (SELECT *, CASE WHEN keep THEN support ELSE 0 END AS own FROM kp), im AS (SELECT *, CASE WHEN sum(own) OVER (PARTITION BY root) > 0 THEN own / sum(own) OVER (PARTITION BY root) ELSE 1.0 / count(*) OVER (PARTITION BY root) END AS imp FROM su),
+fx AS ({vsum("im", "root", "imp")}), ft AS (SELECT root, {unit("s")} AS f FROM fx), pv AS (SELECT root, count(*) AS views, sum(v) * sum(v) / greatest(sum(v * v), 1e-12) AS eff FROM (SELECT root, view_id, sum(imp) AS v FROM im WHERE imp > 0 GROUP BY ALL) GROUP BY 1),
+tr AS (SELECT root, sum(own) AS support, sum(imp * list_dot_product(vec, f)) / greatest(sum(imp), 1e-12) AS conc, any_value(f) AS f FROM im JOIN ft USING (root) GROUP BY 1),
+ok AS (SELECT *, row_number() OVER (ORDER BY root) - 1 AS track FROM tr JOIN pv USING (root) WHERE support >= 1000 AND views >= 2)"""
+
+
+@query(_TRACKS + " SELECT track, root, round(support, 4) AS support, views, round(eff, 6) AS eff_views, round(conc, 6) AS concentration, round(least(greatest(conc, 0), 1) * eff / (eff + 1), 6) AS reliability, round(f[1], 6) AS first FROM ok")
+def track_build(t: Inputs) -> DataFrame:
+    """Components, outliers out, importance by support, filters, reliability, compact ids"""
+    out = trk.build_tracks(*_links(t), least_support=1000.0, least_views=2)[0]
+    return out.select("track", "root", F.round("support", 4).alias("support"), "views", *(F.round(c, 6).alias(c) for c in ("eff_views", "concentration", "reliability")), F.round(F.col("feature")[0], 6).alias("first"))
+
+
+@query(_TRACKS + " SELECT kp.node, CASE WHEN keep THEN coalesce(track, -1) ELSE -1 END AS track FROM kp LEFT JOIN ok USING (root)")
+def segment_tracks(t: Inputs) -> DataFrame:
+    """The track of each segment; -1 for outliers and tracks that are filtered out"""
+    return trk.build_tracks(*_links(t), least_support=1000.0, least_views=2)[1].select("node", F.coalesce("track", F.lit(-1)).alias("track"))
+
+
+@query()
+def node_importance(t: Inputs) -> DataFrame:
+    """Information and agreement within a KL region; held against plain code in the tests"""
+    nodes, _ = _links(t)
+    return trk.node_importance(nodes.withColumn("track", F.col("node") % 100), "information_kl", 0.5, 0.05, 3.0).select("track", "node", F.round("importance", 7).alias("importance"))
+
+
+@query(f"WITH c AS ({CONTRIBS}), m AS (SELECT view_id, gid, seg_id, sum(weight) AS m FROM c GROUP BY ALL), d AS (SELECT view_id, gid, seg_id, m FROM m QUALIFY row_number() OVER (PARTITION BY view_id, gid ORDER BY m DESC, seg_id) = 1) SELECT gid, seg_id % 9 AS track, round(m, 4) AS support FROM d WHERE seg_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY gid ORDER BY m DESC, view_id) = 1")
+def best_view_tracks(t: Inputs) -> DataFrame:
+    """G9"""
+    m = t(CONTRIBS).groupBy("view_id", "gid", "seg_id").agg(F.sum("weight").alias("m"))
+    d = trk.first_rows(m, ["view_id", "gid"], [F.col("m").desc(), F.col("seg_id")])
+    d = d.select(F.col("view_id").alias("view"), "gid", F.when(F.col("seg_id") % 4 != 0, F.col("seg_id") % 9).alias("track"), F.col("m").alias("support"))
+    return trk.best_view_tracks(d).select("gid", "track", F.round("support", 4).alias("support"))
+
+
+@query(f"WITH c AS ({CONTRIBS}), o AS (SELECT gid, seg_id % 9 AS track, sum(weight) AS score FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, track) - 1 AS slot FROM o QUALIFY slot < 3) SELECT gid, slot::INT AS slot, track, round(score / sum(score) OVER (PARTITION BY gid), 7) AS score FROM k")
+def point_tracks(t: Inputs) -> DataFrame:
+    """Summed scores, the three best, as shares"""
+    rows = t(CONTRIBS).select("gid", (F.col("seg_id") % 9).alias("track"), F.col("weight").alias("score"))
+    return trk.aggregate_point_tracks(rows, 3).select("gid", F.col("slot").cast("int").alias("slot"), "track", F.round("score", 7).alias("score"))
+
+
+_GROUPS = f"c AS ({CONTRIBS}), gm AS (SELECT seg_id AS group_id, gid, sum(weight) / 50 AS w FROM c GROUP BY ALL), gr AS (SELECT vec_id + 1 AS group_id, embedding AS vec, vec_id % 5 + 1 AS n FROM {{embeddings}}), sc AS (SELECT gid, group_id, w * sqrt(n) AS score, vec FROM gm JOIN gr USING (group_id) WHERE n >= 2), rk AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, group_id) AS r FROM sc), tp AS (SELECT gid, max(group_id) FILTER (r = 1) AS group_id, max(score) FILTER (r = 1) AS best, coalesce(max(score) FILTER (r = 2), 0) AS second FROM rk GROUP BY 1 HAVING best - second >= 0.05)"
+
+
+def _assigned(t: Inputs, mode: str) -> DataFrame:
+    groups = t("SELECT vec_id + 1 AS group_id, embedding AS feature, vec_id % 5 + 1 AS count FROM {embeddings}")
+    members = t(CONTRIBS).groupBy(F.col("seg_id").alias("group_id"), "gid").agg((F.sum("weight") / 50).alias("w"))
+    a = trk.assign_groups(groups, members, mode, 2, 1.5, 0.0, 0.05)
+    return a.select("gid", "group_id", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), F.round(F.col("feature")[0].cast("double"), 6).alias("first"))
+
+
+@query(f"WITH {_GROUPS} SELECT gid, group_id, round(best, 6) AS best, round(second, 6) AS second, round(vec[1]::DOUBLE, 6) AS first FROM tp JOIN gr USING (group_id)")
+def group_assignment_hard(t: Inputs) -> DataFrame:
+    """G11 (hard)"""
+    return _assigned(t, "hard")
+
+
+@query(f"WITH {_GROUPS}, sf AS ({vsum('(SELECT gid, vec, pow(score, 1.5) AS sw FROM sc)', 'gid', 'sw')}) SELECT gid, group_id, round(best, 6) AS best, round(second, 6) AS second, round(s[1] / greatest(sqrt(list_dot_product(s, s)), 1e-9), 6) AS first FROM tp JOIN sf USING (gid)")
+def group_assignment_soft(t: Inputs) -> DataFrame:
+    """G11 (soft)"""
+    return _assigned(t, "soft")
+
+
+_PC = "SELECT vec_id AS gid, 0 AS level, vec_id % 8 AS code_id FROM {embeddings} UNION ALL SELECT vec_id, 1, 8 + vec_id % 5 FROM {embeddings} WHERE vec_id % 7 <> 0"
+
+
+@query(f"WITH pc AS ({_PC}), e AS (SELECT vec_id AS code_id, embedding AS vec FROM {{embeddings}} WHERE vec_id < 32), k AS (SELECT DISTINCT l_partkey AS gid, l_suppkey AS seg_id FROM {{lineitem}}), x AS ({vsum('(SELECT gid, vec FROM pc JOIN e USING (code_id))', 'gid')}), h AS (SELECT gid, count(DISTINCT level) = 2 AS good FROM pc GROUP BY 1), v AS (SELECT vec_id + 1 AS seg_id, embedding::DOUBLE[] AS vec FROM {{embeddings}}) SELECT k.gid, k.seg_id, round(CASE WHEN good THEN list_dot_product(s, vec) / greatest(sqrt(list_dot_product(s, s)) * sqrt(list_dot_product(vec, vec)), 1e-8) END, 6) AS score FROM k JOIN v USING (seg_id) LEFT JOIN x ON x.gid = k.gid LEFT JOIN h ON h.gid = k.gid")
+def code_scorer(t: Inputs) -> DataFrame:
+    """points' codes against segments; null stands for points that lack a level"""
+    codes = t("SELECT vec_id AS code_id, embedding AS vec FROM {embeddings} WHERE vec_id < 32").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("level"), "code_id", "vec")
+    k = t("SELECT DISTINCT l_partkey AS gid, l_suppkey AS seg_id FROM {lineitem}")
+    s = trk.semantic_scores(k, t(_PC), codes, t("SELECT vec_id + 1 AS seg_id, embedding AS vec FROM {embeddings}"), 2)
+    return s.select("gid", "seg_id", F.when(F.col("score") != float("-inf"), F.round("score", 6)).alias("score"))
 
 
 @query()
@@ -252,7 +363,7 @@ def small_regions(t: Inputs) -> DataFrame:
 @query("""WITH r AS (SELECT l_suppkey AS group_id, l_linenumber AS view_id, sum(l_quantity) AS support, avg(l_discount) AS score FROM {lineitem} GROUP BY ALL), b AS (SELECT *, support / sum(support) OVER w AS base FROM r WINDOW w AS (PARTITION BY group_id)), t AS (SELECT *, base * exp(5 * (0.9 * 0.05 + (1 - 0.9) * score)) AS tilt FROM b), q AS (SELECT *, base * least(greatest(tilt / sum(tilt) OVER (PARTITION BY group_id) / base, 1 / 1.01), 1.01) AS p FROM t)
 SELECT group_id, view_id, round(p / sum(p) OVER (PARTITION BY group_id), 7) AS p FROM q""")
 def view_importance(t: Inputs) -> DataFrame:
-    """K12, W7, P5"""
+    """K12, P5"""
     r = t("SELECT l_suppkey AS group_id, l_linenumber AS view_id, sum(l_quantity) AS support, avg(l_discount) AS score, 0.05D AS last FROM {lineitem} GROUP BY 1, 2")
     return sample.view_importance(r, 1.01, 5.0, 0.9).select("group_id", "view_id", F.round("p", 7).alias("p"))
 

@@ -2,8 +2,10 @@
 
 import numpy as np
 
+from pointweave.operators import consensus as con
 from pointweave.operators import evaluate as ev
-from pointweave.operators import graph, sample
+from pointweave.operators import fusion as fus
+from pointweave.operators import graph, order, sample
 from pointweave.operators import spatial as sp
 from pointweave.operators import track as trk
 
@@ -62,13 +64,196 @@ def test_suppression_and_regions(spark):
     assert sorted(r["px"] for r in ev.small_regions(px, "image", 2).collect()) == [0, 1, 2]
 
 
-def test_trace_memory_and_greedy_groups(spark):
-    nodes = spark.createDataFrame([(0, 0, 1, [1, 2], [1.0, 1.0]), (0, 0, 2, [8], [1.0]), (0, 1, 3, [1, 2, 3], [0.9, 0.9, 0.1]), (0, 1, 4, [50], [1.0])], "scene int, view int, node bigint, ids array<bigint>, ws array<double>")
-    got = {r["node"]: r["track"] for r in trk.trace_link(nodes, "scene", 0.5, 0.5, 10).collect()}
-    assert got[1] == got[3] and len({got[1], got[2], got[4]}) == 3
-    masks = spark.createDataFrame([(0, 1, 9.0, [1, 2], [1.0, 1.0]), (0, 2, 5.0, [1, 2], [1.0, 0.9]), (0, 3, 4.0, [7], [1.0])], "scene int, mask bigint, mass double, ids array<bigint>, ws array<double>")
-    got = {r["mask"]: r["group_id"] for r in trk.greedy_groups(masks, "scene", 0.5).collect()}
-    assert got[1] == got[2] != got[3]
+_NODE = "scene int, view int, node bigint, ids array<bigint>, ws array<double>, vec array<double>, mass double"
+
+
+def plain_trace(rows, least_overlap, least_cos, keep):
+    """Dense matrices, view after view."""
+    ids = sorted({i for r in rows for i in r[3]})
+    place = {i: n for n, i in enumerate(ids)}
+    memory, sums, counts, out = [], [], [], {}
+
+    def norm(x):
+        return x / max(np.linalg.norm(x), 1e-8)
+
+    def cut(x):
+        order = np.lexsort((np.arange(len(x)), -x))
+        y = np.zeros_like(x)
+        y[order[:keep]] = x[order[:keep]]
+        return norm(y)
+
+    for view in sorted({r[1] for r in rows}):
+        now = sorted((r for r in rows if r[1] == view), key=lambda r: r[2])
+        sig = np.zeros((len(now), len(ids)))
+        for a, r in enumerate(now):
+            sig[a, [place[i] for i in r[3]]] = r[4]
+            sig[a] = norm(sig[a])
+        vec = np.array([norm(np.array(r[5])) for r in now])
+        match = {}
+        if memory:
+            over, cos = sig @ np.array(memory).T, vec @ np.array([norm(s) for s in sums]).T
+            score = over * np.clip((cos - least_cos) / (1 - least_cos), 0, 1)
+            score[(over < least_overlap) | (cos < least_cos)] = 0
+            for a in range(len(now)):
+                m = int(score[a].argmax())
+                if score[a, m] > 0 and score[:, m].argmax() == a:
+                    match[a] = m
+        for a, r in enumerate(now):
+            if a in match:
+                m = match[a]
+                memory[m] = cut(memory[m] * counts[m] + sig[a])
+                sums[m] = sums[m] + vec[a] * r[6]
+                counts[m] += 1
+            else:
+                m = len(memory)
+                memory.append(cut(sig[a]))
+                sums.append(vec[a] * r[6])
+                counts.append(1)
+            out[r[2]] = m
+    return out
+
+
+def test_trace_memory(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((5, 6))
+    rows = []
+    for view in range(6):
+        for seg in range(7):
+            k = int(rng.integers(0, 5))
+            ids = sorted(set(rng.integers(20 * k, 20 * k + 20, 12).tolist()))
+            rows.append((0, view, view * 10 + seg, ids, rng.random(len(ids)).tolist(), (centres[k] + 0.3 * rng.standard_normal(6)).tolist(), float(rng.random() + 0.5)))
+    want = plain_trace(rows, 0.15, 0.3, 15)
+    got = {r["node"]: r["track"] for r in trk.trace_memory(spark.createDataFrame(rows, _NODE), "scene", 0.15, 0.3, 15).collect()}
+    assert got == want and 5 <= len(set(want.values())) < len(rows)
+
+
+def test_lift_groups(spark):
+    unit_x, unit_y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(0, 1, 1, [1, 2, 3], [2.0, 1.0, 1.0], unit_x, 4.0), (0, 2, 2, [1, 2, 4], [1.0, 1.0, 2.0], [0.8, 0.6], 2.0), (0, 3, 3, [1, 2, 3], [1.0, 1.0, 1.0], unit_y, 5.0), (0, 4, 4, [50], [1.0], unit_x, 1.0)]
+    df = spark.createDataFrame(rows, _NODE.replace("view", "place").replace("node", "mask"))
+    got = {r["mask"]: r for r in trk.lift_groups(df, "scene", 0.1, 0.5, 0.5, 0.4).collect()}
+    # mask 2 shares 1/4 + 1/4 of its weight with mask 1: Jaccard 1/3, cosine 0.8; mask 3 differs in meaning
+    assert [got[i]["group_id"] for i in (1, 2, 3, 4)] == [0, 0, 1, 2]
+    assert got[1]["count"] == 2 and got[1]["mass"] == 6.0 and got[1]["ids"] == [1, 2, 3, 4]
+    assert np.allclose(got[1]["ws"], np.array([0.5 * 4 + 0.25 * 2, 0.25 * 4 + 0.25 * 2, 0.25 * 4, 0.5 * 2]) / 6)
+    assert np.allclose(got[2]["feature"], unit(np.array([1.0 * 4 + 0.8 * 2, 0.6 * 2])))
+    assert trk.lift_groups(df, "scene", 0.1, 0.5, 0.5, 0.6).select("group_id").distinct().count() == 4
+
+
+def plain_importance(v, support, heat, most_kl, ratio):
+    base = support / support.sum()
+    centre = unit((base[:, None] * v).sum(0))
+    info = support[:, None] * v * v
+    known = 1e-4 + info.sum(0)
+    gain = np.log(known / np.maximum(1e-4, known - info)).mean(1)
+    logit = np.clip((gain / max(gain.max(), 1e-8) + np.log(np.maximum(np.clip(v @ centre, 0, 1), 1e-4))) / heat, -30, 30)
+    target = base * np.exp(logit - logit.max())
+    target /= target.sum()
+    kl = lambda m: (m * np.log(m / base)).sum()
+    if kl(target) > most_kl:
+        low, high = 0.0, 1.0
+        for _ in range(32):
+            mid = (low + high) / 2
+            low, high = (mid, high) if kl(base + mid * (target - base)) <= most_kl else (low, mid)
+        target = base + low * (target - base)
+    held = base * np.minimum(target / base, ratio)
+    return held / held.sum()
+
+
+def test_node_importance(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for track in range(4):
+        v, s = unit(rng.standard_normal((7, 5)) + 0.6), rng.random(7) * 10 + 0.1
+        rows += [(track, track * 10 + i, v[i].tolist(), float(s[i])) for i in range(7)]
+        heat = 0.3
+        want |= {track * 10 + i: x for i, x in enumerate(plain_importance(v, s, heat, 0.05 if track % 2 else 0.05, 2.0))}
+    df = spark.createDataFrame(rows, "track bigint, node bigint, vec array<double>, support double")
+    got = {r["node"]: r["importance"] for r in trk.node_importance(df, "information_kl", 0.3, 0.05, 2.0).collect()}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-7
+    even = trk.node_importance(df, "uniform").collect()
+    assert all(abs(r["importance"] - 1 / 7) < 1e-12 for r in even)
+
+
+def test_neighbours_at_any_distance(spark):
+    """The third point lies far beyond any cell that the others share."""
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [1e9])], "gid bigint, pos array<double>")
+    got = {(r["gid"], r["rank"]): (r["neighbour"], r["d2"]) for r in sp.knn(df, df, 2, 1, 1.0).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 1}
+    assert got[3, 1][1] == (1e9 - 1) ** 2
+    assert sp.knn(df.limit(0), df, 2, 1, 1.0).count() == 0 and sp.knn(df, df.limit(0), 2, 1, 1.0, drop_self=False).count() == 0
+
+
+def test_places_and_first_rows_need_no_single_task(spark):
+    df = spark.range(1000).selectExpr("id AS k", "id * 37 % 101 AS v")
+    got = {r["k"]: r["place"] for r in order.numbered(df, [df["v"].desc(), df["k"]]).collect()}
+    want = {k: i for i, (_, k) in enumerate(sorted((-(k * 37 % 101), k) for k in range(1000)))}
+    assert got == want
+    assert {r["k"] for r in order.first_n(df, 77, [df["v"].desc(), df["k"]]).collect()} == {k for k, i in want.items() if i < 77}
+    assert order.numbered(df.limit(0), [df["v"]]).count() == 0
+
+
+def test_vector_sums_over_hot_and_null_keys(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 11 == 0 else i % 3, f"g{i % 2}", rng.random(4).tolist(), float(i % 5)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, g string, vec array<double>, w double").repartition(7)
+    got = {(r["k"], r["g"]): (r["total_w"], r["s"]) for r in con.vector_sum(df, ["k", "g"], "vec", "w").collect()}
+    want = {}
+    for k, g, v, w in rows:
+        s = want.setdefault((k, g), [0.0, np.zeros(4)])
+        s[0] += w
+        s[1] = s[1] + w * np.array(v)
+    assert set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and np.allclose(got[k][1], want[k][1]) for k in want)
+    assert con.vector_sum(df.limit(0), ["k"], "vec").count() == 0
+
+
+def test_weighted_sums_by_broadcast_and_by_join(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    c = spark.createDataFrame([(i % 40, int(rng.integers(0, 9)), float(rng.random())) for i in range(900)], "gid int, seg_id int, weight double")
+    v = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(8)] + [(8, None)], "seg_id int, vec array<double>")
+    near = {r["gid"]: (r["total_w"], *r["s"]) for r in con.weighted_sums(c, v, ["gid"]).collect()}
+    monkeypatch.setattr(con, "BROADCAST_BYTES", 0)
+    far = {r["gid"]: (r["total_w"], *r["s"]) for r in con.weighted_sums(c, v, ["gid"]).collect()}
+    assert set(near) == set(far) and all(np.allclose(near[k], far[k]) for k in far)
+
+
+def test_robust_shards(spark):
+    """The reference's rule for one outlying shard, and plain Weiszfeld rounds."""
+    rng = np.random.default_rng(3)
+    rows = [(g, s, unit(rng.standard_normal(4)).tolist(), float(rng.random() + 0.1), float(rng.random())) for g in range(5) for s in range(4)]
+    rows += [(9, 0, [1.0, 0.0, 0.0, 0.0], 0.0, 1.0)]
+    got = {r["gid"]: r for r in fus.robust_shard_merge(spark.createDataFrame(rows, "gid int, shard int, feature array<double>, total_w double, mean_norm double"), 0.5, 8).collect()}
+    for g in range(5):
+        own = [r for r in rows if r[0] == g]
+        v, e = np.array([r[2] for r in own]), np.array([r[3] * r[4] for r in own])
+        w = np.sqrt(e)
+        c = unit((v * w[:, None]).sum(0))
+        for _ in range(8):
+            a = w / np.maximum(np.linalg.norm(v - c, axis=1), 1e-4)
+            c = unit((v * a[:, None]).sum(0))
+        assert np.allclose(got[g]["feature"], c) and abs(got[g]["dispersion"] - (1 - v @ c).sum()) < 1e-9
+        assert got[g]["supported"] == 4 and np.allclose(got[g]["sb"], unit((v[1::2] * e[1::2, None]).sum(0)))
+    assert got[9]["supported"] == 0 and got[9]["feature"] == [0.0] * 4 and got[9]["sa"] is None
+
+
+def test_robust_groups(spark):
+    rng = np.random.default_rng(6)
+    v = unit(rng.standard_normal((30, 4)))
+    score, conf = rng.random((30, 3)), rng.random((30, 3)) + 0.1
+    member = [(i, g, float(score[i, g])) for i in range(30) for g in range(3)]
+    points = spark.createDataFrame([(i, v[i].tolist()) for i in range(30)], "gid int, feature array<double>")
+    sure = spark.createDataFrame([(i, *map(float, sorted(conf[i, :2])[::-1]), float(conf[i, 2])) for i in range(30)], "gid int, best double, second double, weight double")
+    got = {r["group_id"]: r for r in fus.teach_groups_robustly(points, spark.createDataFrame(member, "gid int, group_id int, score double"), sure, 3, 1.5, 2.0, 0.2).collect()}
+    high, low = np.sort(conf[:, :2], 1)[:, ::-1].T
+    c = (0.2 + 0.8 * np.clip((high - low) / high, 0, 1)) * np.sqrt(np.clip(conf[:, 2] / np.percentile(conf[:, 2], 90), 0, 1))
+    t = unit((score[:, :, None] ** 1.5 * v[:, None]).sum(0))
+    for _ in range(3):
+        a = np.clip(v @ t.T, 0, 1)
+        w = score**1.5 * c[:, None] * a**2
+        t = unit((w[:, :, None] * v[:, None]).sum(0))
+    for g in range(3):
+        assert np.allclose(got[g]["feature"], t[g]) and abs(got[g]["agreement"] - (w * a)[:, g].sum() / w[:, g].sum()) < 1e-9
 
 
 def test_samples(spark):
