@@ -7,15 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointweave.functions.vec import l2_normalize, squared_distance
+from pointweave.functions.vec import add, as_double, clip, dot, l2_normalize, scale, squared_distance, subtract
 from pointweave.operators.consensus import vector_sum
+from pointweave.operators.order import numbered
+from pointweave.plans.storage import stored
 
 #: Codes are broadcast up to this many bytes; beyond, points meet them block by block.
 BROADCAST_BYTES = 256 << 20
+#: Points that a farthest-first start looks at; the driver holds them.
+SAMPLE = 16_384
 #: Scores (points x codes) that a worker makes at once.
 SCORES = 1 << 22
 
@@ -86,11 +90,14 @@ def kmeans(points: DataFrame, k: int, rounds: int, spherical: bool = True, empty
 
     ``init``: (code_id, vec); else the k points of lowest id. ``empty``: what becomes of a
     code without points: ``keep`` its vector, ``reseed`` from a point by hash of the round,
-    or ``farthest``: the points farthest from their codes. The k codes are the only thing
-    that the driver holds.
+    or ``farthest``: the points farthest from their codes. As many points as codes, or
+    fewer, are the codes. The k codes are the only thing that the driver holds, up to
+    tens of thousands.
     """
     spark = points.sparkSession
     if init is None:
+        if points.count() <= k:
+            return numbered(points.select(gid, (l2_normalize(vec) if spherical else as_double(vec)).alias("vec")), [F.col(gid)], "code_id").select("code_id", "vec")
         first = points.orderBy(gid).limit(k).select(vec).collect()
         init = spark.createDataFrame([(i, [float(x) for x in r[0]]) for i, r in enumerate(first)], "code_id bigint, vec array<double>")
     codes = {r["code_id"]: np.array(r["vec"], float) for r in init.collect()}
@@ -115,6 +122,19 @@ def kmeans(points: DataFrame, k: int, rounds: int, spherical: bool = True, empty
     return spark.createDataFrame([(int(i), v.tolist()) for i, v in sorted(codes.items())], "code_id bigint, vec array<double>")
 
 
+def farthest_first(points: DataFrame, k: int, sample: int = SAMPLE, seed: int = 0, gid: str = "gid", vec: str = "vec") -> DataFrame:
+    """(code_id, vec): k unit vectors of at most ``sample`` points (by seeded hash), each the one
+    least like its likest among those before it; ties to the lower hash. A start for k-means."""
+    rows = points.orderBy(F.xxhash64(F.lit(seed), gid), gid).limit(sample).select(l2_normalize(vec).alias("vec")).toArrow()
+    v = rows.column("vec").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    chosen, near = [], np.full(len(v), -np.inf)
+    for _ in range(min(k, len(v))):
+        at = int((1 - near).argmax()) if chosen else 0
+        chosen.append(at)
+        near = np.maximum(near, v @ v[at])
+    return points.sparkSession.createDataFrame([(i, v[at].tolist()) for i, at in enumerate(chosen)], "code_id bigint, vec array<double>")
+
+
 def residuals(points: DataFrame, assigned: DataFrame, codes: DataFrame, gid: str = "gid", vec: str = "vec") -> DataFrame:
     """(gid, vec): what the assigned code leaves of each vector."""
     joined = points.join(assigned.select(gid, "code_id"), gid).join(F.broadcast(codes.select("code_id", F.col("vec").alias("code_vec"))), "code_id")
@@ -179,6 +199,127 @@ def sparse_code(points: DataFrame, codes: DataFrame, slots: int, gain: float, ta
     return points.select(gid, vec, cap.alias("cap")).mapInArrow(run, f"`{gid}` {kind}, slot int, code_id bigint, weight int")
 
 
+def residual_spherical(points: DataFrame, sizes: list[int], rounds: int, weight: str | None = None, gid: str = "gid", vec: str = "vec") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(codes (level, code_id, vec), point_codes (gid, level, code_id), rebuilt (gid, vec)):
+    every level is spherical, on what of the vectors is at right angles to what the levels
+    before rebuilt, which has unit length."""
+    kept = [gid, *([weight] if weight else [])]
+    own = stored(points.select(*kept, l2_normalize(vec).alias("full")).withColumn("left", F.col("full")).withColumn("rebuilt", F.transform("full", lambda _: F.lit(0.0))), "spherical-points")
+    codes, ids = None, None
+    for level, k in enumerate(sizes):
+        left = own.select(*kept, F.col("left").alias("vec"))
+        book = kmeans(left, k, rounds, True, "farthest", None, gid, "vec", weight)
+        at = stored(nearest_code(left, book, "dot", gid), "spherical-ids")
+        c, p = book.select(F.lit(level).alias("level"), "code_id", "vec"), at.select(gid, F.lit(level).alias("level"), "code_id")
+        codes, ids = (c, p) if codes is None else (codes.unionByName(c), ids.unionByName(p))
+        joined = own.join(at.select(gid, "code_id"), gid).join(F.broadcast(book.withColumnRenamed("vec", "code")), "code_id")
+        joined = joined.select(*kept, "full", l2_normalize(add("rebuilt", "code")).alias("rebuilt"))
+        own = stored(joined.withColumn("left", l2_normalize(subtract("full", scale("rebuilt", dot("full", "rebuilt"))))), "spherical-points")
+    return codes, ids, own.select(gid, F.col("rebuilt").alias("vec"))
+
+
+def adaptive_codebook(points: DataFrame, k: int, rounds: int, slots: int, gain: float, target: float, capacity: str | None = None, codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(codes, slots as of :func:`sparse_code`, histogram (slots, points)): one shared book,
+    built or given, and as many ids a point as its distortion asks for."""
+    if codes is None:
+        codes = kmeans(points, k, rounds)
+    rows = stored(sparse_code(points, codes, slots, gain, target, capacity), "adaptive-slots")
+    histogram = rows.groupBy("gid").agg(F.count("*").alias("slots")).groupBy("slots").agg(F.count("*").alias("points"))
+    return codes, rows, histogram
+
+
+def extend_codes(points: DataFrame, slots: DataFrame, codes: DataFrame, extension: DataFrame, least_gain: float, gid: str = "gid", vec: str = "vec") -> DataFrame:
+    """(gid, code_id, coefficient, accepted, cosine): one more code a point, from an extension
+    of the book, on what its slots (gid, code_id, weight u8) leave; accepted where it gains
+    at least ``least_gain`` in cosine."""
+    current = reconstruct(slots.withColumn("__w", F.col("weight") / 255.0), codes, [gid], ["code_id"], "__w").withColumnRenamed("feature", "now")
+    rows = stored(points.select(gid, l2_normalize(vec).alias("goal")).join(current, gid), "extend-points")
+    left = rows.select(gid, l2_normalize(subtract("goal", "now")).alias("vec"))
+    at = nearest_code(left, extension, "dot", gid).select(gid, "code_id")
+    joined = rows.join(at, gid).join(F.broadcast(extension.select("code_id", F.col("vec").alias("code"))), "code_id")
+    joined = joined.withColumn("coefficient", clip(dot(subtract("goal", "now"), "code"), 0.0, 1.0))
+    joined = joined.withColumn("new", l2_normalize(add("now", scale("code", "coefficient"))))
+    old, new = dot("goal", "now"), dot("goal", "new")
+    accepted = (F.col("coefficient") > 1e-6) & (new - old >= least_gain)
+    return joined.select(gid, "code_id", "coefficient", accepted.alias("accepted"), F.when(accepted, new).otherwise(old).alias("cosine"))
+
+
+def learn_extension(points: DataFrame, slots: DataFrame, codes: DataFrame, k: int, rounds: int, gid: str = "gid", vec: str = "vec") -> DataFrame:
+    """(code_id, vec): k unit codes of what the slots leave, with ids after the book's."""
+    current = reconstruct(slots.withColumn("__w", F.col("weight") / 255.0), codes, [gid], ["code_id"], "__w").withColumnRenamed("feature", "now")
+    left = stored(points.select(gid, l2_normalize(vec).alias("goal")).join(current, gid).select(gid, l2_normalize(subtract("goal", "now")).alias("vec")), "extend-left")
+    first = codes.agg(F.max("code_id")).first()[0] + 1
+    return kmeans(left, k, rounds, True, "farthest", None, gid, "vec").select((F.col("code_id") + first).alias("code_id"), "vec")
+
+
+def mount_codes(points: DataFrame, codes: DataFrame, most: int, gid: str = "gid", vec: str = "vec") -> DataFrame:
+    """(gid, rank, code_id, score): the ``most`` best of the codes (parent, code_id, vec) of each
+    point's own parent, ranks from 0, the lower code of equals. Workers hold all codes."""
+    rows = codes.select("parent", "code_id", "vec").orderBy("parent", "code_id").toArrow()
+    held = points.sparkSession.sparkContext.broadcast((rows.column("parent").to_numpy(), rows.column("code_id").to_numpy(), np.array(rows.column("vec").to_pylist(), float)))
+    kind = points.schema[gid].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parents, ids, c = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(1).to_numpy(zero_copy_only=False)
+            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            for p in np.unique(own):
+                lo, hi = np.searchsorted(parents, [p, p + 1])
+                at = np.flatnonzero(own == p)
+                if lo == hi:
+                    continue
+                s = v[at] @ c[lo:hi].T
+                order = np.argsort(-s, axis=1, kind="stable")[:, :most]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, n))), pa.array(np.tile(np.arange(n, dtype=np.int32), len(at))), pa.array(ids[lo:hi][order].ravel().astype(np.int64)), pa.array(np.take_along_axis(s, order, 1).ravel())], names=[gid, "rank", "code_id", "score"])
+
+    return points.select(gid, F.col("parent").cast("long").alias("parent"), vec).mapInArrow(run, f"`{gid}` {kind}, rank int, code_id bigint, score double")
+
+
+def reverse_mounts(mounts: DataFrame, usage: DataFrame | None = None, gid: str = "gid") -> DataFrame:
+    """(code_id, usage, gids): the points that each code is mounted on, in order, and what they
+    use (gid, usage), one each where not given."""
+    rows = mounts.withColumn("usage", F.lit(1.0)) if usage is None else mounts.join(usage, gid)
+    return rows.groupBy("code_id").agg(F.sum("usage").alias("usage"), F.array_sort(F.collect_list(gid)).alias("gids"))
+
+
+def hierarchical_codebook(points: DataFrame, coarse: int, fine: int, rounds: int, weight: str | None = None, gid: str = "gid", vec: str = "vec") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(coarse codes, fine codes (parent, code_id, vec), points (gid, parent, vec)): spherical
+    k-means, then k-means of up to ``fine`` codes within each coarse one, all parents side by
+    side: a point meets its own parent's codes only, and a large parent is no single task. A
+    parent's first points start its codes; an empty code keeps its vector."""
+    kept = [gid, *([weight] if weight else [])]
+    unit = stored(points.select(*kept, l2_normalize(vec).alias("vec")), "hierarchy-points")
+    top = kmeans(unit, coarse, rounds, True, "farthest", None, gid, "vec", weight)
+    own = stored(unit.join(nearest_code(unit, top, "dot", gid).select(gid, F.col("code_id").alias("parent")), gid), "hierarchy-parents")
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(gid))
+    first = own.withColumn("r", place).where(F.col("r") <= fine)
+    book = stored(numbered(first, [F.col("parent"), F.col("r")], "code_id").select("parent", "code_id", "vec"), "hierarchy-codes")
+    for _ in range(rounds):
+        at = mount_codes(own, book, 1, gid).select(gid, "code_id")
+        moved = vector_sum(own.join(at, gid), ["code_id"], "vec", weight or 1.0).where("total_w > 0").select("code_id", l2_normalize("s").alias("new"))
+        book = stored(book.join(moved, "code_id", "left").select("parent", "code_id", F.coalesce("new", "vec").alias("vec")), "hierarchy-codes")
+    return top, book, own.select(gid, "parent", "vec")
+
+
+def query_bank(rows: DataFrame, source: str, per_source: int, k: int, rounds: int, seed: int = 0, gid: str = "gid", vec: str = "vec") -> DataFrame:
+    """(code_id, vec): k unit queries that stand for observations, as many of each source as
+    there are, up to ``per_source``."""
+    from pointweave.operators.sample import balanced
+
+    return kmeans(stored(balanced(rows, source, gid, per_source, seed).select(gid, vec), "bank"), k, rounds, True, "farthest", None, gid, vec)
+
+
+def compact_id(code: Column, codes: int) -> Column:
+    """A code's id as exported: 16 bits where ids and a mark for none fit, else 32; none (null or
+    negative) is the largest number."""
+    none = (1 << 16) - 1 if codes < (1 << 16) - 1 else (1 << 32) - 1
+    return F.when(code.isNull() | (code < 0), F.lit(none)).otherwise(code).cast("long")
+
+
 def merge_levels(codes: DataFrame, point_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One id space: each level's ids follow those of the levels before it."""
     size = codes.groupBy("level").agg((F.max("code_id") + 1).alias("n"))
