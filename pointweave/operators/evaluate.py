@@ -160,3 +160,28 @@ def small_regions(pixels: DataFrame, image: str, least: int) -> DataFrame:
         return pdf[[(int(x), int(y)) in keep for x, y in zip(pdf["px"], pdf["py"], strict=True)]]
 
     return pixels.groupBy(image).applyInPandas(run, pixels.schema)
+
+
+def rendered_selection(weights: DataFrame, scores: DataFrame, truth: DataFrame, thresholds: list[float], occupancy: float = 0.7, image: str = "view_id", pixel: str = "pixel_id", gid: str = "gid") -> DataFrame:
+    """(image, query_id, threshold, iou): points over each threshold are rendered, and the pixels
+    where their weights sum to more than ``occupancy`` are held against the truth.
+
+    weights: (image, pixel, gid, weight), the points' shares of a pixel; scores: (gid,
+    query_id, score); truth: (image, pixel, query_id), the labelled pixels. Only labelled
+    pairs of image and query count. All thresholds are sums of one pass."""
+    grid = check_thresholds(thresholds)
+    labelled = truth.groupBy(image, "query_id").agg(F.count("*").alias("t"))
+    rows = weights.join(scores, gid).join(F.broadcast(labelled.select(image, "query_id")), [image, "query_id"])
+    lit = [F.sum(F.when(F.col("score") > x, F.col("weight")).otherwise(0.0)) > occupancy for x in grid]
+    seen = rows.groupBy(image, "query_id", pixel).agg(F.array(*lit).alias("lit"))
+    seen = seen.join(truth.select(image, "query_id", pixel, F.lit(True).alias("hit")), [image, "query_id", pixel], "left")
+    counted = [c for i in range(len(grid)) for c in (F.count(F.when(F.col("lit")[i], 1)).alias(f"p{i}"), F.count(F.when(F.col("lit")[i] & F.col("hit"), 1)).alias(f"i{i}"))]
+    per = labelled.join(seen.groupBy(image, "query_id").agg(*counted), [image, "query_id"], "left").na.fill(0)
+    cells = F.array(*[F.struct(F.lit(x).alias("threshold"), F.col(f"p{i}").alias("p"), F.col(f"i{i}").alias("i")) for i, x in enumerate(grid)])
+    flat = per.select(image, "query_id", "t", F.explode(cells).alias("c"))
+    return flat.select(image, "query_id", "c.threshold", (F.col("c.i") / (F.col("t") + F.col("c.p") - F.col("c.i"))).alias("iou"))
+
+
+def completeness(want: DataFrame, have: DataFrame) -> DataFrame:
+    """(columns, state): rows that are missing, and rows that are unknown."""
+    return want.subtract(have).withColumn("state", F.lit("missing")).unionByName(have.subtract(want).withColumn("state", F.lit("unknown")))

@@ -139,10 +139,10 @@ def sparse_top_renormalised(t: Inputs) -> DataFrame:
     return r.select("node", "gid", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("node")), 7).alias("w"))
 
 
-@query("WITH s AS (SELECT p_partkey AS gid, p_size AS g, p_retailprice > 1400 AS c FROM {part}) SELECT gid, round(CASE WHEN count(*) OVER w > 1 AND c THEN (sum(c::INT) OVER w - c::INT) / (count(*) OVER w - 1) ELSE 0 END, 8) AS support FROM s WINDOW w AS (PARTITION BY g)")
+@query("WITH s AS (SELECT p_partkey AS gid, p_size AS g, p_retailprice > 950 AS c FROM {part}) SELECT gid, round(CASE WHEN count(*) OVER w > 1 AND c THEN (sum(c::INT) OVER w - c::INT) / (count(*) OVER w - 1) ELSE 0 END, 8) AS support FROM s WINDOW w AS (PARTITION BY g)")
 def loo_component_support(t: Inputs) -> DataFrame:
     """A27"""
-    s = t("SELECT p_partkey AS gid, p_size AS g, p_retailprice > 1400 AS c FROM {part}")
+    s = t("SELECT p_partkey AS gid, p_size AS g, p_retailprice > 950 AS c FROM {part}")
     return sp.leave_one_out_support(s, "g", F.col("c")).select("gid", F.round("support", 8).alias("support"))
 
 

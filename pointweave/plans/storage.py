@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _new(spark: SparkSession, name: str) -> str:
+def fresh_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, which goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,7 +30,7 @@ def _new(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost
     executor costs no recomputation of what came before."""
-    path = _new(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,7 +39,7 @@ class Parts:
     """A table in the shared folder that grows by whole frames of one schema."""
 
     def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.schema, self.path = spark, schema, _new(spark, name)
+        self.spark, self.schema, self.path = spark, schema, fresh_path(spark, name)
         self.empty = True
 
     def add(self, df: DataFrame) -> None:
