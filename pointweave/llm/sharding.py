@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 
 from pointweave.llm.common import documents, stored
 
-#: Bins that one round counts for each splitter; hot groups hold over 1/FINE of a shard.
-BINS, FINE = 1024, 100
+#: Bins that one round counts for each splitter; hot groups hold over 1/FINE of a shard;
+#: rows of a deal, which one task sorts; deals whose sizes are broadcast.
+BINS, FINE, DEAL, DEALS = 1024, 100, 100_000, 1 << 16
 KEY_BITS, LEAST_ID = 60, -(1 << 63)
 
 
@@ -128,9 +129,9 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
 
     Law ``bytes``. A null text is empty, size 1; null ids order first; rows that repeat
     with one id stay together; an empty table gives no rows; fewer units than shards
-    leave shards empty. Slots run from 0 without gaps, in the order of the id's md5: rows are dealt by its first digits within
-    their shard, numbered within each deal, and moved by the sizes of the deals before
-    (at most ``shards`` x 4,096 of them).
+    leave shards empty. Slots run from 0 without gaps, in the order of the id's md5: rows
+    are dealt by its first digits within their shard, as many as make deals of about DEAL
+    rows, numbered within each deal, and moved by the sizes of the deals before.
     """
     spark = df.sparkSession
     slim = stored(sizes(df, id_col, text_col), "shard-sizes")
@@ -138,7 +139,8 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     place = F.lit(0)
     for s in cuts:
         place = place + s.right().cast("int")
-    digits = min(3, max(1, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards).bit_length() // 4 + 1))
+    tasks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), slim.count() // DEAL)
+    digits = max(1, -(-(tasks // shards).bit_length() // 4))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     dealt = slim.select("doc_id", "size", "text_crc32", place.alias("shard"), order.alias("order")).withColumn("deal", F.substring("order", 1, digits))
     before = dealt.groupBy("shard", "deal").agg(F.count("*").alias("n"))
@@ -147,7 +149,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     number = F.row_number().over(Window.partitionBy("shard", "deal").orderBy("order", "doc_id", "text_crc32", "size")) - 1
     return (
         dealt.withColumn("number", number)
-        .join(F.broadcast(before), ["shard", "deal"])
+        .join(F.broadcast(before) if shards * 16**digits <= DEALS else before, ["shard", "deal"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

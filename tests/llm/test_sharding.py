@@ -59,3 +59,11 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [(r["shard"], r["slot"]) for r in sharding.shard(df, 4).collect()] == [(2, 0)]
     assert sharding.shard(df.limit(0), 4).count() == 0
+
+
+def test_slots_do_not_depend_on_the_deals(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(tuple(r) for r in sharding.shard(df, 3).drop("grown_shard").collect())
+    monkeypatch.setattr(sharding, "DEAL", 2)
+    monkeypatch.setattr(sharding, "DEALS", 1)
+    assert sorted(tuple(r) for r in sharding.shard(df, 3).drop("grown_shard").collect()) == want
