@@ -144,3 +144,13 @@ def crop_boxes(spark, width: int, height: int, layers: int, overlap: float):
 def gaussian_window(size: int, sigma: float) -> list[float]:
     w = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
     return [x / sum(w) for x in w]
+
+
+def to_width_height(box: list[Column]) -> list[Column]:
+    """x0, y0, x1, y1 as x0, y0, width, height."""
+    return [box[0], box[1], box[2] - box[0], box[3] - box[1]]
+
+
+def uncrop(box: list[Column], crop: list[Column]) -> list[Column]:
+    """A crop's box in the image."""
+    return [box[0] + crop[0], box[1] + crop[1], box[2] + crop[0], box[3] + crop[1]]

@@ -392,3 +392,20 @@ def split_groups(points: DataFrame, groups: DataFrame, dispersion: float, most:
         return pd.DataFrame(out, columns=["parent", "child", "vec", "n"])
 
     return joined.groupBy("group_id").applyInPandas(two, "parent bigint, child int, vec array<double>, n bigint")
+
+
+def pq_blend(base: DataFrame, other: DataFrame, centroids: DataFrame, subs: int, share: float, gid: str = "gid") -> DataFrame:
+    """(gid, sub, code): points valid in ``base``, encoded again; where ``other`` is valid too,
+    as the direction of share x base + the rest x other."""
+    a, b = pq_decode(base, centroids, gid), pq_decode(other, centroids, gid).withColumnRenamed("vec", "__b")
+    mixed = l2_normalize(add(scale("vec", F.lit(share)), scale("__b", F.lit(1 - share))), 1e-9)
+    rows = a.join(b, gid, "left").select(gid, F.when(F.col("__b").isNull(), F.col("vec")).otherwise(mixed).alias("vec"))
+    return pq_encode(rows, centroids, subs, gid)
+
+
+def compose(fine: DataFrame, whole: DataFrame, share: float, keys: list[str]) -> DataFrame:
+    """(keys, vec): fine codes plus ``share`` of the object codes of the same key, unit length;
+    fine ones alone where there is none."""
+    rows = fine.join(whole.select(*keys, F.col("vec").alias("__o")), keys, "left")
+    both = F.when(F.col("__o").isNull(), F.transform("vec", lambda x: x.cast("double"))).otherwise(add("vec", scale("__o", F.lit(share))))
+    return rows.select(*keys, l2_normalize(both).alias("vec"))

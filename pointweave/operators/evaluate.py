@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointweave.functions.geometry import gaussian_window
+from pointweave.functions.vec import clip
+from pointweave.plans.storage import stored
 
 
 def iou(p: Column, g: Column) -> Column:
@@ -185,3 +188,36 @@ def rendered_selection(weights: DataFrame, scores: DataFrame, truth: DataFrame,
 def completeness(want: DataFrame, have: DataFrame) -> DataFrame:
     """(columns, state): rows that are missing, and rows that are unknown."""
     return want.subtract(have).withColumn("state", F.lit("missing")).unionByName(have.subtract(want).withColumn("state", F.lit("unknown")))
+
+
+def pca_colours(rows: DataFrame, gid: str = "gid", vec: str = "vec", limit: float = 3.0) -> DataFrame:
+    """(gid, rgb): the three leading directions of the centred vectors as colours in [0, 1]; in
+    each, values within ``limit`` median deviations of the (lower) median span the scale.
+    Directions are fixed up to their sign, here such that their largest entry is positive."""
+    from pointweave.functions.plug import LinearCodec
+    from pointweave.operators.consensus import vector_sum
+
+    own = rows.where(F.col(vec).isNotNull()).select(gid, F.col(vec).alias("vec"))
+    mean = vector_sum(own.withColumn("one", F.lit(1)), ["one"], "vec").select(F.transform("s", lambda x: x / F.col("total_w")).alias("m"))
+    centred = own.join(F.broadcast(mean), F.lit(True)).select(gid, "vec", F.zip_with("vec", "m", lambda x, y: x - y).alias("c"))
+    codec = LinearCodec.fit(centred, 3, "c")
+    codec.matrix = codec.matrix * np.sign(codec.matrix[np.abs(codec.matrix).argmax(0), np.arange(3)])
+    code = stored(codec.encode(own.select(gid, "vec")).select(gid, "code"), "pca-code")
+    median = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
+    mid = code.agg(*(median(f"code[{i}]").alias(f"m{i}") for i in range(3)))
+    off = stored(code.join(F.broadcast(mid), F.lit(True)).select(gid, "code", *(F.abs(F.col("code")[i] - F.col(f"m{i}")).alias(f"d{i}") for i in range(3))), "pca-off")
+    dev = off.agg(*(median(f"d{i}").alias(f"v{i}") for i in range(3)))
+    inside = [F.col(f"d{i}") / F.col(f"v{i}") < limit for i in range(3)]
+    edge = lambda f, i: f(F.when(inside[i], F.col("code")[i]))
+    span = off.join(F.broadcast(dev), F.lit(True)).agg(*(x for i in range(3) for x in (edge(F.min, i).alias(f"lo{i}"), edge(F.max, i).alias(f"hi{i}"))))
+    held = F.array(*[clip((F.col("code")[i] - F.col(f"lo{i}")) / (F.col(f"hi{i}") - F.col(f"lo{i}")), 0.0, 1.0) for i in range(3)])
+    return off.join(F.broadcast(span), F.lit(True)).select(gid, held.alias("rgb"))
+
+
+def depth_colours(rows: DataFrame, depth: str, near: float | None = None, far: float | None = None) -> DataFrame:
+    """Adds ``index``, the place in a colour table of 256: depth between the planes, by default
+    the least and greatest depth, held in [0, 1]."""
+    s = rows.agg(F.min(depth).alias("__n"), F.max(depth).alias("__f"))
+    low, high = (F.lit(near) if near else F.col("__n")), (F.lit(far) if far else F.col("__f"))
+    x = clip((F.col(depth) - low) / (high - low + 1e-10), 0.0, 1.0)
+    return rows.join(F.broadcast(s), F.lit(True)).withColumn("index", F.floor(x * 255).cast("int")).drop("__n", "__f")

@@ -199,3 +199,45 @@ def novelty(recon_cos: Column, noise: Column, ratio: float) -> Column:
 def counterfactual(gains: list[Column], least: float) -> Column:
     """Whether the least gain over the splits passes ``least``."""
     return (F.least(*gains) if len(gains) > 1 else gains[0]) > least
+
+
+def softmax_over(rows: DataFrame, by: list[str], columns: list[str], heat: float) -> DataFrame:
+    """Scores of a bank as distributions: softmax of heat x score over each ``by``."""
+    w = Window.partitionBy(*by)
+    out = rows
+    for c in columns:
+        out = out.withColumn(c, F.exp(heat * (F.col(c) - F.max(c).over(w))))
+    for c in columns:
+        out = out.withColumn(c, F.col(c) / F.sum(c).over(w))
+    return out
+
+
+def consistency(rows: DataFrame, pairs: list[tuple[str, str]], heat: float, gid: str = "gid") -> DataFrame:
+    """One row: for each pair of score columns of (gid, query_id, ..) the mean symmetric KL of
+    their distributions over the bank, and the share of points whose best phrase flips."""
+    names = sorted({c for p in pairs for c in p})
+    d = softmax_over(rows, [gid], names, heat)
+    best = {c: F.max(F.struct(c, (-F.col("query_id")).alias("i")))["i"].alias(f"best_{c}") for c in names}
+    apart = lambda a, b: F.sum((F.greatest(a, F.lit(1e-8)) - F.greatest(b, F.lit(1e-8))) * (F.log(F.greatest(a, F.lit(1e-8))) - F.log(F.greatest(b, F.lit(1e-8))))) / 2
+    per = d.groupBy(gid).agg(*best.values(), *(apart(a, b).alias(f"kl_{a}_{b}") for a, b in pairs))
+    return per.agg(*(F.avg(f"kl_{a}_{b}").alias(f"kl_{a}_{b}") for a, b in pairs), *(F.avg((F.col(f"best_{a}") != F.col(f"best_{b}")).cast("double")).alias(f"flips_{a}_{b}") for a, b in pairs), F.count("*").alias("n"))
+
+
+def rank_metrics(rows: DataFrame, cosines: DataFrame, heat: float, kl_weight: float, margin_weight: float, gid: str = "gid") -> DataFrame:
+    """One row (cosine, query_kl, margin_mae, top1, score, n): how well predictions (gid,
+    query_id, p) keep the ranking of targets t over a bank, beside (gid, cos)."""
+    z = rows.select(gid, "query_id", (F.col("p") * heat).alias("zp"), (F.col("t") * heat).alias("zt"), F.col("p").alias("p"), F.col("t").alias("t"))
+    d = softmax_over(z, [gid], ["p", "t"], heat)
+    order = lambda c: F.row_number().over(Window.partitionBy(gid).orderBy(F.col(c).desc(), "query_id"))
+    d = d.withColumn("rt", order("zt")).withColumn("rp", order("zp"))
+    gap = lambda c: F.max(F.when(F.col("rt") == 1, F.col(c))) - F.max(F.when(F.col("rt") == 2, F.col(c)))
+    per = d.groupBy(gid).agg(F.sum(F.col("t") * (F.log(F.greatest("t", F.lit(1e-300))) - F.log(F.greatest("p", F.lit(1e-300))))).alias("kl"), F.abs(gap("zp") - gap("zt")).alias("mae"), F.max(((F.col("rt") == 1) & (F.col("rp") == 1)).cast("double")).alias("top1"))
+    out = per.join(cosines, gid).agg(F.avg("cos").alias("cosine"), F.avg("kl").alias("query_kl"), F.avg("mae").alias("margin_mae"), F.avg("top1").alias("top1"), F.count("*").alias("n"))
+    return out.withColumn("score", (1 - F.col("cosine")) + kl_weight * F.col("query_kl") + margin_weight * F.col("margin_mae"))
+
+
+def top_code_groups(code_scores: DataFrame, group_codes: DataFrame, most: int) -> DataFrame:
+    """(query_id, group_id): groups whose code is among a query's ``most`` best; the lower code
+    of equals. code_scores: (query_id, code_id, score); group_codes: (group_id, code_id)."""
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "code_id"))
+    return code_scores.withColumn("r", r).where(F.col("r") <= most).join(group_codes, "code_id").select("query_id", "group_id")

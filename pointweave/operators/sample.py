@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pointweave.functions.vec import clip
 from pointweave.operators.order import first_n, numbered
+from pointweave.plans.storage import stored
 
 
 def shard(df: DataFrame, index: str, n: int, which: int) -> DataFrame:
@@ -54,3 +55,29 @@ def draw_views(p: DataFrame, draws: DataFrame) -> DataFrame:
     w = Window.partitionBy("group_id").orderBy("view_id").rowsBetween(Window.unboundedPreceding, 0)
     cdf = p.withColumn("hi", F.sum("p").over(w)).withColumn("lo", F.col("hi") - F.col("p"))
     return draws.join(cdf, "group_id").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "group_id", "view_id")
+
+
+def view_distributions(rows: DataFrame, heat: float = 1.0, even: float = 0.25, base_kl: float = 0.5, step_kl: float = 0.02) -> DataFrame:
+    """(group_id, view_id, base, p): sampling shares of a group's views. rows: (group_id,
+    view_id, share, score, last or null): a pixel share, its priority and the share that
+    was drawn from so far. Scores are standardised under the base, tilt it through an
+    exponent held in [-12, 12], are mixed with ``even`` of it, and move at most ``base_kl``
+    from the base and ``step_kl`` from the last."""
+    from pointweave.operators.track import share, within_kl
+
+    w = Window.partitionBy("group_id")
+    rows = rows.where("share > 0").withColumn("base", F.col("share") / F.sum("share").over(w))
+    mean = F.sum(F.col("base") * F.col("score")).over(w)
+    rows = rows.withColumn("m", mean)
+    spread = F.sqrt(F.sum(F.col("base") * (F.col("score") - F.col("m")) * (F.col("score") - F.col("m"))).over(w))
+    tilt = F.col("base") * F.exp(clip(heat * (F.col("score") - F.col("m")) / F.greatest(spread, F.lit(1e-6)), -12.0, 12.0))
+    rows = rows.withColumn("tilt", tilt).withColumn("wanted", (1 - even) * share("tilt", w) + even * F.col("base")).withColumn("old", F.coalesce("last", "base"))
+    rows = stored(rows.select("group_id", "view_id", "base", "old", "wanted"), "view-shares")
+    rows = stored(within_kl(rows, "group_id", "base", "wanted", base_kl).drop("wanted").withColumnRenamed("mixed", "wanted"), "view-shares")
+    return within_kl(rows, "group_id", "old", "wanted", step_kl).select("group_id", "view_id", "base", F.col("mixed").alias("p"))
+
+
+def observe_priority(scores: DataFrame, seen: DataFrame, decay: float) -> DataFrame:
+    """(group_id, view_id, score) after priorities (group_id, view_id, priority) were seen."""
+    rows = scores.join(seen, ["group_id", "view_id"], "left")
+    return rows.select("group_id", "view_id", F.when(F.col("priority").isNull(), F.col("score")).otherwise(decay * F.col("score") + (1 - decay) * F.col("priority")).alias("score"))

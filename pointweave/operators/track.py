@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -450,3 +450,36 @@ def mask_nms(pixels: DataFrame, scores: DataFrame, image: list[str], iou: float,
     rows = both.join(sa, [*image, "a"]).join(sb, [*image, "b"]).where((F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))))
     bad = rows.where((F.col("n") / (F.col("area_a") + F.col("area_b") - F.col("n")) > iou) | (F.col("n") / F.col("area_b") > inside)).select(*image, F.col("b").alias("mask")).distinct()
     return s.where(F.col("score") > least).join(bad, [*image, "mask"], "left_anti").select(*image, "mask", "score")
+
+
+def associations(contribs: DataFrame, semantic: DataFrame, most: int, fraction: float) -> DataFrame:
+    """(view_id, seg_id, gid, weight, rescued): what each segment of each view keeps of its points
+    by mass and by meaning (gid, seg_id, score; minus infinity is unknown)."""
+    mass = contribs.groupBy("view_id", "seg_id", "gid").agg(F.sum("weight").alias("weight"))
+    rows = mass.join(semantic, ["gid", "seg_id"], "left").withColumn("score", F.when(F.col("score") != float("-inf"), F.col("score")))
+    return geometry_semantic_union(rows, ["view_id", "seg_id"], most, fraction, "weight", "score").drop("score")
+
+
+def cached_associations(spark: SparkSession, path: str, build) -> DataFrame:
+    """Associations kept by view: those at ``path`` if they are there, else ``build()``, which is
+    written first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        build().write.mode("overwrite").partitionBy("view_id").parquet(path)
+    return spark.read.parquet(path)
+
+
+def foreground(contribs: DataFrame, segment_track: DataFrame) -> DataFrame:
+    """(gid, track, fg): mass of a point in the segments of a track; of selected pixels, if the
+    contributions are those of some pixels only."""
+    mass = contribs.groupBy("view_id", "seg_id", "gid").agg(F.sum("weight").alias("m"))
+    return mass.join(segment_track, ["view_id", "seg_id"]).groupBy("gid", "track").agg(F.sum("m").alias("fg"))
+
+
+def pack_foreground(rows: DataFrame, most: int, threshold: float, least_fg: float, excluded: DataFrame | None = None) -> DataFrame:
+    """:func:`pack_memberships` of (gid, track, score, fg) with at least ``least_fg`` foreground,
+    without excluded tracks."""
+    rows = rows.where(F.col("fg") >= least_fg)
+    if excluded is not None:
+        rows = rows.join(excluded.select("track").distinct(), "track", "left_anti")
+    return pack_memberships(rows, most, threshold)

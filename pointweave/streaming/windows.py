@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -46,3 +50,24 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "update") -> DataFra
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def last_node_stream(dominant: DataFrame, gid: str = "gid") -> DataFrame:
+    """(gid, a, b): the online form of last-node links. Each row (gid, view, node) of the stream
+    is linked with the node that the point had in its view before; a point's state is that
+    view and node alone. Views that come late, or again, link nothing and change nothing."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        view, node = state.get if state.exists else (None, None)
+        links = []
+        for v, n in sorted((int(v), int(n)) for f in frames for v, n in zip(f["view"], f["node"], strict=True)):
+            if view is not None and v <= view:
+                continue
+            if node is not None:
+                links.append((key[0], node, n))
+            view, node = v, n
+        if view is not None:
+            state.update((view, node))
+        yield pd.DataFrame(links, columns=[gid, "a", "b"])
+
+    return dominant.select(gid, "view", "node").groupBy(gid).applyInPandasWithState(run, f"{gid} bigint, a bigint, b bigint", "view bigint, node bigint", "append", GroupStateTimeout.NoTimeout)

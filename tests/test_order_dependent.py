@@ -1,5 +1,7 @@
 """Operators without SQL, against plain code."""
 
+import time
+
 import numpy as np
 
 from pointweave.operators import consensus as con
@@ -8,6 +10,7 @@ from pointweave.operators import fusion as fus
 from pointweave.operators import graph, order, sample
 from pointweave.operators import spatial as sp
 from pointweave.operators import track as trk
+from pointweave.streaming import windows as win
 
 
 def cloud(spark, n=80, seed=5):
@@ -264,3 +267,97 @@ def test_samples(spark):
     draws = spark.createDataFrame([(i, 0, i / 100) for i in range(100)], "draw int, group_id int, u double")
     got = sample.draw_views(p, draws).groupBy("view_id").count().collect()
     assert {r["view_id"]: r["count"] for r in got} == {0: 25, 1: 75}
+
+
+def test_view_distributions(spark):
+    rng = np.random.default_rng(9)
+    share, score = rng.random((3, 6)) + 0.05, rng.random((3, 6))
+    last = rng.dirichlet(np.ones(6), 3)
+    share[2, 4] = 0.0
+    rows = [(g, v, float(share[g, v]), float(score[g, v]), float(last[g, v]) if g == 1 else None) for g in range(3) for v in range(6)]
+    df = spark.createDataFrame(rows, "group_id int, view_id int, share double, score double, last double")
+    got = {(r["group_id"], r["view_id"]): r["p"] for r in sample.view_distributions(df, 2.0, 0.25, 0.2, 0.05).collect()}
+
+    def held(base, target, limit):
+        kl = lambda m: sum(x * np.log(x / b) for x, b in zip(m, base, strict=True) if x > 0)
+        if kl(target) <= limit:
+            return target
+        low, high = 0.0, 1.0
+        for _ in range(32):
+            mid = (low + high) / 2
+            low, high = (mid, high) if kl(base + mid * (target - base)) <= limit else (low, mid)
+        return base + low * (target - base)
+
+    for g in range(3):
+        on = share[g] > 0
+        base, s = share[g, on] / share[g, on].sum(), score[g, on]
+        m = (base * s).sum()
+        tilt = base * np.exp(np.clip(2.0 * (s - m) / max(np.sqrt((base * (s - m) ** 2).sum()), 1e-6), -12, 12))
+        want = held(base, 0.75 * tilt / tilt.sum() + 0.25 * base, 0.2)
+        want = held(last[g, on] if g == 1 else base, want, 0.05)
+        assert np.allclose([got[g, v] for v in np.flatnonzero(on)], want, atol=1e-7)
+    assert (2, 4) not in got
+    seen = spark.createDataFrame([(0, 1, 5.0)], "group_id int, view_id int, priority double")
+    after = {(r["group_id"], r["view_id"]): r["score"] for r in sample.observe_priority(df, seen, 0.9).collect()}
+    assert abs(after[0, 1] - (0.9 * score[0, 1] + 0.5)) < 1e-12 and after[1, 1] == score[1, 1]
+
+
+def test_superpoint_edges(spark):
+    rng = np.random.default_rng(7)
+    pos, rgb, size, v = rng.random((60, 3)) * 3, rng.random((60, 3)), rng.random(60), unit(rng.standard_normal((60, 4)))
+    df = spark.createDataFrame([(i, pos[i].tolist(), rgb[i].tolist(), float(size[i]), v[i].tolist()) for i in range(60)], "gid bigint, pos array<double>, rgb array<double>, log_scale double, vec array<double>")
+    near = sp.knn(df, df, 5, 3, 0.8)
+    got = {(r["a"], r["b"]) for r in sp.superpoint_edges(near, df, 0.9, 0.7, 0.5, -0.1).collect()}
+    d = np.sqrt(((pos[:, None] - pos[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    nn = np.argsort(d, 1)[:, :5]
+    r = np.take_along_axis(d, nn, 1)[:, -1]
+    want = set()
+    for i in range(60):
+        for j in nn[i]:
+            if d[i, j] <= 0.9 * min(r[i], r[j]) and np.linalg.norm(rgb[i] - rgb[j]) <= 0.7 and abs(size[i] - size[j]) <= 0.5 and v[i] @ v[j] >= -0.1:
+                want.add((min(i, j), max(i, j)))
+    assert got == want and len(want) > 10
+
+
+def test_pca_colours(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((101, 6)) * np.array([5, 3, 2, 0.3, 0.2, 0.1]) + 1
+    x[0] *= 40
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(101)], "gid int, vec array<double>")
+    got = {r["gid"]: r["rgb"] for r in ev.pca_colours(df).collect()}
+    _, _, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    v = v[:3].T * np.sign(v[:3].T[np.abs(v[:3].T).argmax(0), np.arange(3)])
+    code = x @ v
+    off = np.abs(code - np.sort(code, 0)[50])
+    inside = off / np.sort(off, 0)[50] < 3
+    lo, hi = (f(np.where(inside, code, w), axis=0) for f, w in ((np.min, np.inf), (np.max, -np.inf)))
+    want = np.clip((code - lo) / (hi - lo), 0, 1)
+    assert np.allclose([got[i] for i in range(101)], want, atol=1e-8)
+
+
+def test_associations_are_built_once(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(0, 1, 5, 2.0, False)], "view_id int, seg_id int, gid int, weight double, rescued boolean")
+
+    for _ in range(2):
+        assert trk.cached_associations(spark, f"file://{tmp_path}/a", build).count() == 1
+    assert len(calls) == 1
+
+
+def test_last_node_stream(spark, tmp_path):
+    rows = [(g, v, 100 * v + g % 3) for g in range(6) for v in range(4) if (g + v) % 4]
+    schema = "gid bigint, view bigint, node bigint"
+    for v in range(4):  # a file a view, read in order
+        spark.createDataFrame([r for r in rows if r[1] == v], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/s")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/s")
+    got = sorted(tuple(r) for r in win.run_to_memory(win.last_node_stream(stream), "links", "append").collect())
+    want = []
+    for g in range(6):
+        own = [n for i, _, n in sorted(rows) if i == g]
+        want += [(g, a, b) for a, b in zip(own, own[1:], strict=False)]
+    assert got == sorted(want)
