@@ -381,4 +381,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest columns of :func:`detect` over the documents."""
     found = detect(documents(spark, sf_dir))
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(as_text(F.col("spans"), True), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), n(4).alias("n_term"), F.sha2(F.coalesce("sanitised", F.lit("")), 256).alias("sanitised_sha256"))
+    return found.select("doc_id", *(n(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(as_text(F.col("spans"), True), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), n(4).alias("n_term"), F.size(F.filter("spans", lambda s: s["kind"] < 4)).cast("long").alias("n_base"), F.sha2(F.coalesce("sanitised", F.lit("")), 256).alias("sanitised_sha256"))
