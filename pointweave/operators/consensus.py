@@ -186,3 +186,8 @@ def contrastive_loss(scores: DataFrame, by: list[str], score: str, own: str, hea
     """(by, loss): cross-entropy of the own candidate among all, by softmax of score / heat."""
     rows = scores.withColumn("__z", F.col(score) / heat).withColumn("__m", F.max(F.col(score) / heat).over(Window.partitionBy(*by)))
     return rows.groupBy(*by).agg((F.log(F.sum(F.exp(F.col("__z") - F.col("__m")))) + F.max("__m") - F.max(F.when(F.col(own), F.col("__z")))).alias("loss"))
+
+
+def view_offsets(codes: DataFrame, basis: DataFrame) -> DataFrame:
+    """(view_id, s): low-rank vectors of views, codes (view_id, k, c) over a basis (k, vec)."""
+    return vector_sum(codes.join(F.broadcast(basis), "k"), ["view_id"], "vec", "c").select("view_id", "s")

@@ -221,3 +221,21 @@ def depth_colours(rows: DataFrame, depth: str, near: float | None = None, far: f
     low, high = (F.lit(near) if near else F.col("__n")), (F.lit(far) if far else F.col("__f"))
     x = clip((F.col(depth) - low) / (high - low + 1e-10), 0.0, 1.0)
     return rows.join(F.broadcast(s), F.lit(True)).withColumn("index", F.floor(x * 255).cast("int")).drop("__n", "__f")
+
+
+def mask_tiles(pixels: DataFrame, image: list[str], value: str) -> DataFrame:
+    """(image, mask, side, tx, ty, value): the pixels of each mask, cut to its box and put in the
+    middle of a square of the box's longer side; pixels that have no row are black."""
+    w = Window.partitionBy(*image, "mask")
+    box = {f"{a}{n}": f(f"p{a}").over(w) for a in "xy" for n, f in ((0, F.min), (1, F.max))}
+    rows = pixels.withColumns(box).withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
+    side = F.greatest("w", "h")
+    pad = lambda n: F.floor((side - F.col(n)) / 2)
+    return rows.select(*image, "mask", side.alias("side"), (F.col("px") - F.col("x0") + pad("w")).cast("long").alias("tx"), (F.col("py") - F.col("y0") + pad("h")).cast("long").alias("ty"), value)
+
+
+def working_size(width: Column, height: Column, resolution: int = -1, most: int = 1080) -> tuple[Column, Column]:
+    """Width and height at which an image is read: to the asked width, or by default not over
+    ``most`` rows."""
+    down = F.greatest(height / most, F.lit(1.0)) if resolution == -1 else width / resolution
+    return F.floor(width / down).cast("int"), F.floor(height / down).cast("int")

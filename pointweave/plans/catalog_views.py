@@ -172,3 +172,28 @@ def box_places(t: Inputs) -> DataFrame:
     p = t("SELECT p_partkey AS k, p_size AS a, p_size % 7 AS b, p_size + 30 - p_size % 5 AS c, p_size % 7 + 12 AS d FROM {part}")
     box = geo.to_width_height(geo.uncrop([F.col(x) for x in "abcd"], [F.lit(x) for x in (100, 50, 400, 300)]))
     return p.select("k", *(c.alias(n) for n, c in zip("xywh", box, strict=True)))
+
+
+_TILES = "SELECT p_size % 5 AS mask, p_partkey // 40 AS px, p_partkey % 40 AS py, max(p_size) AS value FROM {part} WHERE p_partkey % 7 <> 0 GROUP BY 1, 2, 3"
+
+
+@query(f"WITH m AS ({_TILES}), b AS (SELECT mask, min(px) AS x0, max(px) - min(px) + 1 AS w, min(py) AS y0, max(py) - min(py) + 1 AS h FROM m GROUP BY 1) SELECT mask, greatest(w, h) AS side, px - x0 + (greatest(w, h) - w) // 2 AS tx, py - y0 + (greatest(w, h) - h) // 2 AS ty, value FROM m JOIN b USING (mask)")
+def mask_tiles(t: Inputs) -> DataFrame:
+    """Masks cut out and padded to squares"""
+    p = t(_TILES.replace("//", "div")).withColumn("image", F.lit(0))
+    return ev.mask_tiles(p, ["image"], "value").select("mask", "side", "tx", "ty", "value")
+
+
+@query("SELECT p_partkey AS k, floor((600 + p_size * 40) / greatest((400 + p_size * 30) / 1080.0::DOUBLE, 1))::INT AS w, floor((400 + p_size * 30) / greatest((400 + p_size * 30) / 1080.0::DOUBLE, 1))::INT AS h FROM {part}")
+def working_sizes(t: Inputs) -> DataFrame:
+    """The size at which images are read"""
+    w, h = ev.working_size((600 + F.col("p_size") * 40).cast("double"), (400 + F.col("p_size") * 30).cast("double"))
+    return t("SELECT p_partkey AS k, p_size FROM {part}").select("k", w.alias("w"), h.alias("h"))
+
+
+@query(f"WITH c AS (SELECT l_linenumber AS view_id, l_suppkey % 4 AS k, avg(l_discount) AS c FROM {{lineitem}} GROUP BY ALL), b AS (SELECT vec_id AS k, embedding AS vec FROM {{embeddings}} WHERE vec_id < 4), x AS ({q.vsum('(SELECT view_id, c, vec FROM c JOIN b USING (k))', 'view_id', 'c')}) SELECT view_id, round(s[1], 7) AS first, round(s[64], 7) AS last FROM x")
+def view_offsets(t: Inputs) -> DataFrame:
+    """Low-rank vectors of views"""
+    codes = t("SELECT l_linenumber AS view_id, l_suppkey % 4 AS k, avg(l_discount) AS c FROM {lineitem} GROUP BY 1, 2")
+    basis = t("SELECT vec_id AS k, embedding AS vec FROM {embeddings} WHERE vec_id < 4")
+    return con.view_offsets(codes, basis).select("view_id", F.round(F.col("s")[0], 7).alias("first"), F.round(F.col("s")[63], 7).alias("last"))

@@ -51,3 +51,17 @@ def at_time(dynamic: DataFrame, t: int) -> DataFrame:
 
 def to_json(params: dict) -> str:
     return json.dumps(params, sort_keys=True)
+
+
+def save_metrics(grid: DataFrame, root: str, scene: str, method: str) -> str:
+    """Writes an evaluation's (threshold, miou, ..) as the document that the metrics scan reads,
+    and returns its path. A grid is as long as its list of thresholds."""
+    spark = grid.sparkSession
+    rows = grid.orderBy("threshold").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("threshold", *(c for c in grid.columns if c != "threshold")))).alias("threshold_summary"))).alias("d")).first()["d"]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{scene}/{method}/metrics.json")
+    out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
+    try:
+        out.write(bytearray(rows.encode()))
+    finally:
+        out.close()
+    return path.toString()

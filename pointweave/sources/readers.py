@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointweave.functions.geometry import rotation
+from pointweave.operators.order import numbered
 from pointweave.operators.sample import every_nth
 
 #: Camera models by number, with their parameter counts.
@@ -245,8 +247,9 @@ def missing_inputs(expected: DataFrame, spark: SparkSession, path: str) -> DataF
     return expected.join(found, F.expr("endswith(file, concat('/', name))"), "left_anti")
 
 
-def open_scene(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The views of a scene by kind: colmap, transforms or scannet."""
+def open_scene(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """The views of a scene by kind: colmap, transforms or scannet; by its folder if not given."""
+    kind = kind or scene_kind(spark, path)
     if kind == "colmap":
         return cameras(colmap_images(spark, f"{path}/sparse/0/images.bin"), colmap_cameras(spark, f"{path}/sparse/0/cameras.bin"))
     if kind == "transforms":
@@ -254,3 +257,44 @@ def open_scene(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "scannet":
         return scannet_poses(spark, f"{path}/pose/*.txt")
     raise ValueError(f"no such scene kind: {kind}")
+
+
+def resolve_images(frames: DataFrame, present: DataFrame) -> DataFrame:
+    """Frames with ``image``: the file among ``present`` (name) that a frame's name means: itself,
+    with .png where it has no extension, or with .jpg and .png the other way round; null if
+    there is none."""
+    named = F.when(F.col("name").rlike(r"\.[^./]+$"), F.col("name")).otherwise(F.concat("name", F.lit(".png")))
+    other = F.when(F.lower(named).endswith(".png"), F.regexp_replace(named, r"(?i)\.png$", ".jpg")).when(F.lower(named).endswith(".jpg"), F.regexp_replace(named, r"(?i)\.jpg$", ".png"))
+    files = present.select(F.col("name").alias("__file")).distinct()
+    rows = frames.withColumn("__a", named).withColumn("__b", other)
+    first = rows.join(files, F.col("__a") == F.col("__file"), "left").withColumn("image", F.col("__file")).drop("__file")
+    both = first.join(files, F.col("image").isNull() & (F.col("__b") == F.col("__file")), "left")
+    return both.withColumn("image", F.coalesce("image", "__file")).drop("__a", "__b", "__file")
+
+
+def over_background(rgba: Column, white: bool) -> Column:
+    """Colours of (r, g, b, a) in [0, 1] over white or black."""
+    return F.transform(F.slice(rgba, 1, 3), lambda x: x * rgba[3] + (1.0 if white else 0.0) * (1 - rgba[3]))
+
+
+def scene_kind(spark: SparkSession, path: str) -> str:
+    """colmap, transforms or scannet, by what lies in the folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    has = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+    for name, kind in (("sparse", "colmap"), ("transforms_train.json", "transforms"), ("pose", "scannet")):
+        if has(name):
+            return kind
+    raise ValueError(f"{path} is no scene of a known kind")
+
+
+def camera_documents(views: DataFrame) -> DataFrame:
+    """(id, document): what cameras.json says of views (name, quat, t, fovx, fovy, width, height):
+    place and rotation in the world, and focal lengths; ids in order of the name."""
+    r = rotation(F.col("quat"))
+    # the world-to-camera rotation's transpose, and the centre -R't
+    turned = [[r[3 * j + i] for j in range(3)] for i in range(3)]
+    place = [-sum((turned[i][j] * F.col("t")[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+    focal = lambda side, fov: F.col(side) / (2 * F.tan(F.col(fov) / 2))
+    entry = F.struct(F.col("place").alias("id"), F.col("name").alias("img_name"), "width", "height", F.array(*place).alias("position"), F.array(*[F.array(*row) for row in turned]).alias("rotation"), focal("height", "fovy").alias("fy"), focal("width", "fovx").alias("fx"))
+    return numbered(views, [F.col("name")]).select(F.col("place").alias("id"), F.to_json(entry).alias("document"))

@@ -1,10 +1,13 @@
 """Checkpoint tables: what they refuse, and round trips."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pointweave.operators import fit
+from pointweave.sources import artifacts as art
 from pointweave.sources import checkpoints as ck
 from pointweave.sources import readers as rd
 
@@ -92,3 +95,42 @@ def test_growth_and_pruning(spark):
     assert (r["gradient"], r["seen"]) == (9.0, 3)
     lone = fit.initialise(spark.createDataFrame([(1, [0.0, 0.0, 0.0], [0.5, 0.5, 0.5])], "gid bigint, xyz array<double>, rgb array<double>"), 1.0).first()
     assert abs(lone["scaling"][0] - np.log(np.sqrt(1e-7))) < 1e-9 and lone["features_dc"] == [0.0] * 3
+
+
+def test_images_of_frames(spark):
+    frames = spark.createDataFrame([("a/1",), ("a/2.jpg",), ("a/3.png",), ("a/4",), ("b.c/5",)], "name string")
+    present = spark.createDataFrame([("a/1.png",), ("a/2.png",), ("a/3.jpg",), ("b.c/5.jpg",)], "name string")
+    got = {r["name"]: r["image"] for r in rd.resolve_images(frames, present).collect()}
+    assert got == {"a/1": "a/1.png", "a/2.jpg": "a/2.png", "a/3.png": "a/3.jpg", "a/4": None, "b.c/5": "b.c/5.jpg"}
+    px = spark.createDataFrame([([0.2, 0.4, 0.6, 0.5],)], "c array<double>")
+    r = px.select(rd.over_background(F.col("c"), True).alias("w"), rd.over_background(F.col("c"), False).alias("b")).first()
+    assert np.allclose(r["w"], [0.6, 0.7, 0.8]) and np.allclose(r["b"], [0.1, 0.2, 0.3])
+
+
+def test_scene_kind_and_cameras(spark, tmp_path):
+    for folder, kind in (("sparse", "colmap"), ("pose", "scannet")):
+        (tmp_path / kind / folder).mkdir(parents=True)
+        assert rd.scene_kind(spark, f"file://{tmp_path}/{kind}") == kind
+    (tmp_path / "t").mkdir()
+    with pytest.raises(ValueError, match="no scene"):
+        rd.scene_kind(spark, f"file://{tmp_path}/t")
+    (tmp_path / "t" / "transforms_train.json").write_text(json.dumps({"camera_angle_x": 0.7, "camera_angle_y": 0.5, "frames": [{"file_path": "a", "transform_matrix": np.eye(4).tolist()}]}))
+    assert rd.open_scene(spark, f"file://{tmp_path}/t").first()["fovx"] == 0.7
+
+    half = np.sqrt(0.5)  # a quarter turn about z
+    views = spark.createDataFrame([("b.jpg", [half, 0.0, 0.0, half], [1.0, 2.0, 3.0], 2 * np.arctan(0.5), 2 * np.arctan(0.25), 640, 480), ("a.jpg", [1.0, 0.0, 0.0, 0.0], [1.0, 2.0, 3.0], 1.0, 1.0, 64, 48)], "name string, quat array<double>, t array<double>, fovx double, fovy double, width int, height int")
+    docs = [json.loads(r["document"]) for r in rd.camera_documents(views).orderBy("id").collect()]
+    assert [(d["id"], d["img_name"]) for d in docs] == [(0, "a.jpg"), (1, "b.jpg")]
+    w2c = np.eye(4)
+    w2c[:3, :3], w2c[:3, 3] = [[0, -1, 0], [1, 0, 0], [0, 0, 1]], [1, 2, 3]
+    c2w = np.linalg.inv(w2c)
+    assert np.allclose(docs[1]["position"], c2w[:3, 3]) and np.allclose(docs[1]["rotation"], c2w[:3, :3])
+    assert abs(docs[1]["fx"] - 640) < 1e-9 and abs(docs[1]["fy"] - 960) < 1e-9
+
+
+def test_metrics_round_trip(spark, tmp_path):
+    grid = spark.createDataFrame([(0.2, 0.5, 3), (0.1, 0.4, 3)], "threshold double, miou double, n int")
+    path = art.save_metrics(grid, f"file://{tmp_path}", "ramen", "base")
+    assert path.endswith("ramen/base/metrics.json")
+    got = sorted(tuple(r) for r in rd.metrics(spark, f"file://{tmp_path}").select("scene", "method", "threshold", "miou").collect())
+    assert got == [("ramen", "base", 0.1, 0.4), ("ramen", "base", 0.2, 0.5)]
