@@ -117,8 +117,8 @@ def test_scene_kind_and_cameras(spark, tmp_path):
     (tmp_path / "t" / "transforms_train.json").write_text(json.dumps({"camera_angle_x": 0.7, "camera_angle_y": 0.5, "frames": [{"file_path": "a", "transform_matrix": np.eye(4).tolist()}]}))
     assert rd.open_scene(spark, f"file://{tmp_path}/t").first()["fovx"] == 0.7
 
-    half = np.sqrt(0.5)  # a quarter turn about z
-    views = spark.createDataFrame([("b.jpg", [half, 0.0, 0.0, half], [1.0, 2.0, 3.0], 2 * np.arctan(0.5), 2 * np.arctan(0.25), 640, 480), ("a.jpg", [1.0, 0.0, 0.0, 0.0], [1.0, 2.0, 3.0], 1.0, 1.0, 64, 48)], "name string, quat array<double>, t array<double>, fovx double, fovy double, width int, height int")
+    half = float(np.sqrt(0.5))  # a quarter turn about z
+    views = spark.createDataFrame([("b.jpg", [half, 0.0, 0.0, half], [1.0, 2.0, 3.0], float(2 * np.arctan(0.5)), float(2 * np.arctan(0.25)), 640, 480), ("a.jpg", [1.0, 0.0, 0.0, 0.0], [1.0, 2.0, 3.0], 1.0, 1.0, 64, 48)], "name string, quat array<double>, t array<double>, fovx double, fovy double, width int, height int")
     docs = [json.loads(r["document"]) for r in rd.camera_documents(views).orderBy("id").collect()]
     assert [(d["id"], d["img_name"]) for d in docs] == [(0, "a.jpg"), (1, "b.jpg")]
     w2c = np.eye(4)
