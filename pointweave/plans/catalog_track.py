@@ -176,19 +176,27 @@ def nearest_fill(t: Inputs) -> DataFrame:
     return near.select("gid", F.round("d2", 6).alias("d2"))
 
 
-@query()
+#: Whole positions, whose distances tie exactly, with vectors.
+_WHOLE = f"SELECT p_partkey AS gid, CAST(p_partkey * 37 % 101 AS DOUBLE) AS x, CAST(p_partkey * 53 % 97 AS DOUBLE) AS y, CAST(p_partkey * 71 % 89 AS DOUBLE) AS z, vec, label < 4 AS hit FROM {{part}} JOIN ({POINTS}) e0 ON gid = p_partkey"
+_COS = "list_dot_product({a}, {b}) / greatest(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 1e-8)"
+
+
+def _whole(t: Inputs) -> DataFrame:
+    return t(_WHOLE).select("gid", F.array("x", "y", "z").alias("pos"), "vec", "hit")
+
+
+@query(f"WITH p AS (SELECT gid, x, y, z, vec{_D} AS v FROM ({_WHOLE}) w0), d AS (SELECT a.gid, b.gid AS source, sqrt({_DIST2}) AS d, b.v FROM p a JOIN p b ON a.gid % 3 = 0 AND b.gid % 3 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY d, source) AS r FROM d QUALIFY r <= 2), o AS (SELECT gid, max(source) FILTER (r = 1) AS s1, max(source) FILTER (r = 2) AS s2, max(d) FILTER (r = 1) AS d1, max(d) FILTER (r = 2) AS d2, any_value(v) FILTER (r = 1) AS v1, any_value(v) FILTER (r = 2) AS v2 FROM k GROUP BY 1), h AS (SELECT *, CASE WHEN s2 IS NOT NULL AND {_COS.format(a='v1', b='v2')} >= 0 AND d2 <= 3 * greatest(d1, 1e-8) THEN round_even(255 * d2 / greatest(d1 + d2, 1e-8), 0)::INT ELSE 255 END AS share FROM o) SELECT gid, s1 AS source, share AS weight FROM h WHERE share > 0 UNION ALL SELECT gid, s2, 255 - share FROM h WHERE share < 255")
 def two_source_fill(t: Inputs) -> DataFrame:
-    """Held against brute force in the tests"""
-    p = _pos(t).join(t(POINTS).select(F.col("gid"), "vec"), "gid")
-    return sp.two_source_fill(p.where("gid % 3 = 0"), p.where("gid % 3 <> 0"), 3, 1.5, least_cos=0.0, most_ratio=3.0).groupBy("gid").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    """J15, P9"""
+    p = _whole(t)
+    return sp.two_source_fill(p.where("gid % 3 = 0"), p.where("gid % 3 <> 0"), 3, 15.0, least_cos=0.0, most_ratio=3.0)
 
 
-@query()
+@query(f"WITH p AS (SELECT gid, x, y, z, hit, vec{_D} AS v FROM ({_WHOLE}) w0), d AS (SELECT a.gid, b.gid AS neighbour, {_DIST2} AS d2, {_COS.format(a='a.v', b='b.v')} AS cos, b.hit FROM p a JOIN p b ON a.gid <> b.gid), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY gid ORDER BY d2, neighbour) <= 8), w AS (SELECT gid, exp(-d2 / greatest(max(d2) OVER (PARTITION BY gid), 1e-12)) * (cos >= 0)::INT AS k, hit::INT AS h FROM k) SELECT gid, round(sum(k * h) / greatest(sum(k), 1e-12), 6) AS support, count(*) FILTER (k > 0) AS n FROM w GROUP BY 1")
 def neighbour_support(t: Inputs) -> DataFrame:
-    """Held against brute force in the tests"""
-    p = _pos(t).join(t(POINTS).select("gid", "vec", "label"), "gid").withColumn("hit", F.col("label") < 4)
-    near = sp.knn(p, p, 8, 3, 1.5)
-    return sp.neighbour_support(near, p, "hit", 0.0).select("gid", F.round("support", 6).alias("support"), "n")
+    """J16"""
+    p = _whole(t)
+    return sp.neighbour_support(sp.knn(p, p, 8, 3, 15.0), p, "hit", 0.0).select("gid", F.round("support", 6).alias("support"), "n")
 
 
 _EDGES = "SELECT DISTINCT l_partkey AS a, (l_partkey + l_suppkey * 13) % 2000 + 1 AS b FROM {lineitem} WHERE l_quantity > 49 AND l_discount > 0.08"
