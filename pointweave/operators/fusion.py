@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from pointweave.functions.vec import add, clip, cosine, directional_weight, disagreement, dot, half_even_u8, l2_normalize, norm, scale, sigmoid
 from pointweave.operators.codebook import reconstruct
-from pointweave.operators.consensus import fusion_gate, split_reliability, top_fraction, vector_sum, weighted_sums
+from pointweave.operators.consensus import fusion_gate, geometric_median, split_reliability, top_fraction, vector_sum, weighted_sums
+from pointweave.plans.storage import stored
 
 SIDES = ("feature", "total_w", "sa", "sb", "wa", "wb")
 
@@ -54,8 +55,6 @@ def shard_merge(shards: DataFrame, gid: str = "gid") -> DataFrame:
 def robust_shard_merge(shards: DataFrame, power: float = 0.5, rounds: int = 8, gid: str = "gid") -> DataFrame:
     """:func:`shard_merge` with the feature at the geometric median of the shards' features,
     weighing evidence to the ``power``; dispersion is about that."""
-    from pointweave.operators.consensus import geometric_median
-
     rows = shards.withColumn("e", F.col("total_w") * F.greatest("mean_norm", F.lit(0.0)))
     median = geometric_median(rows.withColumn("__w", F.pow("e", F.lit(power))), [gid], "feature", "__w", rounds).withColumnRenamed("median", "__m")
     apart = F.when(F.col("e") > 0, 1 - clip(dot("feature", "__m"), -1.0, 1.0)).otherwise(0.0)
@@ -126,6 +125,7 @@ def capacity_fusion(base: DataFrame, aux: DataFrame, fine: DataFrame, variant: s
         return rows.select(gid, l2_normalize("mix").alias("feature"), "gate", F.lit(False).alias("fine"), F.lit(2).alias("capacity"))
     rows = rows.withColumn("dis", F.coalesce(disagreement("f_feature", "a_feature"), F.lit(0.0))).withColumn("log", F.log1p(F.coalesce("f_total_w", F.lit(0.0))))
     rows = rows.withColumn("eligible", F.col("f_valid") & F.col("f_has") & F.col("a_valid") & (F.col("f_rel") >= least_rel) & (F.col("dis") >= least_dis))
+    rows = stored(rows.select(gid, "mix", "gate", "f_feature", "f_rel", "a_rel", "dis", "log", "eligible"), "capacity")
     centre = rows.where("eligible").agg(F.expr("percentile_disc(0.5) within group (order by log)").alias("m")).first()["m"] or 0.0
     factors = {"margin": sigmoid((F.col("f_rel") - F.col("a_rel")) / heat), "rarity": sigmoid(F.lit(centre) - F.col("log"))}
     score = F.col("f_rel") * F.col("dis")
@@ -207,8 +207,6 @@ def teach_groups_robustly(points: DataFrame, memberships: DataFrame, confidence:
     ``floor`` times the root of its weight over the 90th percentile; in each round a
     membership weighs score^power x reliability x cosine^agree_power with the group's
     current feature; a group without weight keeps its feature."""
-    from pointweave.plans.storage import stored
-
     # the quantile is over the taught points
     taught = confidence.join(points.select(gid), gid, "left_semi")
     scale_ = taught.agg(F.percentile("weight", 0.9).alias("q")).first()["q"] or 1.0
@@ -291,10 +289,11 @@ def hybrid_alpha(rows: DataFrame, by: list[str], least: float, most: float, agre
 
 def adaptive_coarse_share(fine: DataFrame, by: list[str], value: str, least: float, most: float, k: int) -> DataFrame:
     """(by, share): the coarse share, lower where the k best fine scores are spread."""
-    w = Window.partitionBy(*by)
-    span = F.greatest(F.max(value).over(w) - F.min(value).over(w), F.lit(1e-9))
-    rows = fine.withColumn("__x", (F.col(value) - F.min(value).over(w)) / span).withColumn("__r", F.row_number().over(w.orderBy(F.col(value).desc())))
-    top = rows.where(F.col("__r") <= max(2, k)).groupBy(*by).agg(clip(F.max("__x") - F.min("__x"), 0.0, 1.0).alias("s"))
+    # of a query's scores each task hands on k at most
+    best = fine.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc()))).where(F.col("__r") <= max(2, k))
+    ends = fine.groupBy(*by).agg((F.max(value) - F.min(value)).alias("__span"))
+    top = best.groupBy(*by).agg((F.max(value) - F.min(value)).alias("__gap")).join(ends, by)
+    top = top.withColumn("s", clip(F.col("__gap") / F.greatest("__span", F.lit(1e-9)), 0.0, 1.0))
     return top.select(*by, clip(least + (most - least) * (1 - F.col("s")), 0.0, most).alias("share"))
 
 

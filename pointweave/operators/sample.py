@@ -63,15 +63,14 @@ def view_distributions(rows: DataFrame, heat: float = 1.0, even: float = 0.25, b
     was drawn from so far. Scores are standardised under the base, tilt it through an
     exponent held in [-12, 12], are mixed with ``even`` of it, and move at most ``base_kl``
     from the base and ``step_kl`` from the last."""
-    from pointweave.operators.track import share, within_kl
-
-    w = Window.partitionBy("group_id")
-    rows = rows.where("share > 0").withColumn("base", F.col("share") / F.sum("share").over(w))
-    mean = F.sum(F.col("base") * F.col("score")).over(w)
-    rows = rows.withColumn("m", mean)
-    spread = F.sqrt(F.sum(F.col("base") * (F.col("score") - F.col("m")) * (F.col("score") - F.col("m"))).over(w))
-    tilt = F.col("base") * F.exp(clip(heat * (F.col("score") - F.col("m")) / F.greatest(spread, F.lit(1e-6)), -12.0, 12.0))
-    rows = rows.withColumn("tilt", tilt).withColumn("wanted", (1 - even) * share("tilt", w) + even * F.col("base")).withColumn("old", F.coalesce("last", "base"))
+    from pointweave.operators.track import with_share, with_totals, within_kl
+
+    key = "group_id"
+    rows = stored(with_share(rows.where("share > 0"), key, F.col("share"), "base"), "view-base")
+    rows = stored(with_totals(rows, key, m=F.sum(F.col("base") * F.col("score"))), "view-mean")
+    rows = stored(with_totals(rows, key, v=F.sum(F.col("base") * (F.col("score") - F.col("m")) * (F.col("score") - F.col("m")))), "view-spread")
+    tilt = F.col("base") * F.exp(clip(heat * (F.col("score") - F.col("m")) / F.greatest(F.sqrt("v"), F.lit(1e-6)), -12.0, 12.0))
+    rows = with_share(rows, key, tilt, "tilted").withColumn("wanted", (1 - even) * F.col("tilted") + even * F.col("base")).withColumn("old", F.coalesce("last", "base"))
     rows = stored(rows.select("group_id", "view_id", "base", "old", "wanted"), "view-shares")
     rows = stored(within_kl(rows, "group_id", "base", "wanted", base_kl).drop("wanted").withColumnRenamed("mixed", "wanted"), "view-shares")
     return within_kl(rows, "group_id", "old", "wanted", step_kl).select("group_id", "view_id", "base", F.col("mixed").alias("p"))

@@ -100,11 +100,11 @@ def rofa_filter(rows: DataFrame, track: str, node: str, vec: str, tau: float) ->
     does. The mean of the others comes from the track's vector sum."""
     total = vector_sum(rows, [track], vec).select(track, F.col("s").alias("__s"), F.col("total_w").alias("__n"))
     loo = F.when(F.col("__n") > 1, (dot(vec, "__s") - dot(vec, vec)) / (F.col("__n") - 1)).otherwise(1.0)
-    scored = rows.join(total, track).withColumn("loo", loo)
-    w = Window.partitionBy(track)
-    first = F.row_number().over(w.orderBy(F.col("loo").desc(), node)) == 1
-    keep = (F.col("__n") == 1) | (F.col("loo") >= F.avg("loo").over(w) - tau * F.stddev_pop("loo").over(w) - 1e-12) | first
-    return scored.withColumn("keep", keep).drop("__s", "__n")
+    scored = stored(rows.join(total, track).withColumn("loo", loo).drop("__s"), "rofa")
+    best = F.min(F.struct((-F.col("loo")).alias("l"), F.col(node).alias("n")))["n"]
+    scored = with_totals(scored, track, __mean=F.avg("loo"), __dev=F.stddev_pop("loo"), __best=best)
+    keep = (F.col("__n") == 1) | (F.col("loo") >= F.col("__mean") - tau * F.col("__dev") - 1e-12) | (F.col(node) == F.col("__best"))
+    return scored.withColumn("keep", keep).drop("__n", "__mean", "__dev", "__best")
 
 
 def track_statistics(nodes: DataFrame, track: str = "track", view: str = "view_id", weight: str = "w") -> DataFrame:
@@ -152,6 +152,18 @@ def windowed_links(signatures: DataFrame, vectors: DataFrame, window: int, least
     return scored.withColumn("ra", F.row_number().over(best_a)).withColumn("rb", F.row_number().over(best_b)).where("ra = 1 and rb = 1").select("a", "b", "score")
 
 
+def with_totals(rows: DataFrame, key: str, **sums: Column) -> DataFrame:
+    """Adds aggregates over each key by a join, which, unlike a window, brings no key's rows
+    together in one task. ``rows`` is read twice."""
+    return rows.join(rows.groupBy(key).agg(*(c.alias(n) for n, c in sums.items())), key)
+
+
+def with_share(rows: DataFrame, key: str, column: Column, name: str) -> DataFrame:
+    """Adds a column as a share of its sum over the key; even shares if that is 0."""
+    out = with_totals(rows.withColumn("__x", column), key, __t=F.sum("__x"), __n=F.count("*"))
+    return out.withColumn(name, F.when(F.col("__t") > 0, F.col("__x") / F.col("__t")).otherwise(1.0 / F.col("__n"))).drop("__x", "__t", "__n")
+
+
 def node_importance(nodes: DataFrame, mode: str = "information_kl", heat: float = 1.0, most_kl: float = 0.1, ratio: float = 5.0, agree_power: float = 1.0, information: float = 1.0) -> DataFrame:
     """(track, node, importance): shares of a track's nodes that sum to 1.
 
@@ -161,15 +173,12 @@ def node_importance(nodes: DataFrame, mode: str = "information_kl", heat: float
     the track's largest) and by agreement with the track's direction; the tilt stays within
     ``most_kl`` of the support shares, and no share grows by more than ``ratio``. All sums
     are aggregates over the nodes, so a large track is no single task."""
-    w = Window.partitionBy("track")
-    if mode == "uniform":
-        return nodes.select("track", "node", (F.lit(1.0) / F.count("*").over(w)).alias("importance"))
-    mass = F.sum(F.greatest("support", F.lit(0.0))).over(w)
-    rows = nodes.withColumn("base", F.when(mass > 0, F.greatest("support", F.lit(0.0)) / mass).otherwise(F.lit(1.0) / F.count("*").over(w)))
-    if mode == "support":
-        return rows.select("track", "node", F.col("base").alias("importance"))
-    if mode != "information_kl":
+    if mode not in ("uniform", "support", "information_kl"):
         raise ValueError(f"no such weighting: {mode}")
+    own = F.lit(1.0) if mode == "uniform" else F.greatest("support", F.lit(0.0))
+    rows = with_share(nodes, "track", own, "base")
+    if mode != "information_kl":
+        return rows.select("track", "node", F.col("base").alias("importance"))
     rows = stored(rows, "importance-base")
     square = F.transform("vec", lambda x: x.cast("double") * x.cast("double"))
     centre = vector_sum(rows, ["track"], "vec", "base").select("track", l2_normalize("s").alias("centre"))
@@ -177,21 +186,16 @@ def node_importance(nodes: DataFrame, mode: str = "information_kl", heat: float
     rows = rows.join(centre, "track").join(known, "track")
     terms = F.zip_with("known", square, lambda k, s: F.struct(k.alias("k"), s.alias("s")))
     logs = once(F.struct(terms.alias("t"), F.col("support").alias("u")), lambda p: F.transform(p["t"], lambda e: F.log(e["k"] / F.greatest(e["k"] - p["u"] * e["s"], F.lit(1e-4)))))
-    rows = rows.withColumn("gain", F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size("vec"))
-    rows = rows.withColumn("gain", F.col("gain") / F.greatest(F.max("gain").over(w), F.lit(1e-8)))
     agree = F.pow(clip(dot("vec", "centre"), 0.0, 1.0), F.lit(agree_power))
-    rows = rows.withColumn("logit", clip((information * F.col("gain") + F.log(F.greatest(agree, F.lit(1e-4)))) / heat, -30.0, 30.0))
-    rows = rows.withColumn("tilt", F.col("base") * F.exp(F.col("logit") - F.max("logit").over(w)))
-    rows = stored(rows.select("track", "node", "base", share("tilt", w).alias("target")), "importance-target")
-    rows = within_kl(rows, "track", "base", "target", most_kl)
+    gain = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size("vec")
+    rows = stored(rows.select("track", "node", "base", gain.alias("gain"), F.log(F.greatest(agree, F.lit(1e-4))).alias("agree")), "importance-gain")
+    rows = with_totals(rows, "track", most=F.max("gain"))
+    rows = rows.withColumn("logit", clip((information * F.col("gain") / F.greatest("most", F.lit(1e-8)) + F.col("agree")) / heat, -30.0, 30.0))
+    rows = with_totals(stored(rows.select("track", "node", "base", "logit"), "importance-logit"), "track", top=F.max("logit"))
+    rows = with_share(rows, "track", F.col("base") * F.exp(F.col("logit") - F.col("top")), "target")
+    rows = stored(within_kl(stored(rows.select("track", "node", "base", "target"), "importance-target"), "track", "base", "target", most_kl), "importance-mixed")
     held = F.col("base") * F.least(F.col("mixed") / F.greatest("base", F.lit(1e-20)), F.lit(ratio))
-    return rows.withColumn("held", held).select("track", "node", share("held", w).alias("importance"))
-
-
-def share(c: str, w) -> Column:
-    """A share of the window's sum; even shares if that is 0."""
-    total = F.sum(c).over(w)
-    return F.when(total > 0, F.col(c) / total).otherwise(F.lit(1.0) / F.count("*").over(w))
+    return with_share(rows, "track", held, "importance").select("track", "node", "importance")
 
 
 def within_kl(rows: DataFrame, key: str, base: str, target: str, limit: float, steps: int = 4) -> DataFrame:
