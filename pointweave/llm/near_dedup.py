@@ -32,6 +32,8 @@ from pointweave.operators.graph import components
 SHINGLE, PERCENT, K = 5, 75, 128
 #: Longest list that gives all its pairs; most nodes of one side of a block.
 SHORT, BLOCK = 32, 256
+#: Pairs of a node that meet one copy of its set; nodes with more that are broadcast.
+HUB, HUBS = 256, 1 << 20
 #: Standard deviations by which an estimate may fall short.
 SLACK = 5.3
 
@@ -145,11 +147,29 @@ def _estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, bool]:
     return len(twice) / len(single), whole
 
 
+def with_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(a, b, s_a, s_b): pairs with a column (sketch or set) of both nodes. A node with more than
+    HUB pairs is copied, and its pairs are dealt over the copies, so that none is a hot key."""
+    out = pairs.select("a", "b")
+    for c in "ab":
+        side = table.select(F.col("node").alias(c), F.col(column).alias(f"s_{c}"))
+        hubs = stored(pairs.groupBy(c).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(c, F.ceil(F.col("n") / HUB).cast("int").alias("copies")), "near-hubs")
+        k = hubs.count()
+        if not k:
+            out = out.join(side, c)
+            continue
+        hubs = F.broadcast(hubs) if k <= HUBS else hubs
+        copies = F.coalesce("copies", F.lit(1))
+        out = out.join(hubs, c, "left").withColumn("deal", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("copies")
+        side = side.join(hubs, c, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+        out = out.join(side, [c, "deal"]).drop("deal")
+    return out.select("a", "b", "s_a", "s_b")
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """The pairs whose union sketch doesn't rule the link out."""
     t = percent / 100
     least = t - SLACK * math.sqrt(t * (1 - t) / k)
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -158,8 +178,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int = PERCENT
             keep.append(j >= (t - 1e-9 if whole else least))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return arrow_map(joined, run, "a bigint, b bigint")
+    return arrow_map(with_sides(pairs, nodes, "sketch"), run, "a bigint, b bigint")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -184,7 +203,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard reaches the threshold."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -194,8 +212,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             keep.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return arrow_map(joined, run, "a bigint, b bigint")
+    return arrow_map(with_sides(pairs, sets, "shingles"), run, "a bigint, b bigint")
 
 
 def block_links(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
@@ -254,7 +271,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = stored(scanned.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")
     lists = stored(index(nodes, k, percent), "near-lists")
     pairs, stars = candidates(lists, percent)
-    pairs = stored(estimated(pairs, nodes, k, percent), "near-pairs")
+    pairs = stored(estimated(stored(pairs, "near-candidates"), nodes, k, percent), "near-pairs")
     name = nodes.select("node", "id")
 
     def sets_of(chosen: DataFrame) -> DataFrame:
