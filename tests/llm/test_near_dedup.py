@@ -65,7 +65,6 @@ def test_groups_of_copies(spark, monkeypatch, short):
     """Chains, hubs and half-linked copies; small limits force stars and blocks."""
     monkeypatch.setattr(nd, "SHORT", short)
     monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "HUB", 5)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     passage = [word() for _ in range(60)]
