@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,90 +19,148 @@ from pointweave.plans.storage import Parts, stored
 #: Widenings of the cell before the points that are left meet the whole source, block by
 #: block; the least share of left points that another widening must answer.
 WIDENINGS, WORTH = 12, 0.05
-#: Points of a block that meets the whole source, and rows of the source scored at once.
-BLOCK, SLICE = 20_000, 4096
-
-
-def _cells(df: DataFrame, pos: str, dims: int, side: float, around: bool) -> DataFrame:
-    """``df`` with its cell number per axis, or one row for each of the 3^dims cells around."""
-    at = [F.floor(F.col(pos)[i] / side).cast("long") for i in range(dims)]
-    if not around:
-        return df.select("*", *(c.alias(f"c{i}") for i, c in enumerate(at)))
-    out = df
-    for i, c in enumerate(at):
-        out = out.withColumn(f"c{i}", F.explode(F.sequence(c - 1, c + 1)))
-    return out
+#: Points of a block that meets the whole source, and distances that a worker makes at once.
+BLOCK, SCORES = 20_000, 1 << 21
+#: Arrow batches of the source that a block meets at once.
+BATCHES = 64
+#: Widths of a cell in the tile that one task searches; distances that are made outright
+#: rather than by another widening.
+TILE, OUTRIGHT = 4, 1 << 27
+
+
+def _best(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance): the k nearest of ``y``, ties to the earlier row."""
+    parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    step = max(1, SCORES // max(1, len(y)))
+    for i in range(0, len(x) if len(y) else 0, step):
+        d = np.zeros((len(x[i : i + step]), len(y)))
+        for a in range(x.shape[1]):
+            d += (x[i : i + step, None, a] - y[None, :, a]) ** 2
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(y) > k else np.inf
+        q, j = np.nonzero(d <= edge)
+        order = np.lexsort((j, d[q, j], q))
+        q, j = q[order], j[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, j = q[keep], j[keep]
+        parts.append((q + i, j, d[q, j]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _points(t: pa.Table | pa.RecordBatch, axes: list[str]) -> np.ndarray:
+    return np.stack([t.column(a).to_numpy() for a in axes], axis=1)
+
+
+def _flat(df: DataFrame, pos: str, name: str, dims: int) -> DataFrame:
+    """(name, p0, p1, ..): rows of a whole, finite position."""
+    rows = df.select(name, *(F.col(pos)[i].cast("double").alias(f"p{i}") for i in range(dims)))
+    for i in range(dims):
+        rows = rows.where(F.abs(f"p{i}") < float("inf"))
+    return rows
+
+
+def _first_side(src: DataFrame, axes: list[str], side: float, most: int) -> float:
+    """``side``, or less where a point would share its cell with over ``most`` on average."""
+    for _ in range(WIDENINGS):
+        cells = src.groupBy(*(F.floor(F.col(a) / side).alias(a) for a in axes)).count()
+        held = cells.agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0]
+        if held <= 2 * most:
+            break
+        side *= max((most / held) ** (1 / len(axes)), 1 / 64)
+    return side
 
 
 def knn(queries: DataFrame, source: DataFrame, k: int, dims: int, side: float, gid: str = "gid", pos: str = "pos", drop_self: bool = True) -> DataFrame:
     """(gid, rank, neighbour, d2): the k nearest source rows of each query by exact squared
-    distance, ties to the lower id; fewer if the source is smaller.
-
-    Queries meet the source in 3^dims cells of width ``side``. A query is answered when its
-    k-th distance is at most ``side``: anything outside its cells is farther. The rest go
-    on with wider cells while that answers enough of them; what remains lies far from the
-    source, or the source is sparse there, and meets all of it in blocks of BLOCK points.
+    distance, ties to the lower id; fewer if the source is smaller. Points without a finite
+    position take no part; ids of the source are unique.
+
+    Each place of a query is looked up once, in a tile of TILE cells a side with all source
+    points up to a cell's width around it. It is answered when its k-th distance is at most
+    that width: anything outside is farther. The first width is ``side``, or less where the
+    source is dense; the rest go on with wider cells while that answers enough of them; what
+    remains lies far from the source, or the source is sparse there, and meets all of it in
+    blocks of BLOCK points. Of equal source positions only the k lowest ids are compared.
     """
-    src = stored(source.select(F.col(gid).alias("neighbour"), F.col(pos).alias("npos")), "knn-source")
-    total = src.count() - (1 if drop_self else 0)
-    schema = f"`{gid}` {queries.schema[gid].dataType.simpleString()}, rank int, neighbour {source.schema[gid].dataType.simpleString()}, d2 double"
-    out = Parts(queries.sparkSession, "knn", schema)
-    if total <= 0 or not k:
-        return out.read()
+    kind = source.schema[gid].dataType.simpleString()
+    axes = [f"p{i}" for i in range(dims)]
+    all_src = stored(_flat(source.withColumnRenamed(gid, "neighbour"), pos, "neighbour", dims), "knn-source")
+    asked = stored(_flat(queries, pos, gid, dims), "knn-queries")
+    total = all_src.count() - (1 if drop_self else 0)
+    if total <= 0 or k <= 0:
+        return queries.sparkSession.createDataFrame([], f"`{gid}` {queries.schema[gid].dataType.simpleString()}, rank int, neighbour {kind}, d2 double")
     want = min(k, total)
-    left = stored(queries.select(gid, pos), "knn-left")
+    need = want + (1 if drop_self else 0)
+    first = F.row_number().over(Window.partitionBy(*axes).orderBy("neighbour"))
+    src = stored(all_src.withColumn("__r", first).where(F.col("__r") <= need).drop("__r"), "knn-source")
+    held = src.count()
+    left = stored(asked.select(*axes).distinct(), "knn-left")
     waiting = left.count()
-    on = [f"c{i}" for i in range(dims)]
-    d2 = squared_distance(pos, "npos")
-    w = Window.partitionBy(gid).orderBy("d2", "neighbour")
+    schema = ", ".join([*(f"{a} double" for a in axes), f"neighbour {kind}", "d2 double"])
+    out = Parts(queries.sparkSession, "knn", schema)
+    width = _first_side(src, axes, side, need) if waiting * held > OUTRIGHT else side
     for _ in range(WIDENINGS):
-        pairs = _cells(left, pos, dims, side, True).join(_cells(src, "npos", dims, side, False), on)
-        if drop_self:
-            pairs = pairs.where(F.col(gid) != F.col("neighbour"))
-        ranked = pairs.select(gid, "neighbour", d2.alias("d2")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want)
-        whole = Window.partitionBy(gid)
-        done = ranked.withColumn("n", F.count("*").over(whole)).withColumn("far", F.max("d2").over(whole)).where((F.col("n") == want) & (F.col("far") <= side * side))
-        part = stored(done.select(gid, F.col("rank").cast("int").alias("rank"), "neighbour", "d2"), "knn-part")
+        if waiting * held <= OUTRIGHT:
+            break
+        part = stored(_in_tiles(left, src, need, width, axes, schema), "knn-part")
         out.add(part)
-        left = stored(left.join(part.select(gid).distinct(), gid, "left_anti"), "knn-left")
+        left = stored(left.join(part.select(*axes).distinct(), axes, "left_anti"), "knn-left")
         before, waiting = waiting, left.count()
-        if not waiting or before - waiting < WORTH * before:
+        if not waiting or (width >= side and before - waiting < WORTH * before):
             break
-        side *= 2
+        width *= 2
     blocks = -(-waiting // BLOCK)
     for b in range(blocks):
-        out.add(_against_all(left.where(F.pmod(F.xxhash64(gid), F.lit(blocks)) == b), src, want, drop_self, gid, pos, schema))
-    return out.read()
-
-
-def _against_all(block: DataFrame, src: DataFrame, k: int, drop_self: bool, gid: str, pos: str, schema: str) -> DataFrame:
-    """The k nearest of the whole source for a block of points: each task keeps its best."""
-    got = block.toArrow()
-    ids, at = got.column(gid).to_numpy(), np.array(got.column(pos).to_pylist(), float).reshape(got.num_rows, -1)
-    held = src.sparkSession.sparkContext.broadcast((ids, at))
+        out.add(_against_all(left.where(F.pmod(F.xxhash64(*axes), F.lit(blocks)) == b), src, need, axes, schema))
+    found = asked.join(out.read(), axes)
+    if drop_self:
+        found = found.where(F.col(gid) != F.col("neighbour"))
+    rank = F.row_number().over(Window.partitionBy(gid).orderBy("d2", "neighbour"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= want).select(gid, "rank", "neighbour", "d2")
+
+
+def _in_tiles(left: DataFrame, src: DataFrame, k: int, width: float, axes: list[str], schema: str) -> DataFrame:
+    """The k nearest of the places that have them all within ``width``."""
+    tile = TILE * width
+    tiles = [f"t{i}" for i in range(len(axes))]
+    asked = left.select("*", *(F.floor(F.col(a) / tile).alias(t) for a, t in zip(axes, tiles, strict=True)))
+    near = src
+    for a, t in zip(axes, tiles, strict=True):
+        near = near.withColumn(t, F.explode(F.sequence(F.floor((F.col(a) - width) / tile), F.floor((F.col(a) + width) / tile))))
+    near = near.join(asked.select(*tiles).distinct(), tiles, "left_semi")
+    sure = width * width * (1 - 1e-9)
+
+    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        s = s.sort_by("neighbour")
+        x = _points(q, axes)
+        at, j, d = _best(x, _points(s, axes), k)
+        n = np.bincount(at, minlength=len(x))
+        far = np.full(len(x), np.inf)
+        ends = np.cumsum(n)[n == k] - 1
+        far[n == k] = d[ends]
+        keep = (far <= sure)[at]
+        at, j, d = at[keep], j[keep], d[keep]
+        return pa.table([*(x[at, a] for a in range(len(axes))), s.column("neighbour").take(pa.array(j)), d], names=[*axes, "neighbour", "d2"])
+
+    return asked.groupBy(*tiles).cogroup(near.groupBy(*tiles)).applyInArrow(run, schema)
+
+
+def _against_all(block: DataFrame, src: DataFrame, k: int, axes: list[str], schema: str) -> DataFrame:
+    """The k nearest of the whole source for a block of places: each task keeps its best
+    of every BATCHES batches."""
+    x = _points(block.toArrow(), axes)
+    held = src.sparkSession.sparkContext.broadcast(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, x = held.value
-        best_d, best_i = np.full((len(own), k), np.inf), np.zeros((len(own), k), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                n, y = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), float)
-                for i in range(0, len(own), 512):
-                    d = ((x[i : i + 512, None, :] - y[None]) ** 2).sum(2)
-                    if drop_self:
-                        d[own[i : i + 512, None] == n[None]] = np.inf
-                    d = np.concatenate([best_d[i : i + 512], d], axis=1)
-                    who = np.concatenate([best_i[i : i + 512], np.broadcast_to(n, (len(d), len(n)))], axis=1)
-                    order = np.lexsort((who, d), axis=1)[:, :k]
-                    best_d[i : i + 512], best_i[i : i + 512] = np.take_along_axis(d, order, 1), np.take_along_axis(who, order, 1)
-        q, j = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(best_i[q, j]), pa.array(best_d[q, j])], names=[gid, "neighbour", "d2"])
-
-    kinds = schema.split(", ")
-    local = src.select("neighbour", "npos").mapInArrow(run, ", ".join((kinds[0], kinds[2], kinds[3])))
-    rank = F.row_number().over(Window.partitionBy(gid).orderBy("d2", "neighbour"))
-    return local.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(gid, "rank", "neighbour", "d2")
+        x = held.value
+        batches = iter(batches)
+        while some := list(islice(batches, BATCHES)):
+            s = pa.Table.from_batches(some).sort_by("neighbour")
+            at, j, d = _best(x, _points(s, axes), k)
+            yield from pa.table([*(x[at, a] for a in range(len(axes))), s.column("neighbour").take(pa.array(j)), d], names=[*axes, "neighbour", "d2"]).to_batches()
+
+    local = src.select("neighbour", *axes).mapInArrow(run, schema)
+    rank = F.row_number().over(Window.partitionBy(*axes).orderBy("d2", "neighbour"))
+    return local.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r").select(*axes, "neighbour", "d2")
 
 
 def mean_nearest(points: DataFrame, dims: int, side: float, k: int = 3, gid: str = "gid", pos: str = "pos") -> DataFrame:

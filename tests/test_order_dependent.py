@@ -214,6 +214,23 @@ def test_tracks_of_repeated_nodes(spark):
         assert (r["root"], r["support"], r["views"]) == (5, 60.0, 3)
 
 
+def test_knn_of_dense_and_equal_points(spark, monkeypatch):
+    """Clusters far denser than the cell, copies of one point and lone points: the same as all
+    pairs, and no tile holds more than a small share of them."""
+    monkeypatch.setattr(sp, "OUTRIGHT", 0)
+    rng = np.random.default_rng(12)
+    xyz = np.concatenate([rng.integers(0, 60, (300, 3)) / 1000, rng.random((200, 3)) * 4, np.full((90, 3), 2.5), [[90.0, 90.0, 90.0]]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xyz)] + [(9000, None), (9001, [1.0, float("nan"), 2.0])], "gid bigint, pos array<double>")
+    made = []
+    tiles = sp._in_tiles
+    monkeypatch.setattr(sp, "_in_tiles", lambda left, src, k, width, axes, schema: made.append(width) or tiles(left, src, k, width, axes, schema))
+    got = {(r["gid"], r["rank"]): (r["neighbour"], r["d2"]) for r in sp.knn(df, df, 3, 3, 50.0).collect()}
+    d = ((xyz[:, None, 0] - xyz[None, :, 0]) ** 2 + (xyz[:, None, 1] - xyz[None, :, 1]) ** 2) + (xyz[:, None, 2] - xyz[None, :, 2]) ** 2
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): (j, d[i, j]) for i in range(len(xyz)) for r, j in enumerate(np.lexsort((np.arange(len(xyz)), d[i]))[:3])}
+    assert got == want and made[0] < 1
+
+
 def test_neighbours_at_any_distance(spark):
     """The third point lies far beyond any cell that the others share."""
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [1e9])], "gid bigint, pos array<double>")
