@@ -231,6 +231,22 @@ def test_knn_of_dense_and_equal_points(spark, monkeypatch):
     assert got == want and made[0] < 1
 
 
+def test_means_and_starts_of_dense_points(spark, monkeypatch):
+    """All points in one cell of the width given: mean distances, scales and fills are those of all
+    pairs, and fewer distances are made than there are pairs."""
+    monkeypatch.setattr(sp, "OUTRIGHT", 0)
+    xyz = np.random.default_rng(13).random((3000, 3))
+    df = spark.createDataFrame([(i, x.tolist(), [0.5] * 3) for i, x in enumerate(xyz)], "gid bigint, xyz array<double>, rgb array<double>").withColumn("pos", F.col("xyz"))
+    made = []
+    tiles = sp._in_tiles
+    monkeypatch.setattr(sp, "_in_tiles", lambda left, src, k, width, axes, schema: made.append(width) or tiles(left, src, k, width, axes, schema))
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    mean = np.sort(d, axis=1)[:, :3].mean(1)
+    got = {r["gid"]: r["mean_d2"] for r in sp.mean_nearest(df, 3, 2.0).collect()}
+    assert len(got) == 3000 and all(abs(got[i] - mean[i]) < 1e-12 for i in got) and made[0] < 0.3
+
+
 def test_neighbours_at_any_distance(spark):
     """The third point lies far beyond any cell that the others share."""
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [1e9])], "gid bigint, pos array<double>")
