@@ -245,6 +245,9 @@ def test_means_and_starts_of_dense_points(spark, monkeypatch):
     mean = np.sort(d, axis=1)[:, :3].mean(1)
     got = {r["gid"]: r["mean_d2"] for r in sp.mean_nearest(df, 3, 2.0).collect()}
     assert len(got) == 3000 and all(abs(got[i] - mean[i]) < 1e-12 for i in got) and made[0] < 0.3
+    near = d[::3][:, [j for j in range(3000) if j % 3]].min(1)
+    fill = sp.nearest_fill(df.where("gid % 3 = 0"), df.where("gid % 3 <> 0"), 40, 3, 2.0).collect()
+    assert {r["gid"] for r in fill} == {int(i) * 3 for i in np.argsort(near)[:40]}
 
 
 def test_neighbours_at_any_distance(spark):
