@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import consensus as con
 from pointweave.operators import evaluate as ev
+from pointweave.operators import fit
 from pointweave.operators import fusion as fus
 from pointweave.operators import graph, order, sample
 from pointweave.operators import spatial as sp
@@ -245,6 +246,8 @@ def test_means_and_starts_of_dense_points(spark, monkeypatch):
     mean = np.sort(d, axis=1)[:, :3].mean(1)
     got = {r["gid"]: r["mean_d2"] for r in sp.mean_nearest(df, 3, 2.0).collect()}
     assert len(got) == 3000 and all(abs(got[i] - mean[i]) < 1e-12 for i in got) and made[0] < 0.3
+    start = {r["gid"]: r["scaling"][0] for r in fit.initialise(df.drop("pos"), 2.0).collect()}
+    assert len(start) == 3000 and all(abs(start[i] - np.log(np.sqrt(max(mean[i], 1e-7)))) < 1e-9 for i in start)
     near = d[::3][:, [j for j in range(3000) if j % 3]].min(1)
     fill = sp.nearest_fill(df.where("gid % 3 = 0"), df.where("gid % 3 <> 0"), 40, 3, 2.0).collect()
     assert {r["gid"] for r in fill} == {int(i) * 3 for i in np.argsort(near)[:40]}
