@@ -41,3 +41,10 @@ def test_starts_at_size(spark, parts):
     some = range(0, PARTS, 400)
     assert sorted(got.index) == list(range(PARTS))
     assert np.allclose(got[list(some)], np.log(np.sqrt(mean_of_three(some))), atol=1e-6, rtol=0)
+
+
+def test_mean_distances_at_size(spark, parts):
+    got = answered(spark, "knn_mean3", parts).set_index("gid")["mean_d2"]
+    some = range(0, PARTS, 400)
+    assert sorted(got.index) == list(range(PARTS))
+    assert np.allclose(got[list(some)], mean_of_three(some), atol=1e-6, rtol=0)
