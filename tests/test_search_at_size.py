@@ -2,6 +2,7 @@
 
 import threading
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -48,3 +49,11 @@ def test_mean_distances_at_size(spark, parts):
     some = range(0, PARTS, 400)
     assert sorted(got.index) == list(range(PARTS))
     assert np.allclose(got[list(some)], mean_of_three(some), atol=1e-6, rtol=0)
+
+
+def test_fill_at_size(spark, parts):
+    got = answered(spark, "nearest_fill", parts)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{parts}/part.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["nearest_fill"]).fetchall()
+    assert sorted(got[["gid", "d2"]].itertuples(index=False, name=None)) == sorted(want)
